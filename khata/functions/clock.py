@@ -34,7 +34,7 @@ def rolled_date(year: Column, month: Column, day: Column) -> Column:
 
 
 def four_digit_year(text: Column) -> Column:
-    y = text.cast("int")
+    y = text.try_cast("int")
     return F.when(y < 100, y + 2000).otherwise(y)
 
 

@@ -111,12 +111,12 @@ INTERNAL = "|".join((
 ))
 RUPEE = r"(?:inr|rs\.?|₹|rupees)"
 NUMBER = r"(?:\d{1,3}(?:,\d{2,3})+|\d+)(?:\.\d{1,2})?"
-# (text before the number, number, text after): the first two parts are captured
+# captured: the number with what may stand between it and the currency, or with its sign
 AMOUNT_FORMS = (
-    (rf"{RUPEE}\s*[:\-]?\s*", rf"{NUMBER}", ""),
-    ("", rf"{NUMBER}", rf"\s*{RUPEE}"),
-    (r"\bdebited\s+by\s+", rf"{NUMBER}", ""),
-    (r"\bcredited\s+by\s+", rf"{NUMBER}", ""),
+    rf"{RUPEE}\s*([:\-]?\s*{NUMBER})",
+    rf"([-−]?{NUMBER})\s*{RUPEE}",
+    rf"\bdebited\s+by\s+({NUMBER})",
+    rf"\bcredited\s+by\s+({NUMBER})",
 )
 FOREIGN = r"\b(USD|EUR|GBP|AED|SGD|AUD|CAD|JPY|CHF|THB|MYR)\s*([\d,]+(?:\.\d{1,2})?)"
 ACCOUNT_FORMS = (

@@ -14,9 +14,10 @@ from khata.functions import clock
 from khata.functions import fixed_values as V
 from khata.functions.money import bank_of, brand_of, merchant_key, sender_id
 from khata.functions.text import (
-    decimal_of, first_label, grab, has, java, plain_number, squeeze, swap,
+    decimal_of, first_label, grab, has, java, masked, plain_number, squeeze, swap,
 )
 
+PREFIX = "t_"
 TXN_FIELDS = (
     "sms_id", "sms_date_ms", "fingerprint", "soft_keys", "direction", "kind", "amount", "currency",
     "foreign_amount", "foreign_currency", "account", "merchant", "merchant_quality", "ref", "channel",
@@ -26,6 +27,10 @@ TXN_FIELDS = (
 )
 
 
+# message texts are squeezed and masked, so the engine's own classes are exact on them
+FLAGS = "ia"
+
+
 def message_text(body: Column) -> Column:
     """White space squeezed, and a blank put between a figure and a verb stuck to it."""
     return F.trim(swap(squeeze(F.coalesce(body, F.lit(""))), V.STUCK_VERBS, "$1 $2"))
@@ -33,28 +38,26 @@ def message_text(body: Column) -> Column:
 
 def direction_of(text: Column) -> Column:
     """debit or credit; when both are worded the one named first decides."""
-    debit, credit = has(text, V.DEBIT), has(text, V.CREDIT)
-    at_debit = F.regexp_instr(text, F.lit(java(V.DEBIT)))
-    at_credit = F.regexp_instr(text, F.lit(java(V.CREDIT)))
+    debit, credit = has(text, V.DEBIT, FLAGS), has(text, V.CREDIT, FLAGS)
+    at_debit = F.regexp_instr(text, F.lit(java(V.DEBIT, FLAGS)))
+    at_credit = F.regexp_instr(text, F.lit(java(V.CREDIT, FLAGS)))
     both = F.when(at_debit < at_credit, "debit").otherwise("credit")
     return F.when(debit, F.when(credit, both).otherwise("debit")).when(credit, F.lit("credit"))
 
 
 def amount_of(text: Column) -> Column:
-    """The first amount form with a positive number which has no minus sign right before it."""
-
-    def reading(lead: str, number: str, tail: str) -> Column:
-        # the lazy prefix makes the text before the number part of the same single match
-        form = rf"^((?:.*?){lead})({number}){tail}" if lead else rf"^(.*?)({number}){tail}"
-        before = F.regexp_extract(text, java(form), 1)
-        value = decimal_of(grab(text, form, 2))
-        return F.when(~F.right(before, F.lit(1)).isin("-", "−") & (value > 0), value)
+    """The first amount form with a positive number which has no minus sign right before it.
 
-    return F.coalesce(*[reading(*form) for form in V.AMOUNT_FORMS])
+    A form whose first hit is signed is passed over as a whole.
+    """
+    found = F.array(*[F.regexp_extract(text, java(p, FLAGS), 1) for p in V.AMOUNT_FORMS])
+    unsigned = F.filter(found, lambda x: (x != "") & ~x.rlike("^[-−][0-9]"))
+    values = F.transform(unsigned, lambda x: decimal_of(F.regexp_replace(x, r"^[:\-−]?\s*", "")))
+    return F.get(F.filter(values, lambda v: v > 0), F.lit(0))
 
 
 def account_of(text: Column) -> Column:
-    return F.right(F.coalesce(*[grab(text, p) for p in V.ACCOUNT_FORMS]), F.lit(4))
+    return F.right(F.coalesce(*[grab(text, p, 1, FLAGS) for p in V.ACCOUNT_FORMS]), F.lit(4))
 
 
 def month_number(name: Column) -> Column:
@@ -67,10 +70,10 @@ def stated_date(text: Column) -> Column:
     """The day written in the message, or null.  Of each format only the first hit is looked at."""
 
     def part(pattern: str, group: int) -> Column:
-        return grab(text, pattern, group)
+        return F.regexp_extract(text, java(pattern, FLAGS), group)
 
     def number(pattern: str, group: int) -> Column:
-        return part(pattern, group).cast("int")
+        return part(pattern, group).try_cast("int")
 
     named = V.DATE_DAY_MONTHNAME
     by_name = clock.rolled_date(
@@ -102,36 +105,35 @@ def handle_quality(handle: Column) -> Column:
 
 
 def merchant_of(text: Column) -> Column:
-    """Struct (name, quality) of the counterparty named in the text, or null.
+    """Struct (name, quality) of the counterparty named in the text, or null; the name may be empty.
 
     Every form gives at most one candidate.  A readable name is taken if it is no account tail; an
     unreadable payment handle ends the search at once, even when nothing is left of it.
     """
 
-    def candidate(found: Column) -> Column:
-        raw = F.trim(found)
-        is_handle = raw.contains("@")
+    def named_or_handle(raw: Column) -> Column:
+        raw = F.trim(raw)
         handle = F.substring_index(raw, "@", 1)
-        quality = F.when(is_handle, handle_quality(handle)).otherwise("named")
-        name = F.when(is_handle, handle).otherwise(raw)
-        name = swap(name, V.AGGREGATOR, "")
-        name = F.trim(swap(swap(name, V.TRAILING_DATE, ""), V.TRAILING_LABEL, ""))
-        name = F.regexp_replace(name, r"[_.\-]+", " ")
-        name = F.trim(squeeze(swap(name, V.MERCHANT_NOISE, " ")))
-        usable = (
-            (F.length(name) >= 2)
-            & ~name.rlike("^[0-9]+$")
-            & ~has(name, r"^[x*]+\s*\d+$")
-        )
         return F.struct(
-            F.substring(name, 1, V.MERCHANT_CHARS).alias("name"),
-            quality.alias("quality"),
-            (found.isNotNull() & ((quality != "named") | usable)).alias("ends"),
+            handle.alias("name"),
+            F.when(raw.contains("@"), handle_quality(handle)).otherwise("named").alias("quality"),
         )
 
-    found = F.array(*[grab(text, p) for p in V.MERCHANT_FORMS])
-    first = F.get(F.filter(F.transform(found, candidate), lambda c: c["ends"]), F.lit(0))
-    return F.when(first["name"] != "", F.struct(first["name"].alias("name"), first["quality"].alias("quality")))
+    def cleaned(c: Column) -> Column:
+        name = swap(c["name"], V.AGGREGATOR, "")
+        name = F.trim(swap(swap(name, V.TRAILING_DATE, ""), V.TRAILING_LABEL, ""))
+        name = swap(F.regexp_replace(name, r"[_.\-]+", " "), V.MERCHANT_NOISE, " ")
+        return F.struct(F.trim(squeeze(name)).alias("name"), c["quality"].alias("quality"))
+
+    def ends_search(c: Column) -> Column:
+        name = c["name"]
+        is_tail = name.rlike("^[0-9]+$") | has(name, r"^[x*]+\s*\d+$")
+        return (c["quality"] != "named") | ((F.length(name) >= 2) & ~is_tail)
+
+    # one transform per step, so that each step is evaluated once per candidate
+    found = F.filter(F.array(*[F.regexp_extract(text, java(p), 1) for p in V.MERCHANT_FORMS]), lambda x: x != "")
+    candidates = F.transform(F.transform(found, named_or_handle), cleaned)
+    return F.get(F.filter(candidates, ends_search), F.lit(0))
 
 
 def confidence_pct(amount: Column, merchant: Column, quality: Column, ref: Column, account: Column,
@@ -155,35 +157,37 @@ def confidence_pct(amount: Column, merchant: Column, quality: Column, ref: Colum
 
 
 def parse_messages(messages: DataFrame, tz: str) -> DataFrame:
-    """Adds ``reason`` (null when the message is a transaction) and ``txn`` (a struct, else null).
+    """Adds ``reason`` (null when the message is a transaction) and the fields of the ledger row.
 
-    ``messages`` has inbox_id, id, body, date_ms and address.
+    ``messages`` has inbox_id, id, body, date_ms and address.  The fields are flat columns named
+    ``t_<field>``, null on a rejected message, so that unused ones are pruned from the plan.
     """
-    text, reason = F.col("_text"), F.col("reason")
+    text, reason = F.col("_masked"), F.col("reason")
     staged = (
         messages
         .withColumn("_text", message_text(F.col("body")))
-        .withColumn("_early", F.when(text == "", "empty").otherwise(first_label(text, V.REJECT_FIRST)))
+        .withColumn("_masked", masked(F.col("_text")))
+        .withColumn("_early", F.when(text == "", "empty").otherwise(first_label(text, V.REJECT_FIRST, FLAGS)))
         .withColumn("_direction", F.when(F.col("_early").isNull(), direction_of(text)))
     )
     direction = F.col("_direction")
     staged = staged.withColumn(
-        "_is_refund", (direction == "credit") & ~has(text, V.FUTURE) & has(text, V.REFUND)
+        "_is_refund", (direction == "credit") & ~has(text, V.FUTURE, FLAGS) & has(text, V.REFUND, FLAGS)
     ).withColumn(
         "_late",
         F.coalesce(
             F.col("_early"),
             F.when(direction.isNull(), "no-direction"),
-            F.when(~F.col("_is_refund"), first_label(text, V.REJECT_UNLESS_REFUND)),
+            F.when(~F.col("_is_refund"), first_label(text, V.REJECT_UNLESS_REFUND, FLAGS)),
         ),
     )
     going = F.col("_late").isNull()
-    foreign_number = decimal_of(grab(text, V.FOREIGN, 2))
+    foreign_number = decimal_of(grab(text, V.FOREIGN, 2, FLAGS))
     staged = staged.withColumns({
         "_amount": F.when(going, amount_of(text)),
         "_foreign": F.when(
             going & (foreign_number > 0),
-            F.struct(F.upper(grab(text, V.FOREIGN, 1)).alias("currency"), foreign_number.alias("amount")),
+            F.struct(F.upper(grab(text, V.FOREIGN, 1, FLAGS)).alias("currency"), foreign_number.alias("amount")),
         ),
     }).withColumn(
         "reason",
@@ -193,48 +197,54 @@ def parse_messages(messages: DataFrame, tz: str) -> DataFrame:
         ),
     )
 
+    # a generator of one row: filters on the outcome stay above it, so no pattern is searched twice
+    outcome = F.struct("reason", "_text", "_masked", "_direction", "_is_refund", "_amount", "_foreign")
+    staged = staged.select(*messages.columns, F.inline(F.array(outcome)))
+
     ok = reason.isNull()
     foreign = F.col("_foreign")
     staged = staged.withColumns({
         "_sender_id": sender_id(F.col("address")),
-        "_read": F.when(ok, merchant_of(text)),
+        "_read": F.when(ok, merchant_of(F.col("_text"))),
         "_day": F.when(ok, stated_date(text)),
-        "_ref": F.when(ok, F.upper(grab(text, V.REFERENCE))),
+        "_ref": F.when(ok, F.upper(grab(text, V.REFERENCE, 1, FLAGS))),
         "_account": F.when(ok, account_of(text)),
-        "_channel": F.when(ok, F.coalesce(first_label(text, V.CHANNEL_FORMS), F.lit("other"))),
+        "_channel": F.when(ok, F.coalesce(first_label(text, V.CHANNEL_FORMS, FLAGS), F.lit("other"))),
     }).withColumns({
         "_value": F.coalesce(F.col("_amount"), F.lit(0).cast("decimal(18,2)")),
         "_currency": F.when(F.col("_amount").isNull(), foreign["currency"]).otherwise("INR"),
-        "_brand": F.when(ok & F.col("_read").isNull(), brand_of(F.col("_sender_id"))),
+        "_name": F.nullif(F.col("_read.name"), F.lit("")),
+        "_brand": F.when(
+            ok & (F.coalesce(F.col("_read.name"), F.lit("")) == ""), brand_of(F.col("_sender_id"))),
         "_date_ms": F.when(
             F.col("_day").isNotNull(), clock.epoch_ms(F.col("_day"), tz)
         ).otherwise(F.col("date_ms")),
     }).withColumns({
-        "_merchant": F.coalesce(F.col("_read.name"), F.col("_brand")),
-        "_quality": F.coalesce(F.col("_read.quality"), F.when(F.col("_brand").isNotNull(), "sender")),
+        "_merchant": F.coalesce(F.substring(F.col("_name"), 1, V.MERCHANT_CHARS), F.col("_brand")),
+        "_quality": F.when(F.col("_name").isNotNull(), F.col("_read.quality")).when(
+            F.col("_brand").isNotNull(), "sender"),
         "_date": F.when(ok, F.coalesce(F.col("_day").cast("timestamp_ntz"), clock.local_time(F.col("date_ms"), tz))),
         "_kind": F.when(
             ok,
             F.when(F.col("_is_refund"), "refund")
-            .when(has(text, V.INTERNAL), "transfer")
+            .when(has(text, V.INTERNAL, FLAGS), "transfer")
             .when(direction == "credit", "income")
             .otherwise("expense"),
         ),
     }).withColumns({
         "_pct": F.when(ok, confidence_pct(
             F.col("_value"), F.col("_merchant"), F.col("_quality"), F.col("_ref"), F.col("_account"),
-            has(text, V.DATE_STATED), F.col("_channel"), F.col("_currency"),
+            has(text, V.DATE_STATED, FLAGS), F.col("_channel"), F.col("_currency"),
         )),
         "_number": F.when(ok, plain_number(F.col("_value"))),
         "_token": F.when(ok, F.substring_index(merchant_key(F.col("_merchant")), " ", 1)),
         "_bucket": F.floor(F.col("_date_ms") / V.SOFT_KEY_BUCKET_MS),
     })
-    return staged.withColumn("txn", F.when(ok, _txn_struct())).drop(
-        *[c for c in staged.columns if c.startswith("_")]
-    )
+    fields = {PREFIX + name: F.when(ok, value) for name, value in _txn_columns().items()}
+    return staged.withColumns(fields).select(*messages.columns, "reason", *fields)
 
 
-def _txn_struct() -> Column:
+def _txn_columns() -> dict[str, Column]:
     c = F.col
     transfer = c("_kind") == "transfer"
     unreadable = c("_quality").isin("phone", "opaque")
@@ -252,7 +262,7 @@ def _txn_struct() -> Column:
     soft_keys = F.when(
         c("_token") != "", F.array(soft_key(c("_bucket")), soft_key(c("_bucket") - 1))
     ).otherwise(F.array(F.concat(F.lit("nomerchant:"), c("id").cast("string"))))
-    fields = {
+    return {
         "sms_id": c("id"),
         "sms_date_ms": c("date_ms"),
         "fingerprint": fingerprint,
@@ -270,7 +280,7 @@ def _txn_struct() -> Column:
         "channel": c("_channel"),
         "date": c("_date"),
         "date_ms": c("_date_ms"),
-        "balance": decimal_of(grab(c("_text"), V.BALANCE)),
+        "balance": decimal_of(grab(c("_masked"), V.BALANCE, 1, FLAGS)),
         "sender": c("address"),
         "sender_id": c("_sender_id"),
         "bank": bank_of(c("_sender_id")),
@@ -285,13 +295,13 @@ def _txn_struct() -> Column:
         "review_reason_override": F.lit(None).cast("string"),
         "raw": F.substring(c("_text"), 1, V.RAW_CHARS),
     }
-    assert tuple(fields) == TXN_FIELDS
-    return F.struct(*[col.alias(name) for name, col in fields.items()])
 
 
 def accepted(parsed: DataFrame) -> DataFrame:
     """The ledger rows of parsed messages, one column per field."""
-    return parsed.select("inbox_id", F.inline(F.when(F.col("txn").isNotNull(), F.array("txn"))))
+    return parsed.where(F.col("reason").isNull()).select(
+        "inbox_id", *[F.col(PREFIX + name).alias(name) for name in TXN_FIELDS]
+    )
 
 
 def extract_transactions(messages: DataFrame, tz: str) -> DataFrame:

@@ -14,6 +14,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a table which is one small file dealt out to all cores before pattern work.
+
+    A table of many files has enough splits and is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ledger rows out of ``events``; one inbox per user."""
     return (
@@ -86,7 +95,7 @@ def ledger_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
-        table(spark, sf_dir, "events")
+        spread(table(spark, sf_dir, "events"))
         .withColumn("k", F.regexp_extract("props", "([0-9]+)", 1).cast("int"))
         .selectExpr(
             "event_id AS id", "CAST(user_id AS STRING) AS inbox_id", "event_type", "k",
