@@ -298,10 +298,12 @@ def _txn_columns() -> dict[str, Column]:
 
 
 def accepted(parsed: DataFrame) -> DataFrame:
-    """The ledger rows of parsed messages, one column per field."""
-    return parsed.where(F.col("reason").isNull()).select(
-        "inbox_id", *[F.col(PREFIX + name).alias(name) for name in TXN_FIELDS]
-    )
+    """The ledger rows of parsed messages, one column per field.
+
+    Also a generator of one row: a report's filter on a field is not rewritten into its patterns.
+    """
+    fields = F.struct(*[F.col(PREFIX + name).alias(name) for name in TXN_FIELDS])
+    return parsed.where(F.col("reason").isNull()).select("inbox_id", F.inline(F.array(fields)))
 
 
 def extract_transactions(messages: DataFrame, tz: str) -> DataFrame:

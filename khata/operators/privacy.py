@@ -253,32 +253,35 @@ def _hits_that_count(step: Pass, text: Column, stop_words: tuple[str, ...]) -> C
     return F.size(F.filter(names, lambda n: is_name(n, stop_words)))
 
 
-def redact(df: DataFrame, column: str, salt: str, shift_days: int, **options) -> DataFrame:
-    """Rewrites a text column and adds ``replaced``, a map of category to number of hits.
+def redact(df: DataFrame, column: str, salt: str, shift_days: int, counts: bool = True, **options) -> DataFrame:
+    """Rewrites a text column and, with ``counts``, adds ``replaced``: a map of category to hits.
 
-    Options are those of ``passes``.  The counts cost one more search per pass and are pruned from
-    the plan when ``replaced`` is not used.
+    Options are those of ``passes``.  The counts cost one more search per pass.  The result leaves
+    through a generator of one row, so that a later filter on it is not pushed through the passes.
     """
     stop_words = options.get("stop_words", ())
     steps = passes(salt, shift_days, **options)
     work = df.withColumn(TEXT, F.coalesce(F.col(column), F.lit("")))
     counters: dict[str, list[str]] = {}
     for i, step in enumerate(steps):
-        name = f"_n{i}"
-        counters.setdefault(step.kind, []).append(name)
-        work = work.withColumns({
-            TEXT: step.apply(F.col(TEXT)),
-            name: _hits_that_count(step, F.col(TEXT), stop_words),
-        })
-    entries = []
-    for kind, names in counters.items():
-        total = F.col(names[0])
-        for n in names[1:]:
-            total = total + F.col(n)
-        entries.append(F.struct(F.lit(kind).alias("key"), total.cast("int").alias("value")))
-    replaced = F.map_from_entries(F.filter(F.array(*entries), lambda e: e["value"] > 0))
-    keep = [F.col(TEXT).alias(column) if c == column else F.col(c) for c in df.columns]
-    return work.select(*keep, replaced.alias("replaced"))
+        changes = {TEXT: step.apply(F.col(TEXT))}
+        if counts:
+            name = f"_n{i}"
+            counters.setdefault(step.kind, []).append(name)
+            changes[name] = _hits_that_count(step, F.col(TEXT), stop_words)
+        work = work.withColumns(changes)
+    result = [F.col(TEXT).alias(column)]
+    if counts:
+        entries = []
+        for kind, names in counters.items():
+            total = F.col(names[0])
+            for n in names[1:]:
+                total = total + F.col(n)
+            entries.append(F.struct(F.lit(kind).alias("key"), total.cast("int").alias("value")))
+        result.append(F.map_from_entries(F.filter(F.array(*entries), lambda e: e["value"] > 0)).alias("replaced"))
+    others = [c for c in df.columns if c != column]
+    made = work.select(*others, F.inline(F.array(F.struct(*result))))
+    return made.select(*df.columns, *(["replaced"] if counts else []))
 
 
 def leaks_in(text: Column) -> Column:
@@ -297,13 +300,16 @@ def leaks_in(text: Column) -> Column:
 
 def find_leaks(df: DataFrame, column: str) -> DataFrame:
     """Rows with at least one leak, with their labels in ``warnings``."""
-    return df.withColumn("warnings", leaks_in(F.col(column))).where(F.size("warnings") > 0)
+    found = F.struct(leaks_in(F.col(column)).alias("warnings"))
+    return df.select(*df.columns, F.inline(F.array(found))).where(F.size("warnings") > 0)
 
 
 def leak_counts(df: DataFrame, column: str) -> DataFrame:
     """Number of rows per kind of leak."""
-    return df.select(F.explode(leaks_in(F.col(column))).alias("leak")).groupBy("leak").agg(
-        F.count("*").alias("rows")
+    found = F.struct(leaks_in(F.col(column)).alias("warnings"))
+    return (
+        df.select(F.inline(F.array(found))).select(F.explode("warnings").alias("leak"))
+        .groupBy("leak").agg(F.count("*").alias("rows"))
     )
 
 
