@@ -22,13 +22,9 @@ def local_session(cpus: int = 8, app: str = "khata") -> SparkSession:
     )
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Writes ``df`` to the checkpoint folder and goes on from the written copy.
-
-    The folder is the cluster's ``spark.checkpoint.dir``, shared storage which outlives an executor.
-    Only a local session without that setting gets a folder of its own.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for intermediate tables: the cluster's ``spark.checkpoint.dir``, shared storage
+    which outlives an executor.  Only a local session without that setting gets one of its own."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -37,4 +33,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
                 raise RuntimeError("set spark.checkpoint.dir to a folder which all executors share")
             folder = tempfile.mkdtemp(prefix="khata-checkpoint-")
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Writes ``df`` to the shared folder and goes on from the written copy."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
