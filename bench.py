@@ -35,6 +35,7 @@ def main() -> None:
             build(spark, sf_dir).write.format("noop").mode("overwrite").save()
             took.append(time.perf_counter() - start)
         seconds[name] = round(statistics.median(took[1:]), 3)
+        print(name, [round(t, 1) for t in took], file=sys.stderr, flush=True)
     spark.stop()
     print(json.dumps({
         "metric": "total seconds of the headline queries", "value": round(sum(seconds.values()), 3), "unit": "sec",
