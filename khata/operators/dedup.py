@@ -18,6 +18,7 @@ before; only accepted rows count.  The outcome depends on the scan order, so nei
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -79,19 +80,24 @@ def _walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _settle(nodes: DataFrame, rounds: int) -> DataFrame:
     """The (inbox_id, sms_id) of accepted nodes."""
     undecided = cut_lineage(nodes)
-    chosen = None
+    chosen: list[DataFrame] = []
     for _ in range(rounds):
         keys = _keys_of(undecided)
-        first_on_key = keys.groupBy("inbox_id", "key").agg(F.min("node").alias("first"))
-        ranked = keys.join(first_on_key, ["inbox_id", "key"])
-        leads = ranked.groupBy("inbox_id", "node").agg(
-            F.bool_and(F.col("node") == F.col("first")).alias("leads")
-        )
-        winners = cut_lineage(leads.where("leads").select("inbox_id", "node"))
-        chosen = winners if chosen is None else chosen.unionByName(winners)
-        taken_keys = keys.join(winners, ["inbox_id", "node"], "left_semi").select("inbox_id", "key").distinct()
-        settled = keys.join(taken_keys, ["inbox_id", "key"], "left_semi").select("inbox_id", "node").distinct()
-        undecided = cut_lineage(undecided.join(settled, ["inbox_id", "node"], "left_anti"))
+        contended = keys.groupBy("inbox_id", "key").agg(
+            F.min("node").alias("first"), F.count("*").alias("n")
+        ).where("n > 1").drop("n")
+        # from here on only nodes which share a key with another one are looked at
+        met = cut_lineage(keys.join(contended, ["inbox_id", "key"]).select("inbox_id", "node", "first"))
+        chosen.append(undecided.join(met, ["inbox_id", "node"], "left_anti").select("inbox_id", "node"))
+        standing = met.groupBy("inbox_id", "node").agg(F.bool_and(F.col("node") == F.col("first")).alias("leads"))
+        winners = standing.where("leads").select("inbox_id", "node")
+        chosen.append(winners)
+        # a key is taken when its first node has won, and then it settles all nodes which hold it
+        settled = met.join(
+            winners.withColumnRenamed("node", "first"), ["inbox_id", "first"], "left_semi"
+        ).select("inbox_id", "node").distinct()
+        left = standing.select("inbox_id", "node").join(settled, ["inbox_id", "node"], "left_anti")
+        undecided = cut_lineage(undecided.join(left, ["inbox_id", "node"], "left_semi"))
         if undecided.isEmpty():
             break
     else:
@@ -102,8 +108,12 @@ def _settle(nodes: DataFrame, rounds: int) -> DataFrame:
                     F.col("node.sms_id").alias("sms_id"))
             .mapInPandas(_walk, "inbox_id string, sms_id bigint")
         )
-        return chosen.select("inbox_id", "node.sms_id").unionByName(walked)
-    return chosen.select("inbox_id", "node.sms_id")
+        return _all(chosen).select("inbox_id", "node.sms_id").unionByName(walked)
+    return _all(chosen).select("inbox_id", "node.sms_id")
+
+
+def _all(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
 
 
 def accepted_ids(txns: DataFrame, known: DataFrame | None = None, rounds: int = ROUNDS) -> DataFrame:

@@ -10,12 +10,21 @@ from khata.operators.dedup import dedup, drop_repeated_messages, mark_duplicates
 from khata.operators.extract import accepted, parse_messages
 from khata.operators.merge import merge_ledger
 from khata.operators.reports import INBOX, Keys
+from khata.session import cut_lineage
+
+
+def parsed_once(messages: DataFrame, tz: str) -> DataFrame:
+    """Ledger rows of the messages, one per message id, written out: they are read several times.
+
+    The parse comes before the rows are made unique, so it runs on the partitions of the scan.
+    """
+    return cut_lineage(accepted(parse_messages(messages, tz)).dropDuplicates(["inbox_id", "sms_id"]))
 
 
 def ingest(messages: DataFrame, tz: str, stored: DataFrame | None = None, decisions: DataFrame | None = None,
            priors: DataFrame | None = None, predictions: DataFrame | None = None) -> DataFrame:
     """New ledger rows of the messages: parsed, without duplicates, categorised."""
-    txns = accepted(parse_messages(drop_repeated_messages(messages), tz))
+    txns = parsed_once(messages, tz)
     return resolve_categories(dedup(txns, stored), decisions, priors, predictions)
 
 
@@ -26,7 +35,7 @@ def reprocess(messages: DataFrame, tz: str, stored: DataFrame, decisions: DataFr
     A stored row takes the newest message with its fingerprint.  Its category is resolved before
     the merge, so that a re-scan does not empty it.  The result has a column ``change``.
     """
-    txns = accepted(parse_messages(drop_repeated_messages(messages), tz))
+    txns = parsed_once(messages, tz)
     row = F.struct(*[c for c in txns.columns if c not in ("inbox_id", "fingerprint")])
     again = (
         txns.join(stored.select("inbox_id", "fingerprint").distinct(), ["inbox_id", "fingerprint"], "left_semi")
@@ -42,17 +51,17 @@ def reprocess(messages: DataFrame, tz: str, stored: DataFrame, decisions: DataFr
 
 def ingest_counters(messages: DataFrame, tz: str, stored: DataFrame | None = None, keys: Keys = INBOX) -> DataFrame:
     """scanned, parsed, rejected, duplicates and written per inbox."""
-    parsed = parse_messages(drop_repeated_messages(messages), tz)
-    scans = parsed.groupBy(*keys).agg(
-        F.count("*").alias("scanned"), F.count_if(F.col("reason").isNull()).alias("parsed"),
-        F.count_if(F.col("reason").isNotNull()).alias("rejected"),
-    )
-    doubles = mark_duplicates(accepted(parsed), stored).groupBy(*keys).agg(
+    unique = drop_repeated_messages(messages)
+    txns = parsed_once(messages, tz)
+    seen = unique.groupBy(*keys).agg(F.count("*").alias("scanned"))
+    read = txns.groupBy(*keys).agg(F.count("*").alias("parsed"))
+    doubles = mark_duplicates(txns, stored).groupBy(*keys).agg(
         F.count_if("duplicate").alias("duplicates"), F.count_if(~F.col("duplicate")).alias("written"),
     )
     zero = F.lit(0).cast("bigint")
-    return scans.join(doubles, list(keys), "left").select(
-        *keys, "scanned", "parsed", "rejected",
+    parsed = F.coalesce("parsed", zero)
+    return seen.join(read, list(keys), "left").join(doubles, list(keys), "left").select(
+        *keys, "scanned", parsed.alias("parsed"), (F.col("scanned") - parsed).alias("rejected"),
         F.coalesce("duplicates", zero).alias("duplicates"), F.coalesce("written", zero).alias("written"),
     )
 

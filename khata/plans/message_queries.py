@@ -312,7 +312,7 @@ DUPS = f"""{PARTS}, base AS (
 
 
 def doubled(spark: SparkSession, sf: str) -> DataFrame:
-    return extract.extract_transactions(views.messages_dups(spark, sf), TZ)
+    return ingest.parsed_once(views.messages_dups(spark, sf), TZ)
 
 
 @query("dedup", f"WITH {DUPS} SELECT inbox_id, sms_id FROM kept")
