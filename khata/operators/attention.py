@@ -16,23 +16,23 @@ from khata.operators.reports import INBOX, Keys
 def attention_list(ledger: DataFrame, bills: DataFrame, now: datetime, keys: Keys = INBOX) -> DataFrame:
     """One row per inbox and open topic: topic, n, detail."""
 
-    def topic(rows: DataFrame, name: str, detail=None) -> DataFrame:
+    def topic(rows: DataFrame, name: str) -> DataFrame:
         return rows.groupBy(*keys).agg(
-            F.lit(name).alias("topic"), F.count("*").alias("n"),
-            (F.lit(None).cast("string") if detail is None else detail).alias("detail"),
+            F.lit(name).alias("topic"), F.count("*").alias("n"), F.lit(None).cast("string").alias("detail")
         )
 
+    late = bills.where(is_overdue(now))
     first = Window.partitionBy(*keys).orderBy(F.asc_nulls_last("due_date"), "sms_id")
-    late = bills.where(is_overdue(now)).withColumn("place", F.row_number().over(first))
-    # only the first three issuers are listed, so only they are put into the list
-    issuers = F.array_join(
-        F.transform(
-            F.sort_array(F.collect_list(F.when(F.col("place") <= 3, F.struct("place", "issuer")))),
-            lambda b: b["issuer"],
-        ), ", ",
+    # only the first three issuers are listed, so only three rows per inbox reach the list
+    issuers = (
+        late.withColumn("place", F.row_number().over(first)).where(F.col("place") <= 3)
+        .groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("place", "issuer"))).alias("_first"))
     )
+    named = topic(late, "overdue_bills").join(issuers, list(keys)).withColumn(
+        "detail", F.array_join(F.transform("_first", lambda b: b["issuer"]), ", ")
+    ).drop("_first")
     return (
         topic(dashboard_pairs(ledger, now), "transfers")
         .unionByName(topic(ledger.where(is_pending()), "review"))
-        .unionByName(topic(late, "overdue_bills", issuers))
+        .unionByName(named)
     )

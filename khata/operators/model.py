@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from khata.functions import fixed_values as V
 from khata.functions.money import merchant_key, sender_id
+from khata.session import cut_lineage
 
 FEATURE_COLUMNS = ["merchant", "sender", "bank", "channel", "direction", "amount"]
 
@@ -25,10 +26,16 @@ def magnitude(amount: Column) -> Column:
     return chain.otherwise(V.MAGNITUDE_TOP)
 
 
-def features() -> Column:
+def with_features(rows: DataFrame) -> DataFrame:
+    """Adds ``features``.  The merchant key is a column first: the array functions read it often."""
+    return rows.withColumn("_key", merchant_key(F.col("merchant"))).withColumn(
+        "features", _features(F.col("_key"))
+    ).drop("_key")
+
+
+def _features(key: Column) -> Column:
     """Tokens of a row, in order: words and their prefixes, trigrams, sender, bank, channel,
     direction, magnitude."""
-    key = merchant_key(F.col("merchant"))
     words = F.filter(F.split(key, " "), lambda w: w != "")
     of_words = F.flatten(F.transform(words, lambda w: F.when(
         F.length(w) > 4,
@@ -66,7 +73,12 @@ def training_rows(ledger: DataFrame) -> DataFrame:
 
 def _signed(rows: DataFrame) -> DataFrame:
     """Rows with their features and a signature of them."""
-    return rows.withColumn("features", features()).withColumn("signature", F.sha2(F.to_json("features"), 256))
+    return with_features(rows).withColumn("signature", F.sha2(F.to_json("features"), 256))
+
+
+def _written(signed: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """What scoring needs of the rows, written out: it is read several times."""
+    return cut_lineage(signed.select(*{*keys, "inbox_id"}, "signature", "features"))
 
 
 def _bags(signed: DataFrame) -> DataFrame:
@@ -91,9 +103,9 @@ def nb_train(labelled: DataFrame) -> NaiveBayes:
     """Counts of labelled rows (inbox_id, category and the feature columns)."""
     rows = labelled.where(F.nullif(F.col("category"), F.lit("")).isNotNull())
     # equal labelled rows are counted before their tokens are exploded
-    packed = rows.withColumn("features", features()).groupBy("inbox_id", "category", "features").agg(
+    packed = cut_lineage(with_features(rows).groupBy("inbox_id", "category", "features").agg(
         F.count("*").alias("rows")
-    )
+    ))
     tokens = packed.select("inbox_id", "category", F.explode("features").alias("token"), "rows").groupBy(
         "inbox_id", "category", "token"
     ).agg(F.sum("rows").alias("n"))
@@ -120,9 +132,8 @@ def _top_two(scores: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def nb_scores(model: NaiveBayes, rows: DataFrame) -> DataFrame:
+def nb_scores(model: NaiveBayes, signed: DataFrame) -> DataFrame:
     """Log score of every usable class for every distinct signature of the rows."""
-    signed = _signed(rows)
     bags = _bags(signed)
     sizes = signed.groupBy("inbox_id", "signature").agg(F.first(F.size("features")).alias("size"))
     usable = model.classes.where(F.col("rows") >= V.NB_MIN_PER_CLASS).join(
@@ -151,8 +162,8 @@ def nb_predict(model: NaiveBayes, rows: DataFrame, keys: tuple[str, ...] = ("inb
 
     With ``why`` also the three tokens which speak most for the winner against the runner-up.
     """
-    signed = _signed(rows)
-    chosen = _top_two(nb_scores(model, rows), ["inbox_id", "signature"]).withColumn(
+    signed = _written(_signed(rows), keys)
+    chosen = _top_two(nb_scores(model, signed), ["inbox_id", "signature"]).withColumn(
         "confidence", F.least(F.lit(0.95), F.lit(0.5) + F.col("margin") / 10)
     )
     if why:
@@ -215,10 +226,10 @@ def nb_leave_one_out(labelled: DataFrame, keys: tuple[str, ...] = ("inbox_id",))
     """
     rows = labelled.where(F.nullif(F.col("category"), F.lit("")).isNotNull())
     model = nb_train(rows)
-    packed = _signed(rows).groupBy("inbox_id", "signature", F.col("category").alias("own")).agg(
+    packed = cut_lineage(_signed(rows).groupBy("inbox_id", "signature", F.col("category").alias("own")).agg(
         F.count("*").alias("rows_alike"), F.first(F.size("features")).alias("size"),
         F.first("features").alias("features"),
-    )
+    ))
     bags = packed.select("inbox_id", "signature", "own", F.explode("features").alias("token")).groupBy(
         "inbox_id", "signature", "own", "token"
     ).agg(F.count("*").alias("times"))

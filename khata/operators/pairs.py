@@ -29,7 +29,7 @@ from khata.functions.money import names_third_party
 from khata.session import cut_lineage
 
 WINDOW_US = V.PAIR_WINDOW_MS * 1000
-BLOCK_US = 8 * WINDOW_US
+BLOCK_US = 2 * WINDOW_US  # no shorter: an income may be wanted by two blocks, never by three
 GROUP = ["inbox_id", "amount", "block"]
 
 

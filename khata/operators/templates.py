@@ -98,10 +98,10 @@ def audit_extraction(parsed: DataFrame) -> DataFrame:
     """Messages per outcome with their share in whole percent; unexpected reasons are flagged."""
     outcome = F.coalesce("reason", F.lit("parsed"))
     counts = parsed.groupBy(outcome.alias("outcome")).agg(F.count("*").alias("n"))
-    total = counts.agg(F.sum("n").alias("total"))
+    total = F.sum("n").over(Window.partitionBy())  # over a dozen outcomes
     noise = ("parsed", *V.EXPECTED_NOISE)
-    return counts.crossJoin(F.broadcast(total)).select(
-        "outcome", "n", F.floor(F.col("n") * 100 / F.col("total")).cast("bigint").alias("pct"),
+    return counts.select(
+        "outcome", "n", F.floor(F.col("n") * 100 / total).cast("bigint").alias("pct"),
         (~F.col("outcome").isin(*noise)).alias("worth_reviewing"),
     )
 

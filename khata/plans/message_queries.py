@@ -356,7 +356,7 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     """Two thirds of the rows are stored; some with a kind set by hand, some with a stale merchant."""
     messages = views.messages_rendered(spark, sf)
     by_hand = F.col("sms_id") % 4 == 0
-    stored = ingest.resolve_categories(extract.extract_transactions(messages, TZ)).where("sms_id % 3 <> 0").withColumns({
+    stored = ingest.resolve_categories(ingest.parsed_once(messages, TZ)).where("sms_id % 3 <> 0").withColumns({
         "kind": F.when(by_hand, "income").otherwise(F.col("kind")),
         "kind_source": F.when(by_hand, "user").otherwise(F.col("kind_source")),
         "merchant": F.when(~by_hand & (F.col("sms_id") % 5 == 0), "WRONG").otherwise(F.col("merchant")),

@@ -48,8 +48,8 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("features", f"WITH {PARTS} SELECT inbox_id, sms_id, array_to_string(features, '|') AS features FROM bags")
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    return views.labelled_parts(spark, sf).select(
-        "inbox_id", "sms_id", F.array_join(model.features(), "|").alias("features"))
+    return model.with_features(views.labelled_parts(spark, sf)).select(
+        "inbox_id", "sms_id", F.array_join("features", "|").alias("features"))
 
 
 PREDICTED = f"""{PARTS}, scored AS (

@@ -169,7 +169,7 @@ def messages_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def labelled_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hand-labelled rows out of ``part``: the name is the merchant, the type its category."""
-    return table(spark, sf_dir, "part").selectExpr(
+    return spread(table(spark, sf_dir, "part")).selectExpr(
         "p_brand AS inbox_id", "p_partkey AS sms_id", "concat('p', p_partkey) AS fingerprint",
         "p_name AS merchant",
         # two of three labels follow the second word of the name, so that there is something to learn
