@@ -17,10 +17,30 @@ def local_time(ms: Column, tz: str) -> Column:
     return F.convert_timezone(F.lit("UTC"), F.lit(tz), utc.cast("timestamp_ntz"))
 
 
+def wall_micros(local: Column) -> Column:
+    """Microseconds on the wall clock since 1970.
+
+    Put together from its parts: a difference of timestamps goes by the session zone, where an hour
+    may be missing.
+    """
+    days = F.date_diff(F.to_date(local), F.lit(date(1970, 1, 1))).cast("bigint")
+    minutes = (days * 24 + F.hour(local)) * 60 + F.minute(local)
+    seconds = F.extract(F.lit("SECOND"), local)
+    return minutes * 60_000_000 + (seconds * 1_000_000).cast("bigint")
+
+
 def epoch_ms(local: Column, tz: str) -> Column:
     """Wall-clock time in the zone as epoch milliseconds."""
     utc = F.convert_timezone(F.lit(tz), F.lit("UTC"), local.cast("timestamp_ntz"))
-    return F.timestamp_diff("MILLISECOND", F.expr(EPOCH), utc)
+    return F.floor(wall_micros(utc) / 1000).cast("bigint")
+
+
+def iso_millis(local: Column) -> Column:
+    """yyyy-MM-ddTHH:mm:ss.SSS of a wall-clock time."""
+    millis = F.floor(F.extract(F.lit("SECOND"), local) * 1000) / 1000
+    second = F.lpad(millis.cast("decimal(5,3)").cast("string"), 6, "0")
+    parts = [F.lpad(part(local).cast("string"), 2, "0") for part in (F.hour, F.minute)]
+    return F.concat(F.to_date(local).cast("string"), F.lit("T"), F.concat_ws(":", *parts, second))
 
 
 def ntz(moment: datetime) -> Column:

@@ -20,7 +20,7 @@ from collections.abc import Iterator
 from datetime import datetime, timedelta
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from khata.functions import clock
@@ -37,17 +37,13 @@ def third_party(ledger: DataFrame) -> DataFrame:
     return ledger.withColumn("names_third_party", names_third_party())
 
 
-def _micros(moment: Column) -> Column:
-    return F.timestamp_diff("MICROSECOND", F.expr(clock.EPOCH), moment)
-
-
 def _candidates(ledger: DataFrame) -> DataFrame:
     """Expenses and incomes which may be halves of a movement, with their block."""
     return ledger.where(F.col("kind").isin("expense", "income") & ~names_third_party()).select(
         "inbox_id", "amount", "fingerprint", "sms_id",
         (F.col("kind") == "expense").alias("is_debit"),
         F.coalesce("account", F.lit("?")).alias("account"),
-        _micros(F.col("date")).alias("at"),
+        clock.wall_micros(F.col("date")).alias("at"),
     ).withColumn("block", F.floor(F.col("at") / BLOCK_US))
 
 

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from khata.functions.clock import iso_millis
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
@@ -24,7 +26,7 @@ def finish(df: DataFrame) -> DataFrame:
         elif isinstance(kind, T.DateType):
             col = col.cast("string")
         elif isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
-            col = F.date_format(col, "yyyy-MM-dd HH:mm:ss")
+            col = F.replace(F.substring(iso_millis(col), 1, 19), F.lit("T"), F.lit(" "))
         elif isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType)):
             col = col.cast("bigint")
         cols.append(col.alias(field.name))

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from khata.functions.clock import wall_micros
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -97,13 +99,14 @@ def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
         spread(table(spark, sf_dir, "events"))
         .withColumn("k", F.regexp_extract("props", "([0-9]+)", 1).cast("int"))
+        .withColumn("date_ms", F.floor(wall_micros(F.col("ts")) / 1_000_000) * 1000)
         .selectExpr(
             "event_id AS id", "CAST(user_id AS STRING) AS inbox_id", "event_type", "k",
             "CAST(CAST(value AS DECIMAL(18,2)) AS STRING) AS amt",
             "CAST(1000 + event_id % 4 AS STRING) AS acc",
             "date_format(ts, 'dd-MM-yy') AS day",
             "concat('EVT', lpad(CAST(event_id AS STRING), 9, '0')) AS ref",
-            "CAST(unix_millis(CAST(date_trunc('second', ts) AS TIMESTAMP)) AS BIGINT) AS date_ms",
+            "date_ms",
         )
     )
 

@@ -19,7 +19,7 @@ NOTES = (
 def csv_rows(ledger: DataFrame, tz: str) -> DataFrame:
     """The fourteen export columns, as text, oldest first."""
     utc = F.convert_timezone(F.lit(tz), F.lit("UTC"), F.col("date"))
-    iso = F.concat(F.date_format(utc, "yyyy-MM-dd'T'HH:mm:ss.SSS"), F.lit("Z"))
+    iso = F.concat(clock.iso_millis(utc), F.lit("Z"))
     confidence = plain_number((F.col("confidence_pct") / 100).cast("decimal(4,2)"))
     cells: dict[str, Column] = {
         "date": iso, "amount": plain_number(F.col("amount")), "confidence": confidence,
@@ -68,7 +68,3 @@ def write_ledger(ledger: DataFrame, path: str) -> None:
     month = F.date_format("date", "yyyy-MM")
     ledger.withColumn("month", month).repartition("month", F.pmod(F.xxhash64("inbox_id"), F.lit(64))).write.mode(
         "errorifexists").partitionBy("month").parquet(path)
-
-
-def local_day(moment_ms: Column, tz: str) -> Column:
-    return F.to_date(clock.local_time(moment_ms, tz))

@@ -235,3 +235,20 @@ def test_rules_and_names(spark):
     assert [r.p for r in names.select(looks_personal(F.col("m")).alias("p")).collect()] == [False, False, True]
     keys = spark.createDataFrame([("  SWIGGY-Stores_01 ",), (None,)], "m string").select(merchant_key(F.col("m")).alias("k"))
     assert [r.k for r in keys.collect()] == ["swiggystores01", ""]
+
+
+def test_the_session_zone_does_not_matter(spark, messages_of):
+    """An hour which the session zone skips is an hour like any other."""
+    rows = [("Rs.200 debited", "AX-HDFCBK", 1710037800000), ("Rs.200 debited on 10-03-24", "AX-HDFCBK", 1710037800000)]
+
+    def read():
+        txns = extract.extract_transactions(messages_of(rows), "UTC").orderBy("sms_id")
+        return [(r.d, r.date_ms, r.fingerprint) for r in txns.select(F.col("date").cast("string").alias("d"), "date_ms", "fingerprint").collect()]
+
+    before = read()
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        assert read() == before
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert before[0][0] == "2024-03-10 02:30:00" and before[1][1] == 1710028800000
