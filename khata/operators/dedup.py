@@ -17,15 +17,20 @@ before; only accepted rows count.  The outcome depends on the scan order, so nei
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 from functools import reduce
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from khata.session import cut_lineage
 
+# the helpers travel with the job: executors need not have this package installed
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 ROUNDS = 6
 ID = ["inbox_id", "sms_id"]
 

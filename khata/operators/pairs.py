@@ -15,11 +15,13 @@ end is the exact result; border cases are rare, so it is mostly reached at the f
 
 from __future__ import annotations
 
+import sys
 from collections import deque
 from collections.abc import Iterator
 from datetime import datetime, timedelta
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +30,9 @@ from khata.functions import fixed_values as V
 from khata.functions.money import names_third_party
 from khata.session import cut_lineage
 
+# the helpers travel with the job: executors need not have this package installed
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 WINDOW_US = V.PAIR_WINDOW_MS * 1000
 BLOCK_US = 2 * WINDOW_US  # no shorter: an income may be wanted by two blocks, never by three
 GROUP = ["inbox_id", "amount", "block"]
