@@ -22,7 +22,7 @@ def spread(df: DataFrame) -> DataFrame:
     A table of many files has enough splits and is left as it is.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
