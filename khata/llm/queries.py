@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from khata.llm.common import table
+from khata.llm.pieces import round_trips
 from khata.llm.quality import weak_quality
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,5 +17,9 @@ def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weak_quality(table(spark, sf_dir, "documents"), ["doc_id"])
 
 
-QUERIES: dict[str, Query] = {"op1_quality_rules": quality_rules}
+def sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trips(table(spark, sf_dir, "documents"), ["doc_id"])
+
+
+QUERIES: dict[str, Query] = {"op1_quality_rules": quality_rules, "op7_sentence_pieces": sentence_pieces}
 ORACLES: dict[str, str] = {}
