@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from khata.llm.common import table
 from khata.llm.pieces import round_trips
 from khata.llm.quality import weak_quality
+from khata.llm.simhash import near_groups
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,5 +22,13 @@ def sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trips(table(spark, sf_dir, "documents"), ["doc_id"])
 
 
-QUERIES: dict[str, Query] = {"op1_quality_rules": quality_rules, "op7_sentence_pieces": sentence_pieces}
+def simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_groups(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Query] = {
+    "op1_quality_rules": quality_rules,
+    "op2_simhash_groups": simhash_groups,
+    "op7_sentence_pieces": sentence_pieces,
+}
 ORACLES: dict[str, str] = {}
