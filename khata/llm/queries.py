@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from khata.llm.common import table
+from khata.llm.lines import line_report
 from khata.llm.pieces import round_trips
 from khata.llm.quality import weak_quality
 from khata.llm.simhash import near_groups
@@ -26,9 +27,14 @@ def simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(table(spark, sf_dir, "documents"))
 
 
+def fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_report(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_quality_rules": quality_rules,
     "op2_simhash_groups": simhash_groups,
     "op7_sentence_pieces": sentence_pieces,
+    "op9_fuzzy_lines": fuzzy_lines,
 }
 ORACLES: dict[str, str] = {}
