@@ -14,6 +14,7 @@ recent stretches, which changes nothing but time.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from pathlib import Path
@@ -46,20 +47,22 @@ class Vocabulary:
         plain = [i for i in ids if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))]
         self.unknown = min(sp.get_score(i) for i in plain) - 10
         self.longest = 1
-        #: Every piece and every beginning of one: (id, score), or (-1, 0) where it is only a beginning.
-        self.trie: dict[str, tuple[int, float]] = {}
-        for i in plain:
+        #: A trie of the pieces.  A node is (nodes by next character, id or -1, score).
+        self.trie: tuple[dict, int, float] = ({}, -1, 0.0)
+        within = False
+        for i in sorted(plain, key=lambda i: len(sp.id_to_piece(i))):
             piece = sp.id_to_piece(i)
+            within |= MARK in piece.lstrip(MARK) or (len(piece) > 1 and "\n" in piece)
             self.longest = max(self.longest, len(piece))
-            for k in range(1, len(piece)):
-                self.trie.setdefault(piece[:k], (-1, 0.0))
-            self.trie[piece] = (i, sp.get_score(i))
+            node = self.trie
+            for c in piece[:-1]:
+                node = node[0].setdefault(c, ({}, -1, 0.0))
+            node[0][piece[-1]] = ({}, i, sp.get_score(i))
         self.written = [b""] * len(ids)
         for i in plain:
             self.written[i] = sp.id_to_piece(i).replace(MARK, " ").encode()
         for value, i in self.bytes.items():
             self.written[i] = bytes([value])
-        within = [p for p in self.trie if MARK in p.lstrip(MARK) or (len(p) > 1 and "\n" in p)]
         self.stretches = re.compile(f"{MARK}*[^{MARK}\n]+|\n|{MARK}+") if not within else re.compile(".+", re.S)
 
 
@@ -78,13 +81,14 @@ class Stream:
         self.text += part
         return self._serve(len(self.text) - self.v.longest)
 
-    def finish(self) -> list[int]:
+    def finish(self, part: str = "") -> list[int]:
+        self.text += part
         return self._serve(len(self.text) - 1)
 
     def _serve(self, last: int) -> list[int]:
         """Extends all paths from the places up to ``last``."""
         out: list[int] = []
-        look, unknown, often = self.v.trie.get, self.v.unknown, 2 * self.v.longest
+        trie, unknown, often = self.v.trie[0], self.v.unknown, 2 * self.v.longest
         while self.at <= last:
             text, best, start, piece, reach, i = self.text, self.best, self.start, self.piece, self.reach, self.at
             size = len(text)
@@ -94,21 +98,29 @@ class Stream:
             piece += [-1] * more
             meet = False
             while i <= last and not meet:
-                score, end, single = best[i], i + 1, False
-                while score > -INFINITE and end <= size and (found := look(text[i:end])):
-                    k, gain = found
-                    if k >= 0:
-                        gain += score
-                        if gain > best[end]:
-                            best[end], start[end], piece[end] = gain, i, k
-                        reach = end if end > reach else reach
-                        single = single or end == i + 1
-                    end += 1
+                score = best[i]
+                if score > -INFINITE:
+                    node, end, single = trie.get(text[i]), i + 1, False
+                    while node is not None:
+                        nodes, k, gain = node
+                        if k >= 0:
+                            gain += score
+                            if gain > best[end]:
+                                best[end], start[end], piece[end] = gain, i, k
+                            if end > reach:
+                                reach = end
+                            if end == i + 1:
+                                single = True
+                        if end == size:
+                            break
+                        node = nodes.get(text[end])
+                        end += 1
+                    if not single:
+                        if score + unknown > best[i + 1]:
+                            best[i + 1], start[i + 1], piece[i + 1] = score + unknown, i, -1
+                        if i + 1 > reach:
+                            reach = i + 1
                 i += 1
-                if not single and score > -INFINITE:
-                    if score + unknown > best[i]:
-                        best[i], start[i], piece[i] = score + unknown, i - 1, -1
-                    reach = i if i > reach else reach
                 # The end, or a long stretch: look where the paths meet.
                 meet = i == size or i % often == 0
             self.at, self.reach = i, reach
@@ -119,12 +131,10 @@ class Stream:
     def _commit(self, out: list[int]) -> int:
         """Gives out the ids before the last place which all surviving paths share; how many characters that is."""
         self.window = max(self.window, self.at)
-        heads = {e for e in range(self.at, self.reach + 1) if self.best[e] > -INFINITE}
+        heads = [e for e in range(self.at, self.reach + 1) if self.best[e] > -INFINITE]
         while len(heads) > 1:
-            latest = max(heads)
-            heads.remove(latest)
-            heads.add(self.start[latest])
-        place = heads.pop()
+            heads = sorted({*heads[:-1], self.start[heads[-1]]})
+        place = heads[0]
         steps, p = [], place
         while p > 0:
             k = self.piece[p]
@@ -132,6 +142,9 @@ class Stream:
             p = self.start[p]
         for ids in reversed(steps):
             out += ids
+        if place == len(self.text):  # all of it: begin anew
+            self.text, self.at, self.reach, self.best, self.start, self.piece = "", 0, 0, [0.0], [0], [-1]
+            return place
         self.text, self.at, self.reach = self.text[place:], self.at - place, self.reach - place
         base = self.best[place]
         self.best = [b - base for b in self.best[place:]]
@@ -146,7 +159,7 @@ class Encoder:
         self.v = Vocabulary(model)
         self.memo: dict[str, bytes] = {}
 
-    def encode(self, text: str, part: int = 1 << 16) -> np.ndarray:
+    def encode(self, text: str, part: int = 1 << 12) -> np.ndarray:
         if not text:
             return np.empty(0, np.int32)
         memo, found = self.memo, []
@@ -167,11 +180,11 @@ class Encoder:
     def _viterbi(self, stretch: str, part: int) -> bytes:
         if stretch == OWN_MARK:
             return np.array([self.v.bytes[b] for b in MARK.encode()], np.int32).tobytes()
-        stream = Stream(self.v)
-        ids: list[int] = []
-        for at in range(0, len(stretch), part):
-            ids += stream.feed(stretch[at : at + part])
-        out = np.array(ids + stream.finish(), np.int32).tobytes()
+        stream, ids = Stream(self.v), array("i")
+        for at in range(part, len(stretch) + part, part):
+            last = at >= len(stretch)
+            ids.extend(stream.finish(stretch[at - part :]) if last else stream.feed(stretch[at - part : at]))
+        out = ids.tobytes()
         if len(stretch) <= MEMO_CHARS:
             if len(self.memo) >= MEMO_SIZE:
                 self.memo.clear()

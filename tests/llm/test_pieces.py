@@ -2,6 +2,7 @@ import random
 from pathlib import Path
 
 import pytest
+from sentencepiece import SentencePieceProcessor
 
 from khata.llm import pieces
 
@@ -12,18 +13,19 @@ TEXTS = [
 ]
 
 
+SP = SentencePieceProcessor(model_proto=MODEL)
+known = {SP.id_to_piece(i): (i, SP.get_score(i)) for i in range(3, SP.get_piece_size()) if not SP.is_byte(i)}
+
+
 def whole_viterbi(v, text):
     """All starts and ends over the whole text at once."""
     best, back = [0.0] + [None] * len(text), [None] * (len(text) + 1)
     for i in range(len(text)):
-        single = False
         for end in range(i + 1, min(i + v.longest, len(text)) + 1):
-            found = v.trie.get(text[i:end])
-            if found and found[0] >= 0:
-                single |= end == i + 1
-                if best[end] is None or best[i] + found[1] > best[end]:
-                    best[end], back[end] = best[i] + found[1], (i, [found[0]])
-        if not single and (best[i + 1] is None or best[i] + v.unknown > best[i + 1]):
+            piece, score = known.get(text[i:end], (None, None))
+            if piece is not None and (best[end] is None or best[i] + score > best[end]):
+                best[end], back[end] = best[i] + score, (i, [piece])
+        if text[i] not in known and (best[i + 1] is None or best[i] + v.unknown > best[i + 1]):
             best[i + 1], back[i + 1] = best[i] + v.unknown, (i, [v.bytes[b] for b in text[i].encode()])
     out, p = [], len(text)
     while p:
@@ -40,7 +42,8 @@ def random_texts(n, size, seed):
 
 @pytest.mark.parametrize("part", [1, 3, 17, 1 << 16])
 def test_streaming_equals_the_whole_lattice(part):
-    v = pieces.Vocabulary(MODEL)
+    e = pieces.Encoder(MODEL)
+    v = e.v
     for text in random_texts(60, 60, part) + ["a" * 500, "ab" * 300]:
         marked = pieces.MARK + text.replace(" ", pieces.MARK)
         stream, got = pieces.Stream(v), []
@@ -48,7 +51,7 @@ def test_streaming_equals_the_whole_lattice(part):
             got += stream.feed(marked[at:at + part])
         assert got + stream.finish() == whole_viterbi(v, marked)
         e = pieces.Encoder(MODEL)
-        assert e.encode(text).tolist() == (whole_viterbi(v, marked) if text else [])
+        assert e.encode(text, part).tolist() == (whole_viterbi(v, marked) if text else [])
 
 
 def test_window_stays_bounded_where_paths_converge():
@@ -60,9 +63,7 @@ def test_window_stays_bounded_where_paths_converge():
 
 
 def test_the_library_decodes_the_ids():
-    from sentencepiece import SentencePieceProcessor
-
-    sp, e = SentencePieceProcessor(model_proto=MODEL), pieces.Encoder(MODEL)
+    sp, e = SP, pieces.Encoder(MODEL)
     for text in random_texts(300, 30, 5) + TEXTS:
         assert sp.decode(e.encode(text).tolist()) == text
 
