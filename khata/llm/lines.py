@@ -21,29 +21,13 @@ from pyspark.sql import functions as F
 
 from khata.llm.common import Written, free_name
 from khata.llm.graph import components
+from khata.llm.hashing import FORM, GOLDEN, mixed, word_hashes
 
 MIN_WORDS = 5
 #: Slots of the filter which decides whose text is fetched; with a slot a row, this bounds what is broadcast.
 SLOTS = 1 << 20
 CHUNK_BYTES = 1 << 20
 
-_FORM = bytearray(range(256))
-for _b in range(128):
-    _c = chr(_b)
-    _FORM[_b] = ord("0") if _c.isdigit() else ord(_c.lower()) if _c.isalnum() else 10 if _c == "\n" else 32
-FORM = bytes(_FORM)
-_RANDOM = np.random.default_rng(20240229)
-#: Odd weights for the bytes of a word, by place.
-WEIGHTS = _RANDOM.integers(0, 1 << 63, 4096, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-GOLDEN = np.uint64(0x9E3779B97F4A7C15)
-
-
-def mixed(h: np.ndarray) -> np.ndarray:
-    """Spreads the bits of 64-bit sums."""
-    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
-
 
 def line_bits(forms: list[bytes], counts: list[int]) -> np.ndarray:
     """SimHash of every line; ``counts`` has its number of words.
@@ -51,11 +35,7 @@ def line_bits(forms: list[bytes], counts: list[int]) -> np.ndarray:
     The features are words; of a run of equal words each has its place in the run, so that runs of different lengths differ.
     """
     data = np.frombuffer(b" ".join(forms), np.uint8)
-    gaps = np.flatnonzero(data == 32)
-    starts = np.concatenate([[0], gaps + 1])
-    place = np.arange(len(data), dtype=np.int64)
-    place -= np.repeat(starts, np.diff(np.append(starts, len(data))))
-    sums = np.add.reduceat(data * WEIGHTS[place & 4095] * (data != 32), starts)
+    _, sums = word_hashes(data)
     firsts = np.concatenate([[0], np.cumsum(counts)[:-1]])
     new = np.ones(len(sums), bool)
     new[1:] = sums[1:] != sums[:-1]
