@@ -13,6 +13,8 @@ from khata.llm.mixing import mixed_documents
 from khata.llm.pieces import round_trips
 from khata.llm.quality import weak_quality
 from khata.llm.simhash import near_groups
+from khata.llm.toxicity import scored as toxicity_scored
+from khata.llm.toxicity import train as toxicity_train
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -40,6 +42,16 @@ def mixed_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select(F.col("id").alias("doc_id"), "tokens", *chances, "rate", "copies")
 
 
+def toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learns from the labelled rows outside of every fifth part, and scores all rows."""
+    docs, part = table(spark, sf_dir, "documents"), F.crc32(F.col("doc_id").cast("string")) % 5
+    model = toxicity_train(docs, table(spark, sf_dir, "labels"), part != 0)
+    return toxicity_scored(docs, model).select(
+        "doc_id", F.coalesce(part == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"),
+        "threshold", "flagged",
+    )
+
+
 def fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_report(table(spark, sf_dir, "documents"))
 
@@ -48,6 +60,7 @@ QUERIES: dict[str, Query] = {
     "op1_quality_rules": quality_rules,
     "op2_simhash_groups": simhash_groups,
     "op3_mixed_sources": mixed_sources,
+    "op5_toxicity": toxicity,
     "op7_sentence_pieces": sentence_pieces,
     "op9_fuzzy_lines": fuzzy_lines,
 }
