@@ -13,6 +13,7 @@ from khata.llm.mixing import mixed_documents
 from khata.llm.pieces import round_trips
 from khata.llm.quality import weak_quality
 from khata.llm.simhash import near_groups
+from khata.llm.topk import top_products
 from khata.llm.toxicity import scored as toxicity_scored
 from khata.llm.toxicity import train as toxicity_train
 
@@ -56,6 +57,26 @@ def fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_report(table(spark, sf_dir, "documents"))
 
 
+def norm_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twenty best rows for every twentieth vector."""
+    return top_products(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
+
+
+NORM_BUCKETS_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scores AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scores)
+WHERE rank <= 20
+"""
+
+
 QUERIES: dict[str, Query] = {
     "op1_quality_rules": quality_rules,
     "op2_simhash_groups": simhash_groups,
@@ -63,5 +84,6 @@ QUERIES: dict[str, Query] = {
     "op5_toxicity": toxicity,
     "op7_sentence_pieces": sentence_pieces,
     "op9_fuzzy_lines": fuzzy_lines,
+    "op10_norm_buckets": norm_buckets,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op10_norm_buckets": NORM_BUCKETS_SQL}
