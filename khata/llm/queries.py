@@ -12,6 +12,7 @@ from khata.llm.lines import line_report
 from khata.llm.mixing import mixed_documents
 from khata.llm.pieces import round_trips
 from khata.llm.quality import weak_quality
+from khata.llm.secrets import scan_secrets
 from khata.llm.simhash import near_groups
 from khata.llm.topk import top_products
 from khata.llm.toxicity import scored as toxicity_scored
@@ -43,6 +44,10 @@ def mixed_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select(F.col("id").alias("doc_id"), "tokens", *chances, "rate", "copies")
 
 
+def secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(table(spark, sf_dir, "documents"))
+
+
 def toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Learns from the labelled rows outside of every fifth part, and scores all rows."""
     docs, part = table(spark, sf_dir, "documents"), F.crc32(F.col("doc_id").cast("string")) % 5
@@ -81,6 +86,7 @@ QUERIES: dict[str, Query] = {
     "op1_quality_rules": quality_rules,
     "op2_simhash_groups": simhash_groups,
     "op3_mixed_sources": mixed_sources,
+    "op4_secret_scan": secret_scan,
     "op5_toxicity": toxicity,
     "op7_sentence_pieces": sentence_pieces,
     "op9_fuzzy_lines": fuzzy_lines,
