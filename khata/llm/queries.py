@@ -12,6 +12,7 @@ from khata.llm.lines import line_report
 from khata.llm.mixing import mixed_documents
 from khata.llm.pieces import round_trips
 from khata.llm.quality import weak_quality
+from khata.llm.repeats import without_repeats
 from khata.llm.secrets import scan_secrets
 from khata.llm.simhash import near_groups
 from khata.llm.topk import top_products
@@ -62,6 +63,12 @@ def fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_report(table(spark, sf_dir, "documents"))
 
 
+def repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document which lie in a string of 200 bytes that starts elsewhere, too."""
+    rows = without_repeats(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def norm_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The twenty best rows for every twentieth vector."""
     return top_products(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
@@ -89,6 +96,7 @@ QUERIES: dict[str, Query] = {
     "op4_secret_scan": secret_scan,
     "op5_toxicity": toxicity,
     "op7_sentence_pieces": sentence_pieces,
+    "op8_repeated_bytes": repeated_bytes,
     "op9_fuzzy_lines": fuzzy_lines,
     "op10_norm_buckets": norm_buckets,
 }
