@@ -15,6 +15,7 @@ from khata.llm.quality import weak_quality
 from khata.llm.repeats import without_repeats
 from khata.llm.secrets import scan_secrets
 from khata.llm.simhash import near_groups
+from khata.llm.surrogates import KINDS, pseudonymised
 from khata.llm.topk import top_products
 from khata.llm.toxicity import scored as toxicity_scored
 from khata.llm.toxicity import train as toxicity_train
@@ -63,6 +64,11 @@ def fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_report(table(spark, sf_dir, "documents"))
 
 
+def pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts of all documents with surrogates for personal data; the key of a query is no secret."""
+    return pseudonymised(table(spark, sf_dir, "documents"), "registered query").select("doc_id", "text", *[f"n_{k}" for k in KINDS])
+
+
 def repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes of every document which lie in a string of 200 bytes that starts elsewhere, too."""
     rows = without_repeats(table(spark, sf_dir, "documents"))
@@ -95,6 +101,7 @@ QUERIES: dict[str, Query] = {
     "op3_mixed_sources": mixed_sources,
     "op4_secret_scan": secret_scan,
     "op5_toxicity": toxicity,
+    "op6_pii_surrogates": pii_surrogates,
     "op7_sentence_pieces": sentence_pieces,
     "op8_repeated_bytes": repeated_bytes,
     "op9_fuzzy_lines": fuzzy_lines,
