@@ -102,17 +102,21 @@ def edits(a: str, b: str, most: int) -> int:
     m, where = len(a), {}
     for i, c in enumerate(a):
         where[c] = where.get(c, 0) | 1 << i
-    full, top, score = (1 << m) - 1, 1 << (m - 1), m
+    full, top, score, left = (1 << m) - 1, 1 << (m - 1), m, len(b)
     up, down = full, 0
-    for k, c in enumerate(b):
-        x = where.get(c, 0) | down
-        d = (((x & up) + up) ^ up) | x
-        h, n = down | ~(d | up) & full, up & d
-        score += bool(h & top) - bool(n & top)
-        if score - (len(b) - k - 1) > most:
+    for c in b:
+        same = where.get(c, 0)
+        d = (((same & up) + up) ^ up) | same | down
+        h, n = down | full & ~(d | up), up & d
+        if h & top:
+            score += 1
+        elif n & top:
+            score -= 1
+        left -= 1
+        if score - left > most:  # every character that is left takes one off at best
             return most + 1
-        h = h << 1 & full | 1
-        up, down = n << 1 & full | ~((where.get(c, 0) | down) & full | h) & full, h & (where.get(c, 0) | down)
+        h = h << 1 | 1
+        up, down = (n << 1 | ~(d | h)) & full, d & h & full
     return score
 
 
@@ -163,13 +167,28 @@ def line_groups(lines: DataFrame, place: Written, similarity: float, distance: i
     texts = place.table(
         near.join(ends, "bits", "left_semi").groupBy("bits", "line").agg(F.min("form").alias("form")), "texts"
     )
-    one, two = texts.select(F.col("bits").alias("a"), F.col("line").alias("la"), F.col("form").alias("fa")), texts.select(
-        F.col("bits").alias("b"), F.col("line").alias("lb"), F.col("form").alias("fb")
-    )
-    shorter, longer = F.least(F.length("fa"), F.length("fb")), F.greatest(F.length("fa"), F.length("fb"))
-    met = pairs.join(one, "a").join(two, "b").where(((F.col("a") != F.col("b")) | (F.col("la") < F.col("lb"))) & (shorter >= similarity * longer))
-    links = met.where(similar(F.col("fa"), F.col("fb"), similarity)).select(F.col("la").alias("a"), F.col("lb").alias("b"))
-    return components(links, place).withColumnRenamed("node", "line").withColumnRenamed("component", "group")
+    sized = texts.select("bits", "line", F.length("form").alias("size"))
+    one, two = (sized.select(F.col("bits").alias(x), F.col("line").alias(f"l{x}"), F.col("size").alias(f"s{x}")) for x in "ab")
+    alike = F.least("sa", "sb") >= similarity * F.greatest("sa", "sb")
+    met = pairs.join(one, "a").join(two, "b").where(((F.col("a") != F.col("b")) | (F.col("la") < F.col("lb"))) & alike)
+    met = place.table(met.select(F.greatest("la", "lb").alias("a"), F.least("la", "lb").alias("b")), "met")
+    # Groups are wanted, not all links: each line is compared with its smallest partner first, and of the other pairs only
+    # those are verified whose lines are not in one group by then.
+    nearest = place.table(_verified(met.groupBy("a").agg(F.min("b").alias("b")), texts, similarity), "nearest")
+    grouped = place.table(components(nearest, place), "grouped")
+    of_a, of_b = (grouped.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")) for x in "ab")
+    open_pairs = met.join(of_a, "a", "left").join(of_b, "b", "left").where(
+        F.coalesce("ca", "a") != F.coalesce("cb", "b")
+    ).select("a", "b")
+    others = place.table(_verified(open_pairs, texts, similarity), "others")
+    known = grouped.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    return components(known.unionByName(others), place, "all").withColumnRenamed("node", "line").withColumnRenamed("component", "group")
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) of lines whose forms are similar."""
+    fa, fb = (texts.select(F.col("line").alias(x), F.col("form").alias(f"f{x}")) for x in "ab")
+    return pairs.join(fa, "a").join(fb, "b").where(similar(F.col("fa"), F.col("fb"), similarity)).select("a", "b")
 
 
 def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = 0.8, distance: int = 3, count: int = 5) -> DataFrame:
@@ -187,7 +206,7 @@ def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", simi
     judged = named.join(whole.select("group", "keep"), "group").select("line", "keep")
     gone = lines.select("id", "version", "line_no", "line").join(judged, "line").where(~at.eqNullSafe(F.col("keep")))
     out = place.table(gone.groupBy("id", "version").agg(F.sort_array(F.collect_set("line_no")).alias("gone")), "gone")
-    for name in ("lines", "kinds", "close", "texts", "groups"):
+    for name in ("lines", "kinds", "close", "texts", "met", "nearest", "grouped", "others", "groups"):
         place.drop(name)
     return out
 
