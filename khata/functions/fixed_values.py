@@ -20,8 +20,6 @@ CSV_COLUMNS = (
 )
 REVIEW_THRESHOLD_PCT = 60
 SOFT_KEY_BUCKET_MS = 600_000
-RAW_CHARS = 300
-MERCHANT_CHARS = 60
 DRIFT_BODY_CHARS = 160
 PAIR_WINDOW_MS = 86_400_000
 GUESS_REASON = "paid to what looks like a person — spend or transfer?"
@@ -287,6 +285,7 @@ LEAKS = (
 PLACEHOLDER = r"^(?:[9X]+|REDACTED\S*|EMAIL_REDACTED|AADHAAR_REDACTED|PANXXXXXXXXX|IFSC0XXXXXX|APPLICATION_ID|1800XXXXXX|9999999999@\w+)$"
 PLACEHOLDER_FILL = r"^[9X*x\s./-]+$"
 # words which a name rule must not take for a name; callers add their own through an argument
+# (the bulk rules know these, the rules for single reports those of NOT_NAMES_SESSION, too)
 NOT_NAMES = (
     "hdfc", "icici", "axis", "sbi", "kotak", "yes", "idfc", "indusind", "rbl",
     "amex", "american", "express", "paytm", "phonepe", "gpay", "google", "play",
@@ -307,6 +306,18 @@ NOT_NAMES = (
     "redeem", "reset", "activate", "download", "register", "confirm", "verify",
     "continue", "learn", "report", "unblock", "dispute", "add", "added", "make",
 )
+NOT_NAMES_SESSION = (
+    "bob", "canara", "pnb", "union", "federal", "bandhan", "au", "ujjivan", "equitas", "dbs", "hsbc", "citi",
+    "standard", "chartered", "zepto", "blinkit", "utr", "available", "avbl", "today",
+    "info", "help", "support", "branch", "ifsc", "cheque", "deposit", "withdrawal", "interest", "emi", "loan",
+    "stop", "start", "quit", "unsub", "resume", "active", "inactive", "no", "ok", "done", "fail", "failed", "success",
+    "dormant", "kyc", "ckyc", "rekyc", "fastag", "netc", "wallet", "reload", "autopay", "smartpay", "mycards", "imobile",
+    "netbanking", "mobilebanking", "vpa", "qr", "otp", "pin", "mpin", "cvv", "nach", "ecs",
+    "declined", "reversed", "reversal", "refund", "cashback", "reward", "overdue",
+    "telecom", "regulatory", "authority", "npci", "rbi", "trai", "uidai", "government", "dept", "department",
+    "notice", "attention", "important", "reminder", "congratulations", "welcome", "thanks",
+    "regards", "care", "relationship", "manager", "rm", "nominee", "nomination",
+)
 
 # --- fixed values: message shapes ----------------------------------------------------------------
 SHAPE_STEPS = (
@@ -322,7 +333,6 @@ SHAPE_STEPS = (
     (r"https?://\S+|REDACTED\.LINK\S*", "<URL>"),
     (r"\s+", " "),
 )
-SHAPE_CHARS = 220
 CLAIMED_DATE_FORMS = (
     r"\b\d{1,2}[\/\-]\d{1,2}[\/\-]\d{2,4}\b",
     r"\b\d{1,2}[\s\-\/]?[A-Za-z]{3}[a-z]*[\s\-\/]?\d{2,4}\b",

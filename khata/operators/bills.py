@@ -75,7 +75,7 @@ def extract_bills(messages: DataFrame) -> DataFrame:
         "inbox_id", F.col("id").alias("sms_id"), fingerprint.alias("fingerprint"),
         F.coalesce("issuer", F.lit("unknown")).alias("issuer"), "account", "kind", "amount",
         "minimum_due", "due_date", F.col("date_ms").alias("seen_ms"), "overdue",
-        F.lit("open").alias("status"), F.substring("_text", 1, V.RAW_CHARS).alias("raw"),
+        F.lit("open").alias("status"), F.col("_text").alias("raw"),
     )
 
 

@@ -19,7 +19,7 @@ def detect_drift(classified: DataFrame) -> DataFrame:
         & is_financial(sender_id(F.col("address")))
     ).select(
         "inbox_id", F.col("id").alias("sms_id"), F.col("address").alias("sender"), "reason", "subtype",
-        F.substring("body", 1, V.DRIFT_BODY_CHARS).alias("body"), "date_ms",
+        "body", "date_ms",
     )
 
 
@@ -51,7 +51,7 @@ def replaced_totals(redacted: DataFrame, keys: Keys = INBOX) -> DataFrame:
 
 
 def report_text(report: DataFrame, build: str = "unknown") -> DataFrame:
-    """The report as one text block per template, ready to be written as text files."""
+    """The report as one text block per template, ready to be written as text files; only here a long body is cut."""
     return report.select(
         *[c for c in report.columns if c in ("inbox_id",)],
         F.concat_ws(
@@ -59,6 +59,6 @@ def report_text(report: DataFrame, build: str = "unknown") -> DataFrame:
             F.concat(F.lit("sender : "), F.col("sender")),
             F.concat(F.lit("reason : "), F.col("reason")),
             F.concat(F.lit("seen   : "), F.col("count"), F.lit("×")),
-            F.lit(""), F.col("body"), F.lit(""),
+            F.lit(""), F.substring("body", 1, V.DRIFT_BODY_CHARS), F.lit(""),
         ).alias("value"),
     )

@@ -220,7 +220,7 @@ def parse_messages(messages: DataFrame, tz: str) -> DataFrame:
             F.col("_day").isNotNull(), clock.epoch_ms(F.col("_day"), tz)
         ).otherwise(F.col("date_ms")),
     }).withColumns({
-        "_merchant": F.coalesce(F.substring(F.col("_name"), 1, V.MERCHANT_CHARS), F.col("_brand")),
+        "_merchant": F.coalesce("_name", "_brand"),
         "_quality": F.when(F.col("_name").isNotNull(), F.col("_read.quality")).when(
             F.col("_brand").isNotNull(), "sender"),
         "_date": F.when(ok, F.coalesce(F.col("_day").cast("timestamp_ntz"), clock.local_time(F.col("date_ms"), tz))),
@@ -293,7 +293,7 @@ def _txn_columns() -> dict[str, Column]:
         "reviewed": F.lit(False),
         "ambiguous_p2p": phone,
         "review_reason_override": F.lit(None).cast("string"),
-        "raw": F.substring(c("_text"), 1, V.RAW_CHARS),
+        "raw": c("_text"),
     }
 
 

@@ -9,7 +9,7 @@ from khata.functions import fixed_values as V
 from khata.functions.money import is_financial, sender_id
 from khata.functions.text import has, has_any, masked, squeeze
 from khata.operators.extract import FLAGS, parse_messages
-from khata.operators.reports import INBOX, Keys
+from khata.operators.reports import INBOX, Keys, page
 
 
 def _place(tab: str, subtype: str | Column, reason: str) -> Column:
@@ -63,8 +63,9 @@ def visible_body(classified: DataFrame) -> DataFrame:
     return classified.withColumn("body", F.when(~F.col("sensitive"), F.col("body")))
 
 
-def search_inbox(classified: DataFrame, tab: str, query: str = "", limit: int = 40) -> DataFrame:
-    """Newest messages of a tab whose body or sender contains the text, codes masked."""
+def search_inbox(classified: DataFrame, tab: str, query: str = "", limit: int = 40, offset: int = 0,
+                 keys: Keys = INBOX) -> DataFrame:
+    """A page of the newest messages of a tab, per inbox, whose body or sender contains the text, codes masked."""
     q = query.strip().lower()
     rows = classified.where(F.col("tab") == tab)
     if q:
@@ -72,4 +73,4 @@ def search_inbox(classified: DataFrame, tab: str, query: str = "", limit: int =
             F.lower(F.coalesce("body", F.lit(""))).contains(q)
             | F.lower(F.coalesce("address", F.lit(""))).contains(q)
         )
-    return visible_body(rows.orderBy(F.desc("date_ms"), F.desc("id")).limit(limit))
+    return visible_body(page(rows, keys, [F.desc("date_ms"), F.desc("id")], limit, offset))

@@ -50,18 +50,24 @@ def _letters_as_nines(text: Column) -> Column:
 
 
 def pseudonym(kind: str, value: Column, salt: str, width: int) -> Column:
-    """KIND_hhhh: the same value has the same name under one salt."""
+    """KIND_hhhh: the same value has the same name under one salt.
+
+    Beyond four characters digits become letters, or later passes would take a run of them for a number.
+    """
     clear = F.concat(F.lit(salt + kind), F.lower(F.trim(value)))
-    return F.concat(F.lit(kind + "_"), F.substring(F.sha2(clear, 256), 1, width))
+    name = F.substring(F.sha2(clear, 256), 1, width)
+    return F.concat(F.lit(kind + "_"), name if width <= 4 else F.translate(name, "0123456789", "abcdefabcd"))
+
 
+def is_name(text: Column, stop_words: tuple[str, ...], ends_only: bool = False) -> Column:
+    """At most six words of letters, not all of them stop words, one of the others capitalised.
 
-def is_name(text: Column, extra: tuple[str, ...]) -> Column:
-    """At most six words of letters, not all of them stop words, one of the others capitalised."""
-    stop = F.array(*[F.lit(w) for w in (*V.NOT_NAMES, *extra)])
+    Full stops and commas in a word don't count when it is looked up; with ``ends_only`` only those at its ends.
+    """
+    stop = F.array(*[F.lit(w) for w in stop_words])
+    marks = "^[.,]+|[.,]+$" if ends_only else "[.,]"
     words = F.filter(F.split(squeeze(F.trim(text)), " "), lambda w: w != "")
-    real = F.filter(
-        words, lambda w: ~F.array_contains(stop, F.regexp_replace(F.lower(w), "[.,]", ""))
-    )
+    real = F.filter(words, lambda w: ~F.array_contains(stop, F.regexp_replace(F.lower(w), marks, "")))
     return (
         F.size(words).between(1, 6)
         & F.forall(words, lambda w: w.rlike(r"^[A-Za-z][A-Za-z.'-]*$"))
@@ -69,6 +75,13 @@ def is_name(text: Column, extra: tuple[str, ...]) -> Column:
     )
 
 
+def name_test(rules: str, stop_words: tuple[str, ...] = ()) -> Callable[[Column], Column]:
+    """The name test of a rule set, with words of the caller."""
+    session = rules == "session"
+    known = (*V.NOT_NAMES, *(V.NOT_NAMES_SESSION if session else ()), *stop_words)
+    return lambda text: is_name(text, known, ends_only=not session)
+
+
 def _two(number: Column) -> Column:
     return F.lpad(number.cast("string"), 2, "0")
 
@@ -127,7 +140,7 @@ def _blank_date_passes() -> list[Pass]:
     ]
 
 
-def passes(salt: str, shift_days: int, rules: str = "session", width: int = 4,
+def passes(salt: str, shift_days: int, rules: str = "session", width: int = 24,
            blank_dates: bool = False, stop_words: tuple[str, ...] = ()) -> list[Pass]:
     """The ordered passes of a rule set: ``session`` (single reports) or ``offline`` (bulk files)."""
     session = rules == "session"
@@ -136,6 +149,8 @@ def passes(salt: str, shift_days: int, rules: str = "session", width: int = 4,
     psp = V.PSP_SESSION if session else V.PSP_OFFLINE
     domains = V.TOP_DOMAINS_SESSION if session else V.TOP_DOMAINS_OFFLINE
 
+    named_so = name_test(rules, stop_words)
+
     def fill(hit: Column) -> Column:
         return F.repeat(F.lit("9"), F.length(hit))
 
@@ -148,7 +163,7 @@ def passes(salt: str, shift_days: int, rules: str = "session", width: int = 4,
 
     def named(hit: Column, prefix: Column, name: Column) -> Column:
         who = F.rtrim(name)
-        return F.when(is_name(who, stop_words), F.concat(prefix, tagged("PERSON", who))).otherwise(hit)
+        return F.when(named_so(who), F.concat(prefix, tagged("PERSON", who))).otherwise(hit)
 
     def account(_: Column, word: Column, no: Column, mask: Column, digits: Column) -> Column:
         if session:
@@ -233,24 +248,24 @@ def passes(salt: str, shift_days: int, rules: str = "session", width: int = 4,
         Pass("name_initials", r"\b((?:[A-Z]\s+){1,4}[A-Z]{2,}(?:\s+[A-Z]{2,})*)\b",
              lambda hit: tagged("PERSON", hit)),
         Pass("name_caps", r"\b([A-Z]{2,}(?:\s+[A-Z]+){1,4})\b",
-             lambda hit: F.when(is_name(hit, stop_words), tagged("PERSON", hit)).otherwise(hit)),
+             lambda hit: F.when(named_so(hit), tagged("PERSON", hit)).otherwise(hit)),
     ]
     if session:
         result += [Pass(
             "name_salutation",
             r"^([A-Z][A-Za-z.'-]{2,30}(?:\s+[A-Z][A-Za-z.'-]{1,30}){0,3})\s*,\s*$",
             lambda hit, name: F.when(
-                is_name(name, stop_words), F.concat(tagged("PERSON", name), F.lit(","))
+                named_so(name), F.concat(tagged("PERSON", name), F.lit(","))
             ).otherwise(hit), 1, "m",
         )]
     return result
 
 
-def _hits_that_count(step: Pass, text: Column, stop_words: tuple[str, ...]) -> Column:
+def _hits_that_count(step: Pass, text: Column, named_so: Callable[[Column], Column]) -> Column:
     if step.kind != "name_salutation":
         return count_hits(text, step.pattern, step.flags)
     names = F.regexp_extract_all(text, F.lit(java(step.pattern, step.flags)), 1)
-    return F.size(F.filter(names, lambda n: is_name(n, stop_words)))
+    return F.size(F.filter(names, named_so))
 
 
 def redact(df: DataFrame, column: str, salt: str, shift_days: int, counts: bool = True, **options) -> DataFrame:
@@ -259,7 +274,7 @@ def redact(df: DataFrame, column: str, salt: str, shift_days: int, counts: bool
     Options are those of ``passes``.  The counts cost one more search per pass.  The result leaves
     through a generator of one row, so that a later filter on it is not pushed through the passes.
     """
-    stop_words = options.get("stop_words", ())
+    named_so = name_test(options.get("rules", "session"), options.get("stop_words", ()))
     steps = passes(salt, shift_days, **options)
     work = df.withColumn(TEXT, F.coalesce(F.col(column), F.lit("")))
     counters: dict[str, list[str]] = {}
@@ -268,7 +283,7 @@ def redact(df: DataFrame, column: str, salt: str, shift_days: int, counts: bool
         if counts:
             name = f"_n{i}"
             counters.setdefault(step.kind, []).append(name)
-            changes[name] = _hits_that_count(step, F.col(TEXT), stop_words)
+            changes[name] = _hits_that_count(step, F.col(TEXT), named_so)
         work = work.withColumns(changes)
     result = [F.col(TEXT).alias(column)]
     if counts:

@@ -28,9 +28,18 @@ def day_of(moment: Column) -> Column:
     return F.to_date(moment)
 
 
+def within(ledger: DataFrame, span: Span) -> DataFrame:
+    """Rows of a period.  The time bounds reach the scan; a ledger with a ``month`` column, as written by ``write_ledger``, reads
+    only the folders of the period's months."""
+    rows = ledger.where(span.covers(F.col("date")))
+    if "month" in ledger.columns:
+        rows = rows.where(F.col("month").between(f"{span.start:%Y-%m}", f"{span.end:%Y-%m}"))
+    return rows
+
+
 def rows_in(ledger: DataFrame, span: Span) -> DataFrame:
-    """Counted rows of a period; the time bounds reach the scan."""
-    return ledger.where(span.covers(F.col("date")) & is_counted())
+    """Counted rows of a period."""
+    return within(ledger, span).where(is_counted())
 
 
 def _floor_zero(amount: Column) -> Column:
@@ -112,7 +121,7 @@ def daily_buckets(ledger: DataFrame, span: Span, keys: Keys = INBOX) -> DataFram
     """
     counted = is_counted()
     return (
-        ledger.where(span.covers(F.col("date")))
+        within(ledger, span)
         .groupBy(*keys, day_of(F.col("date")).alias("day"))
         .agg(
             _floor_zero(amount_if(counted & is_spend()) - amount_if(counted & is_refund())).alias("spend"),
@@ -223,9 +232,17 @@ def coverage(ledger: DataFrame, keys: Keys = INBOX) -> DataFrame:
     )
 
 
+def page(rows: DataFrame, keys: Keys, order: list[Column], limit: int, offset: int = 0) -> DataFrame:
+    """Rows ``offset`` + 1 to ``offset`` + ``limit`` of every key, in the given order.  Spark drops what lies behind before it
+    shuffles, so a large inbox costs a page per task."""
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    found = rows.withColumn("_place", place).where(F.col("_place") <= offset + limit)
+    return found.where(F.col("_place") > offset).drop("_place")
+
+
 def search_transactions(ledger: DataFrame, query: str = "", category: str | None = None,
-                        limit: int = 50) -> DataFrame:
-    """Newest rows whose merchant, amount or message contains the text."""
+                        limit: int = 50, offset: int = 0, keys: Keys = INBOX) -> DataFrame:
+    """A page of the newest rows, per inbox, whose merchant, amount or message contains the text."""
     q = query.strip().lower()
     rows = ledger if category is None else ledger.where(F.col("category") == category)
     if q:
@@ -236,7 +253,7 @@ def search_transactions(ledger: DataFrame, query: str = "", category: str | None
             | shown.contains(q)
             | F.lower(F.coalesce("raw", F.lit(""))).contains(q)
         )
-    return rows.orderBy(F.desc("date"), F.desc("sms_id")).limit(limit)
+    return page(rows, keys, [F.desc("date"), F.desc("sms_id")], limit, offset)
 
 
 def distinct_categories(ledger: DataFrame, keys: Keys = INBOX) -> DataFrame:
@@ -250,7 +267,7 @@ def drill_down(ledger: DataFrame, tile: str, now: datetime, period: str = "this_
     """The rows behind a headline figure, newest first within the caller's own ordering."""
     counted = is_counted()
     if tile == "today":
-        return ledger.where(clock.day_span(now.date()).covers(F.col("date")) & counted)
+        return within(ledger, clock.day_span(now.date())).where(counted)
     if tile == "this_month":
         return ledger.where((F.col("date") >= clock.ntz(clock.period("this_month", now).start)) & counted)
     rows = rows_in(ledger, clock.period(period, now))
@@ -265,7 +282,7 @@ def drill_down(ledger: DataFrame, tile: str, now: datetime, period: str = "this_
 
 def day_rows(ledger: DataFrame, day: datetime) -> DataFrame:
     """All rows of one day, counted or not."""
-    return ledger.where(clock.day_span(day.date()).covers(F.col("date")))
+    return within(ledger, clock.day_span(day.date()))
 
 
 def fact_sheet(ledger: DataFrame, question: str, categories: tuple[str, ...], now: datetime,

@@ -7,15 +7,16 @@ from pyspark.sql import functions as F
 
 from khata.functions import fixed_values as V
 from khata.functions.text import grab, java
+from khata.operators import privacy
 from khata.operators.extract import parse_messages
 from khata.session import cut_lineage
 
 
 def message_shape(text: Column) -> Column:
-    """The text with every value replaced by its type, cut to a fixed length."""
+    """The whole text with every value replaced by its type."""
     for pattern, mark in V.SHAPE_STEPS:
         text = F.regexp_replace(text, java(pattern, ""), mark)
-    return F.substring(F.trim(text), 1, V.SHAPE_CHARS)
+    return F.trim(text)
 
 
 def shapes(df: DataFrame, column: str) -> DataFrame:
@@ -23,13 +24,16 @@ def shapes(df: DataFrame, column: str) -> DataFrame:
 
 
 def mine_templates(messages: DataFrame, body: str = "body", sender: str = "address",
-                   order: str = "id") -> DataFrame:
+                   order: str = "id", force: bool = False) -> DataFrame:
     """Clusters by shape: rank by volume, count, running share in whole percent, senders, example.
 
+    A table which still has personal values is refused, unless ``force`` is set.
+
     Messages are counted per (shape, sender) first, with partial sums before the shuffle, so a hot
     template is a handful of rows when the shapes are put together.  The running share is computed
     over shapes, not messages.
     """
+    messages = privacy.require_redacted(messages, body, force)
     per_sender = shapes(messages, body).groupBy("shape", F.coalesce(sender, F.lit("?")).alias("sender")).agg(
         F.count("*").alias("n"),
         F.min(F.struct(F.col(order).alias("at"), F.col(body).alias("body"))).alias("first"),
@@ -139,5 +143,6 @@ def unhandled_shapes(parsed: DataFrame, n: int | None = 20) -> DataFrame:
     return grouped if n is None else grouped.orderBy(F.desc("n"), "shape").limit(n)
 
 
-def audit(messages: DataFrame, tz: str) -> DataFrame:
-    return audit_extraction(parse_messages(messages, tz))
+def audit(messages: DataFrame, tz: str, force: bool = False) -> DataFrame:
+    """What became of the messages of a redacted table; another one is refused, unless ``force`` is set."""
+    return audit_extraction(parse_messages(privacy.require_redacted(messages, "body", force), tz))

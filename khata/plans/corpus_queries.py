@@ -21,8 +21,8 @@ SALT, SHIFT = "pepper", 500
 REDACTED = f"""{RENDERED}, masked AS (
     SELECT inbox_id, id, event_type, regexp_replace(amt, '[0-9]', '9', 'g') AS nines,
       strftime(due + INTERVAL {SHIFT} DAY, '%d-%m-%y') AS moved, k,
-      'VPA_' || left(sha256('{SALT}VPA' || 'store' || k), 4) AS handle,
-      'PERSON_' || left(sha256('{SALT}PERSON' || 'acme' || k || ' corp'), 4) AS person FROM rendered),
+      'VPA_' || translate(left(sha256('{SALT}VPA' || 'store' || k), 24), '0123456789', 'abcdefabcd') AS handle,
+      'PERSON_' || translate(left(sha256('{SALT}PERSON' || 'acme' || k || ' corp'), 24), '0123456789', 'abcdefabcd') AS person FROM rendered),
   redacted AS (
     SELECT inbox_id, id, event_type, CASE
       WHEN event_type IN ('purchase', 'click')
@@ -112,7 +112,7 @@ def _shape_sql(column: str) -> str:
     expr = column
     for pattern, mark in V.SHAPE_STEPS:
         expr = f"regexp_replace({expr}, '{pattern}', '{mark}', 'g')"
-    return f"left(trim({expr}), {V.SHAPE_CHARS})"
+    return f"trim({expr})"
 
 
 SHAPED = f"shaped AS (SELECT *, {_shape_sql('text')} AS shape FROM documents)"
@@ -130,7 +130,7 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _mined(spark: SparkSession, sf: str) -> DataFrame:
-    return templates.mine_templates(_documents(spark, sf), "text", "source", "doc_id")
+    return templates.mine_templates(_documents(spark, sf), "text", "source", "doc_id", force=True)
 
 
 @query("mine_templates", f"WITH {MINED} SELECT * FROM mined")
@@ -169,7 +169,7 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
         ELSE 'Weather note number <N>' END AS shape FROM placed)
     SELECT shape, count(*) AS n FROM shapes GROUP BY shape""")
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    return templates.mine_templates(views.messages_mixed(spark, sf)).select("shape", "n")
+    return templates.mine_templates(views.messages_mixed(spark, sf), force=True).select("shape", "n")
 
 
 # --- streaming -------------------------------------------------------------------------------------

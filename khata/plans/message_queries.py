@@ -127,7 +127,7 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 @query("search_inbox", f"""WITH {MIXED}
     SELECT inbox_id, id, CASE WHEN subtype <> 'otp' THEN body END AS body FROM placed
     WHERE tab = 'updates' AND (contains(lower(body), '12') OR contains(lower(address), '12'))
-    ORDER BY date_ms DESC, id DESC LIMIT 40""")
+    QUALIFY row_number() OVER (PARTITION BY inbox_id ORDER BY date_ms DESC, id DESC) <= 40""")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     return inbox.search_inbox(classified(spark, sf), "updates", "12").select("inbox_id", "id", "body")
 
@@ -227,7 +227,7 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 # --- drift and audits ------------------------------------------------------------------------------
 
 DRIFT = f"""{MIXED}, drift AS (
-    SELECT inbox_id, id AS sms_id, address AS sender, reason, subtype, left(body, 160) AS body, date_ms
+    SELECT inbox_id, id AS sms_id, address AS sender, reason, subtype, body, date_ms
     FROM placed WHERE sort = 9),
   rolled AS (
     SELECT inbox_id, sender, reason, arg_max(body, (date_ms, -sms_id)) AS body, min(subtype) AS subtype, count(*) AS n
@@ -266,7 +266,7 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     SELECT outcome, n, CAST(floor(n * 100 / sum(n) OVER ()) AS BIGINT) AS pct,
       outcome IN ('no-direction', 'no-amount') AS worth_reviewing FROM counts""")
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    return templates.audit(views.messages_mixed(spark, sf), TZ)
+    return templates.audit(views.messages_mixed(spark, sf), TZ, force=True)
 
 
 @query("audit_dates", f"""WITH {RENDERED} SELECT count(*) AS transactions,

@@ -260,16 +260,16 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 @query("search_transactions", f"""WITH {LEDGER}
     SELECT inbox_id, sms_id, merchant, CAST(amount AS DOUBLE) AS amount FROM ledger
     WHERE contains(lower(coalesce(merchant, '')), '12') OR contains({trimmed('amount')}, '12') OR contains(raw, '12')
-    ORDER BY date DESC, sms_id DESC LIMIT 50""")
+    QUALIFY row_number() OVER (PARTITION BY inbox_id ORDER BY date DESC, sms_id DESC) BETWEEN 11 AND 60""")
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    found = reports.search_transactions(views.ledger(spark, sf), " 12 ")
+    found = reports.search_transactions(views.ledger(spark, sf), " 12 ", limit=50, offset=10)
     return found.select("inbox_id", "sms_id", "merchant", "amount")
 
 
 @query("search_in_category", f"""WITH {LEDGER}
     SELECT inbox_id, sms_id, merchant, CAST(amount AS DOUBLE) AS amount FROM ledger
     WHERE category = 'food' AND contains(lower(coalesce(merchant, '')) || '\n' || {trimmed('amount')} || '\n' || raw, 'purchase')
-    ORDER BY date DESC, sms_id DESC LIMIT 150""")
+    QUALIFY row_number() OVER (PARTITION BY inbox_id ORDER BY date DESC, sms_id DESC) <= 150""")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     found = reports.search_transactions(views.ledger(spark, sf), "PURCHASE", "food", 150)
     return found.select("inbox_id", "sms_id", "merchant", "amount")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,13 +25,15 @@ def local_session(cpus: int = 8, app: str = "khata") -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder for intermediate tables: the cluster's ``spark.checkpoint.dir``, shared storage
-    which outlives an executor.  Only a local session without that setting gets one of its own."""
+    """The folder for intermediate tables: the cluster's ``spark.checkpoint.dir``, shared storage which outlives an executor.
+
+    Only a session inside one process (``local[n]``), such as a test's, gets one of its own where the setting is missing.
+    """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None:
-            if not context.master.startswith("local"):
+            if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
                 raise RuntimeError("set spark.checkpoint.dir to a folder which all executors share")
             folder = tempfile.mkdtemp(prefix="khata-checkpoint-")
         context.setCheckpointDir(folder)
@@ -37,6 +41,8 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Writes ``df`` to the shared folder and goes on from the written copy."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+    """Writes ``df`` as Parquet below the shared folder and goes on from the written copy, which can be pruned and has statistics."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/khata-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

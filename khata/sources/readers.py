@@ -60,13 +60,13 @@ def read_jsonl(spark: SparkSession, path: str) -> DataFrame:
     return rows.where(F.col("_broken").isNull()).select(*_corpus(F.col("address"), F.col("body"), F.col("date")))
 
 
-def read_txt(spark: SparkSession, path: str) -> DataFrame:
+def read_txt(spark: SparkSession, path: str, line_end: str = "\n") -> DataFrame:
     """Blocks parted by blank lines; the first line may name the sender.
 
-    The reader splits at blank lines itself, so a large file is not read as one value.  Lines of
-    only blanks part blocks as well.
+    The reader splits at blank lines itself, so a large file is not read as one value; files with other line ends say so
+    with ``line_end``.  Lines of only blanks part blocks as well.
     """
-    chunks = spark.read.option("lineSep", "\n\n").text(path)
+    chunks = spark.read.option("lineSep", 2 * line_end).text(path)
     blocks = chunks.select(F.explode(F.split("value", r"\r?\n[ \t\r]*\n")).alias("block"))
     lines = F.filter(F.split("block", r"\r?\n"), lambda line: F.trim(line) != "")
     head = F.trim(F.get("lines", F.lit(0)))
@@ -95,24 +95,26 @@ def read_corpus(spark: SparkSession, path: str) -> DataFrame:
 
 
 def as_messages(corpus: DataFrame, inbox_id: str) -> DataFrame:
-    """Corpus rows as messages of one inbox; the id is a hash of the row, equal on every read."""
-    key = F.xxhash64("address", "body", "date_ms")
-    return corpus.select(F.lit(inbox_id).alias("inbox_id"), key.alias("id"), "body", "date_ms", "address").dropDuplicates(
-        ["inbox_id", "id", "address", "body", "date_ms"]
-    )
+    """Corpus rows as messages of one inbox, all of them.
+
+    The id is a hash of the row and of its number among equal rows, so it is the same on every read.  Equal rows are
+    counted before the shuffle and numbered afterwards.
+    """
+    row = ["address", "body", "date_ms"]
+    numbered = corpus.groupBy(*row).agg(F.count("*").alias("n")).withColumn("k", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("n"))))
+    return numbered.select(F.lit(inbox_id).alias("inbox_id"), F.xxhash64(*row, "k").alias("id"), "body", "date_ms", "address")
 
 
 def scan_messages(messages: DataFrame, before: int | None = None, since: int | None = None,
                   limit: int | None = None) -> DataFrame:
-    """Messages before and after given times, newest first; a limit keeps the newest ones."""
+    """Messages before and after given times; a limit keeps the newest ones, newest first."""
     bounds = []
     if before is not None:
         bounds.append(F.col("date_ms") < before)
     if since is not None:
         bounds.append(F.col("date_ms") > since)
     rows = messages.where(reduce(lambda a, b: a & b, bounds)) if bounds else messages
-    rows = rows.orderBy(F.desc("date_ms"), "inbox_id", "id")
-    return rows if limit is None else rows.limit(limit)
+    return rows if limit is None else rows.orderBy(F.desc("date_ms"), "inbox_id", "id").limit(limit)
 
 
 def read_ledger(spark: SparkSession, path: str) -> DataFrame:

@@ -65,6 +65,6 @@ def write_drift_report(report_lines: DataFrame, path: str) -> None:
 
 def write_ledger(ledger: DataFrame, path: str) -> None:
     """A new ledger version; months are folders, so a report on a period reads only its own."""
-    month = F.date_format("date", "yyyy-MM")
+    month = F.format_string("%04d-%02d", F.year("date"), F.month("date"))  # by the wall clock, whatever the session's zone
     ledger.withColumn("month", month).repartition("month", F.pmod(F.xxhash64("inbox_id"), F.lit(64))).write.mode(
         "errorifexists").partitionBy("month").parquet(path)
