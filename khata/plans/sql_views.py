@@ -36,9 +36,9 @@ ORDERS = """ledger AS (
     o_orderkey % 17 = 0 AS needs_review, FALSE AS reviewed
   FROM orders)"""
 
-PAIRS = LEDGER + """, pairable AS (
-  SELECT * REPLACE (CAST(floor(amount / 10) * 10 AS DECIMAL(18,2)) AS amount) FROM ledger
-  WHERE kind IN ('expense', 'income'))"""
+PAIRS = LEDGER + """, stepped AS (
+  SELECT * REPLACE (CAST(floor(amount / 10) * 10 AS DECIMAL(18,2)) AS amount) FROM ledger),
+  pairable AS (SELECT * FROM stepped WHERE kind IN ('expense', 'income'))"""
 
 # one row per event with the parts which the rendered messages are made of
 PARTS = """parts AS (

@@ -68,12 +68,8 @@ def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ledger_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Expenses and incomes in steps of ten, so that equal amounts meet."""
-    return (
-        ledger(spark, sf_dir)
-        .where(F.col("kind").isin("expense", "income"))
-        .withColumn("amount", (F.floor(F.col("amount") / 10) * 10).cast("decimal(18,2)"))
-    )
+    """The ledger with amounts in steps of ten, so that equal ones meet."""
+    return ledger(spark, sf_dir).withColumn("amount", (F.floor(F.col("amount") / 10) * 10).cast("decimal(18,2)"))
 
 
 def ledger_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -154,7 +150,7 @@ def messages_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def messages_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Payments in steps of ten, a quarter of them reported once more by the payment app."""
-    base = _rows(spark, sf_dir).where("event_type IN ('purchase', 'click')").withColumn(
+    base = _rows(spark, sf_dir).withColumn(
         "amt", F.expr("CAST(CAST(amt AS DECIMAL(18,2)) DIV 10 * 10 + 10 AS STRING)")
     )
     bank = base.selectExpr(
