@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from khata.llm.common import Written, free_name
 from khata.llm.graph import components
@@ -27,6 +28,8 @@ MIN_WORDS = 5
 #: Slots of the filter which decides whose text is fetched; with a slot a row, this bounds what is broadcast.
 SLOTS = 1 << 20
 CHUNK_BYTES = 1 << 20
+#: Neighbours in the order of a key with which a line is compared first.
+NEIGHBOURS = 4
 
 
 def line_bits(forms: list[bytes], counts: list[int]) -> np.ndarray:
@@ -144,51 +147,67 @@ def blocks(bits: Column, count: int, equal: int) -> list[Column]:
     ]
 
 
-def close_bits(lines: DataFrame, distance: int, count: int) -> DataFrame:
-    """All pairs (a, b), a < b, of the distinct values in ``bits`` with at most ``distance`` differing bits."""
-    keyed = lines.select("bits").distinct()
-    keys = F.explode(F.array(*blocks(F.col("bits"), count, count - distance))).alias("key")
-    left, right = keyed.select(F.col("bits").alias("a"), keys), keyed.select(F.col("bits").alias("b"), keys)
-    near = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance)
-    return left.join(right, "key").where(near).select("a", "b").distinct()
+def keyed(lines: DataFrame, count: int, distance: int) -> DataFrame:
+    """(bits, key) for the distinct values in ``bits``: two with at most ``distance`` differing bits have a key in common."""
+    return lines.select("bits").distinct().select("bits", F.explode(F.array(*blocks(F.col("bits"), count, count - distance))).alias("key"))
+
+
+def _near(distance: int) -> Column:
+    return F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance
 
 
 def line_groups(lines: DataFrame, place: Written, similarity: float, distance: int, count: int) -> DataFrame:
-    """(line, group) of the lines in links; other lines are alone."""
+    """(line, group) of the lines in links; other lines are alone.
+
+    Groups are wanted, not all links, so no group is spread out into its pairs.  Lines which have a partner at all come from a
+    semi-join; all that follows is among them.  Each is compared with a few neighbours first, in the order of each
+    key's bits, and with the most frequent line of the key.  Only pairs which are not in one group by then are looked for and verified.
+    """
     kinds = place.table(lines.groupBy("line", "bits").agg(F.count("*").alias("n")), "kinds")
-    pairs = place.table(close_bits(kinds, distance, count), "close")
-    # Equal bits count as a pair of their own where several lines have them.
-    same = kinds.groupBy("bits").agg(F.count("*").alias("n")).where("n > 1").select(F.col("bits").alias("a"), F.col("bits").alias("b"))
-    pairs = pairs.unionByName(same)
-    ends = pairs.select(F.col("a").alias("bits")).unionByName(pairs.select(F.col("b").alias("bits"))).distinct()
+    left, right = (keyed(kinds, count, distance).withColumnRenamed("bits", x) for x in "ab")
+    other = F.col("a") != F.col("b")
+    paired = left.join(right, (left["key"] == right["key"]) & other & _near(distance), "left_semi").select(F.col("a").alias("bits"))
+    # Equal bits make a pair of their own where several lines have them.
+    shared = kinds.groupBy("bits").agg(F.count("*").alias("n")).where("n > 1").select("bits")
+    ends = place.table(paired.unionByName(shared).distinct(), "ends")
     slot = F.pmod(F.xxhash64("bits"), F.lit(SLOTS))
     taken = ends.select(slot.alias("slot")).distinct()  # at most SLOTS rows
     near = lines.withColumn("slot", slot).join(F.broadcast(taken), "slot", "left_semi")
-    texts = place.table(
-        near.join(ends, "bits", "left_semi").groupBy("bits", "line").agg(F.min("form").alias("form")), "texts"
-    )
-    sized = texts.select("bits", "line", F.length("form").alias("size"))
-    one, two = (sized.select(F.col("bits").alias(x), F.col("line").alias(f"l{x}"), F.col("size").alias(f"s{x}")) for x in "ab")
+    texts = near.join(ends, "bits", "left_semi").groupBy("bits", "line").agg(F.min("form").alias("form"), F.count("*").alias("n"))
+    texts = place.table(texts.withColumn("size", F.length("form")), "texts")
+    keys = F.explode(F.array(*blocks(F.col("bits"), count, count - distance))).alias("key")
+    nodes = place.table(texts.select("bits", "line", "n", "size", keys), "nodes")
     alike = F.least("sa", "sb") >= similarity * F.greatest("sa", "sb")
-    met = pairs.join(one, "a").join(two, "b").where(((F.col("a") != F.col("b")) | (F.col("la") < F.col("lb"))) & alike)
-    met = place.table(met.select(F.greatest("la", "lb").alias("a"), F.least("la", "lb").alias("b")), "met")
-    # Groups are wanted, not all links: each line is compared with its smallest partner first, and of the other pairs only
-    # those are verified whose lines are not in one group by then.
-    nearest = place.table(_verified(met.groupBy("a").agg(F.min("b").alias("b")), texts, similarity), "nearest")
-    grouped = place.table(components(nearest, place), "grouped")
-    of_a, of_b = (grouped.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")) for x in "ab")
-    open_pairs = met.join(of_a, "a", "left").join(of_b, "b", "left").where(
-        F.coalesce("ca", "a") != F.coalesce("cb", "b")
-    ).select("a", "b")
-    others = place.table(_verified(open_pairs, texts, similarity), "others")
+    order = Window.partitionBy("key").orderBy("bits", "line")
+    me, best = F.struct("bits", "line", "size"), F.max_by(F.struct("bits", "line", "size"), F.struct("n", "line"))
+    before = nodes.select(me.alias("x"), F.array(*[F.lag(me, k).over(order) for k in range(1, NEIGHBOURS + 1)]).alias("ys"))
+    close = F.filter("ys", lambda y: F.bit_count(F.col("x.bits").bitwiseXOR(y["bits"])) <= distance)
+    chain = before.select("x", F.explode(close).alias("y"))
+    # The most frequent line of a key is one row however many lines the key has; the join splits those.
+    star = nodes.join(nodes.groupBy("key").agg(best.alias("y")), "key").select(me.alias("x"), "y")
+    some = _pairs(chain.unionByName(star)).where((F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance) & alike)
+    first = place.table(_verified(some.select("la", "lb").distinct(), texts, similarity), "first")
+    grouped = place.table(components(first, place), "grouped")
+    of_line = nodes.join(grouped.withColumnRenamed("node", "line"), "line", "left").withColumn("group", F.coalesce("component", "line"))
+    one, two = (of_line.select("key", *[F.col(c).alias(f"{n}{x}") for c, n in (("bits", ""), ("line", "l"), ("size", "s"), ("group", "g"))]) for x in "ab")
+    apart = (F.col("la") < F.col("lb")) & (F.col("ga") != F.col("gb"))
+    rest = one.join(two, "key").where(apart & _near(distance) & alike).select("la", "lb").distinct()
+    others = place.table(_verified(rest, texts, similarity), "others")
     known = grouped.select(F.col("node").alias("a"), F.col("component").alias("b"))
     return components(known.unionByName(others), place, "all").withColumnRenamed("node", "line").withColumnRenamed("component", "group")
 
 
+def _pairs(rows: DataFrame) -> DataFrame:
+    """Structs x and y (bits, line, size) as the columns a, la, sa and b, lb, sb."""
+    names = [("bits", ""), ("line", "l"), ("size", "s")]
+    return rows.select(*[F.col(f"{o}.{c}").alias(f"{n}{t}") for o, t in (("x", "a"), ("y", "b")) for c, n in names]).where("la != lb")
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) of lines whose forms are similar."""
-    fa, fb = (texts.select(F.col("line").alias(x), F.col("form").alias(f"f{x}")) for x in "ab")
-    return pairs.join(fa, "a").join(fb, "b").where(similar(F.col("fa"), F.col("fb"), similarity)).select("a", "b")
+    """The pairs (la, lb) of lines whose forms are similar, as (a, b)."""
+    fa, fb = (texts.select(F.col("line").alias(f"l{x}"), F.col("form").alias(f"f{x}")) for x in "ab")
+    met = pairs.join(fa, "la").join(fb, "lb").where(similar(F.col("fa"), F.col("fb"), similarity))
+    return met.select(F.col("la").alias("a"), F.col("lb").alias("b"))
 
 
 def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = 0.8, distance: int = 3, count: int = 5) -> DataFrame:
@@ -206,7 +225,7 @@ def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", simi
     judged = named.join(whole.select("group", "keep"), "group").select("line", "keep")
     gone = lines.select("id", "version", "line_no", "line").join(judged, "line").where(~at.eqNullSafe(F.col("keep")))
     out = place.table(gone.groupBy("id", "version").agg(F.sort_array(F.collect_set("line_no")).alias("gone")), "gone")
-    for name in ("lines", "kinds", "close", "texts", "met", "nearest", "grouped", "others", "groups"):
+    for name in ("lines", "kinds", "ends", "texts", "nodes", "first", "grouped", "others", "groups"):
         place.drop(name)
     return out
 
