@@ -176,7 +176,8 @@ def line_groups(lines: DataFrame, place: Written, similarity: float, distance: i
     texts = near.join(ends, "bits", "left_semi").groupBy("bits", "line").agg(F.min("form").alias("form"), F.count("*").alias("n"))
     texts = place.table(texts.withColumn("size", F.length("form")), "texts")
     keys = F.explode(F.array(*blocks(F.col("bits"), count, count - distance))).alias("key")
-    nodes = place.table(texts.select("bits", "line", "n", "size", keys), "nodes")
+    slim = texts.select("bits", "line", "n", "size")
+    nodes = slim.select("*", keys)
     alike = F.least("sa", "sb") >= similarity * F.greatest("sa", "sb")
     order = Window.partitionBy("key").orderBy("bits", "line")
     me, best = F.struct("bits", "line", "size"), F.max_by(F.struct("bits", "line", "size"), F.struct("n", "line"))
@@ -188,7 +189,8 @@ def line_groups(lines: DataFrame, place: Written, similarity: float, distance: i
     some = _pairs(chain.unionByName(star)).where((F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance) & alike)
     first = place.table(_verified(some.select("la", "lb").distinct(), texts, similarity), "first")
     grouped = place.table(components(first, place), "grouped")
-    of_line = nodes.join(grouped.withColumnRenamed("node", "line"), "line", "left").withColumn("group", F.coalesce("component", "line"))
+    of_line = slim.join(grouped.withColumnRenamed("node", "line"), "line", "left")
+    of_line = of_line.select("bits", "line", "size", F.coalesce("component", "line").alias("group"), keys)
     one, two = (of_line.select("key", *[F.col(c).alias(f"{n}{x}") for c, n in (("bits", ""), ("line", "l"), ("size", "s"), ("group", "g"))]) for x in "ab")
     apart = (F.col("la") < F.col("lb")) & (F.col("ga") != F.col("gb"))
     rest = one.join(two, "key").where(apart & _near(distance) & alike).select("la", "lb").distinct()
@@ -225,7 +227,7 @@ def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", simi
     judged = named.join(whole.select("group", "keep"), "group").select("line", "keep")
     gone = lines.select("id", "version", "line_no", "line").join(judged, "line").where(~at.eqNullSafe(F.col("keep")))
     out = place.table(gone.groupBy("id", "version").agg(F.sort_array(F.collect_set("line_no")).alias("gone")), "gone")
-    for name in ("lines", "kinds", "ends", "texts", "nodes", "first", "grouped", "others", "groups"):
+    for name in ("lines", "kinds", "ends", "texts", "first", "grouped", "others", "groups"):
         place.drop(name)
     return out
 
