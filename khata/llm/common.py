@@ -45,9 +45,15 @@ class Written:
         self.root = f"{shared_folder(spark)}/khata-{uuid.uuid4().hex}"
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").parquet(f"{self.root}/{name}")
+        df.write.mode("overwrite").option("compression", "zstd").parquet(f"{self.root}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
 
+    def parted(self, df: DataFrame, name: str, flag: str) -> tuple[DataFrame, DataFrame]:
+        """Writes rows where ``flag`` is false and where it is true in one go; two tables, which can be dropped as ``name/flag=true``."""
+        df.write.mode("overwrite").option("compression", "zstd").partitionBy(flag).parquet(f"{self.root}/{name}")
+        whole = self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
+        return whole.where(~F.col(flag)).drop(flag), whole.where(F.col(flag)).drop(flag)
+
     def drop(self, name: str) -> None:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -26,13 +26,14 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from khata.llm.common import Written
 from khata.llm.hashing import mixed
 
 SPAN, GRAM = 200, 40
 #: Contexts of an anchor which are merged, at most; contexts of a task and of a shard, about.
-GROUP, TASK, SHARD = 256, 20000, 4096
+GROUP, TASK, SHARD = 20000, 20000, 4096
 #: Slots of the filters for anchors which occur more than once: a megabyte each, whatever the input.
 SLOTS = 1 << 23
 PAD = 255  # no byte of UTF-8
@@ -95,6 +96,8 @@ def _signed(values: list[int]) -> pa.Array:
 
 
 def _counted(span: int, gram: int):
+    """(h, c, n): the contexts of a batch, counted."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found, digests = [np.empty(0, np.int64)], []
@@ -102,35 +105,41 @@ def _counted(span: int, gram: int):
                 _, h, c = contexts((text.as_py() or "").encode(), span, gram)
                 found.append(h)
                 digests += c
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), _signed(digests)], ["h", "c"])
+            pairs = np.stack([np.concatenate(found), np.array(digests, np.uint64).view(np.int64)], axis=1)
+            kinds, n = np.unique(pairs, axis=0, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(kinds[:, 0]), pa.array(kinds[:, 1]), pa.array(n)], ["h", "c", "n"])
 
     return run
 
 
 def _marked(span: int, gram: int, repeated: bytes, several: bytes):
-    """Anchors which may occur again, with the bytes of their context where the anchor may have several."""
+    """Anchors which may occur again (``shown`` false), and once for each batch the bytes of contexts of anchors which may have several."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = [np.unpackbits(np.frombuffer(x, np.uint8), bitorder="little") for x in (repeated, several)]
-        side, names = span - gram, ["id", "version", "h", "c", "at", "before", "after", "bytes"]
+        side, names = span - gram, ["id", "version", "h", "c", "at", "before", "after", "bytes", "shown"]
         for batch in batches:
-            owner, parts, digests, shown, sizes = [], [], [], [], []
+            owner, hs, digests, shown, sizes, seen = [], [], [], [], [], set()
+
+            def put(i, h, c, at, before, after, data, lists=(owner, hs, digests, sizes, shown)):
+                for values, value in zip(lists, (i, h, c, (at, before, after), data), strict=True):
+                    values.append(value)
+
             for i, text in enumerate(batch.column("text")):
                 data = (text.as_py() or "").encode()
                 at, h, c = contexts(data, span, gram)
                 slots = h & (SLOTS - 1)
-                keep = np.flatnonzero(bits[0][slots])
                 with_bytes = bits[1][slots]
-                for k in keep.tolist():
-                    a = int(at[k])
-                    owner.append(i), digests.append(c[k])
-                    sizes.append((a, min(a, side), min(len(data) - a, span)))
-                    shown.append(data[max(a - side, 0) : a + span] if with_bytes[k] else None)
-                parts.append(h[keep])
+                for k in np.flatnonzero(bits[0][slots]).tolist():
+                    a, name = int(at[k]), (int(h[k]), c[k])
+                    put(i, *name, a, min(a, side), min(len(data) - a, span), None)
+                    if with_bytes[k] and name not in seen:
+                        seen.add(name)
+                        put(None, *name, a, min(a, side), min(len(data) - a, span), data[max(a - side, 0) : a + span])
             take = pa.array(owner, pa.int32())
             sizes = np.array(sizes, np.int32).reshape(-1, 3)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id").take(take), batch.column("version").take(take), pa.array(np.concatenate([np.empty(0, np.int64), *parts])), _signed(digests), *(pa.array(sizes[:, j]) for j in range(3)), pa.array(shown, pa.binary())],
+                [batch.column("id").take(take), batch.column("version").take(take), pa.array(hs, pa.int64()), _signed(digests), *(pa.array(sizes[:, j]) for j in range(3)), pa.array(shown, pa.binary()), pa.array([x is not None for x in shown], pa.bool_())],
                 names,
             )
 
@@ -263,35 +272,37 @@ def _windows(span: int, gram: int):
 
 def intervals(docs: DataFrame, place: Written, span: int, gram: int, group: int, task: int, shard: int) -> DataFrame:
     """(id, version, cuts): for each text what goes, as overlapping intervals of bytes; ``docs`` has id, version and text."""
-    places = docs.select("text").mapInArrow(_counted(span, gram), "h bigint, c bigint")
-    classes = place.table(places.groupBy("h", "c").agg(F.count("*").alias("n")), "classes")
-    known = classes.groupBy("h").agg(F.sum("n").alias("all"), F.count("*").alias("kinds")).where("all > 1")
-    known = place.table(known, "known")
-    marked = _marked(span, gram, _bits(known), _bits(known.where("kinds > 1")))
+    places = docs.select("text").mapInArrow(_counted(span, gram), "h bigint, c bigint, n bigint")
+    # Batches are counted already, so all contexts of an anchor may meet: one shuffle serves both counts.
+    classes = places.repartition("h").groupBy("h", "c").agg(F.sum("n").alias("n"))
+    of_anchor = Window.partitionBy("h")
+    classes = classes.withColumns({"all": F.sum("n").over(of_anchor), "kinds": F.count("*").over(of_anchor)}).where("all > 1")
+    classes = place.table(classes, "classes")
+    marked = _marked(span, gram, _bits(classes), _bits(classes.where("kinds > 1")))
     kind = docs.schema["id"].dataType.simpleString()
-    found = place.table(
-        docs.select("id", "version", "text").mapInArrow(marked, f"id {kind}, version bigint, h bigint, c bigint, at int, before int, after int, bytes binary"), "found"
-    )
+    both = docs.select("id", "version", "text").mapInArrow(marked, f"id {kind}, version bigint, h bigint, c bigint, at int, before int, after int, bytes binary, shown boolean")
+    found, shown = place.parted(both, "found", "shown")
+    contexts_ = place.table(shown.groupBy("h", "c").agg(F.first("before").alias("before"), F.first("after").alias("after"), F.first("bytes").alias("bytes")), "contexts")
+    place.drop("found/shown=true")
     # Whole contexts: every window in them occurs again.
     whole = classes.where("n > 1").select("h", "c", F.lit(None).cast("int").alias("lo"), F.lit(None).cast("int").alias("hi"))
-    several = known.where("kinds > 1").select("h", "kinds")
-    shown = found.where("bytes is not null").groupBy("h", "c").agg(F.first("before").alias("before"), F.first("after").alias("after"), F.first("bytes").alias("bytes"))
-    shown = place.table(shown.join(several, "h"), "shown")
-    count = shown.count()
+    count = classes.where("kinds > 1").count()
+    hot = classes.where(F.col("kinds") > group).select("h").distinct()
     bucket = F.pmod(F.xxhash64("h"), F.lit(-(-count // task) or 1))
-    small = shown.where(F.col("kinds") <= group).withColumn("bucket", bucket).groupBy("bucket").applyInPandas(
+    small = contexts_.join(hot, "h", "left_anti").withColumn("bucket", bucket).groupBy("bucket").applyInPandas(
         _merged(span, gram, shard), "h bigint, c bigint, lo int, hi int"
     )
-    windows = place.table(shown.where(F.col("kinds") > group).select("h", "c", "before", "bytes").mapInArrow(_windows(span, gram), "h bigint, c bigint, s int, d binary"), "windows")
+    windows = place.table(contexts_.join(hot, "h", "left_semi").select("h", "c", "before", "bytes").mapInArrow(_windows(span, gram), "h bigint, c bigint, s int, d binary"), "windows")
     # One place may have several anchors: windows are equal if they also lie alike round the same anchor.
     again = windows.groupBy("h", "s", "d").agg(F.count("*").alias("n")).where("n > 1")
     large = windows.join(again, ["h", "s", "d"], "left_semi").groupBy("h", "c").agg(F.min("s").alias("lo"), (F.max("s") + span).alias("hi"))
     # A context may be known as a whole and in part: the whole is the larger one.
     parts = place.table(small.unionByName(large).join(whole.select("h", "c"), ["h", "c"], "left_anti").unionByName(whole), "parts")
+    place.drop("contexts")
     lo, hi = F.coalesce("lo", -F.col("before")), F.coalesce("hi", "after")
     cuts = found.drop("bytes").join(parts, ["h", "c"]).where(hi - lo >= span).select("id", "version", F.struct((F.col("at") + lo).alias("a"), (F.col("at") + hi).alias("b")).alias("cut"))
     out = place.table(cuts.groupBy("id", "version").agg(F.collect_set("cut").alias("cuts")), "cuts")
-    for name in ("classes", "known", "found", "shown", "windows", "parts"):
+    for name in ("classes", "found", "windows", "parts"):
         place.drop(name)
     return out
 

@@ -34,7 +34,7 @@ def corpus(seed, n, letters="abc é"):
     return out
 
 
-@pytest.mark.parametrize(("group", "task", "shard"), [(256, 20000, 4096), (3, 40, 7)])
+@pytest.mark.parametrize(("group", "task", "shard"), [(20000, 20000, 4096), (3, 40, 7)])
 def test_equals_brute_force(spark, group, task, shard):
     texts = corpus(group, 60)
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
