@@ -26,7 +26,6 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from khata.llm.common import Written
 from khata.llm.hashing import mixed
@@ -189,12 +188,17 @@ def refined(common: np.ndarray, moved: np.ndarray, symbols: np.ndarray, group: n
     return out
 
 
-def repeated_starts(rows: np.ndarray, group: np.ndarray, side: int, span: int, shard: int = SHARD) -> tuple[np.ndarray, np.ndarray]:
+def repeated_starts(
+    rows: np.ndarray, group: np.ndarray, side: int, span: int, shard: int = SHARD, low: np.ndarray | None = None, high: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray]:
     """(first, last) column at which each row has ``span`` bytes in common with another row of its group; -1 without any.
 
-    ``rows`` are aligned contexts, ``group`` numbers them from 0, below 2 ** 16.
+    ``rows`` are aligned contexts, ``group`` numbers them from 0, below 2 ** 16.  Only columns from ``low`` to ``high`` of a row
+    count: padding may be equal, too, and a window has to lie in the text.
     """
     n, width = rows.shape
+    low = np.zeros(n, np.int64) if low is None else low
+    high = np.full(n, side) if high is None else high
     owner = np.arange(n) // shard  # a shard is what came together
     order = np.lexsort((owner, group))  # by group, the shards in turn: the interleave before any column
     group = group[order].astype(np.uint16)
@@ -216,6 +220,7 @@ def repeated_starts(rows: np.ndarray, group: np.ndarray, side: int, span: int, s
             if hit.any():
                 for s, part in enumerate(shards):
                     at = members[s][part.order[hit[interleave == s]]]
+                    at = at[(low[at] <= j) & (j <= high[at])]
                     first[at] = j
                     last[at] = np.where(last[at] < 0, j, last[at])
     return first, last
@@ -239,11 +244,9 @@ def _merged(span: int, gram: int, shard: int):
         for low in range(0, int(group.max()) + 1, 1 << 16):  # numbers of groups have 16 bits
             part = (group >= low) & (group < low + (1 << 16))
             few = frame[part]
-            first, last = repeated_starts(_aligned(few, span, gram), group[part] - low, side, span, shard)
-            # Padding may be equal, too: a window has to lie in the text.
-            first = np.maximum(first, side - few["before"].to_numpy())
-            last = np.minimum(last, side + few["after"].to_numpy() - span)
-            some = (last >= first) & (last >= 0)
+            begin, end = side - few["before"].to_numpy(), side + few["after"].to_numpy() - span
+            first, last = repeated_starts(_aligned(few, span, gram), group[part] - low, side, span, shard, begin, end)
+            some = last >= 0
             out.append(pd.DataFrame({"h": few["h"][some], "c": few["c"][some], "lo": first[some] - side, "hi": last[some] - side + span}))
         return pd.concat(out)
 
@@ -273,11 +276,11 @@ def _windows(span: int, gram: int):
 def intervals(docs: DataFrame, place: Written, span: int, gram: int, group: int, task: int, shard: int) -> DataFrame:
     """(id, version, cuts): for each text what goes, as overlapping intervals of bytes; ``docs`` has id, version and text."""
     places = docs.select("text").mapInArrow(_counted(span, gram), "h bigint, c bigint, n bigint")
-    # Batches are counted already, so all contexts of an anchor may meet: one shuffle serves both counts.
-    classes = places.repartition("h").groupBy("h", "c").agg(F.sum("n").alias("n"))
-    of_anchor = Window.partitionBy("h")
-    classes = classes.withColumns({"all": F.sum("n").over(of_anchor), "kinds": F.count("*").over(of_anchor)}).where("all > 1")
-    classes = place.table(classes, "classes")
+    counted = place.table(places.groupBy("h", "c").agg(F.sum("n").alias("n")), "counted")
+    # Contexts of an anchor never meet in one task: they are counted in parts, and the join splits an anchor which has many.
+    of_anchor = counted.groupBy("h").agg(F.sum("n").alias("all"), F.count("*").alias("kinds")).where("all > 1")
+    classes = place.table(counted.join(of_anchor, "h"), "classes")
+    place.drop("counted")
     marked = _marked(span, gram, _bits(classes), _bits(classes.where("kinds > 1")))
     kind = docs.schema["id"].dataType.simpleString()
     both = docs.select("id", "version", "text").mapInArrow(marked, f"id {kind}, version bigint, h bigint, c bigint, at int, before int, after int, bytes binary, shown boolean")

@@ -80,3 +80,27 @@ def test_tables(spark):
     rows = sorted((tuple(r)[:4] for r in repeats.without_repeats(docs).collect()), key=str)
     assert rows == sorted([(1, 300, 300, 1), (1, 300, 300, 1), (None, 0, 0, 0), (2, 100, 0, 0)], key=str)
     assert repeats.without_repeats(docs.limit(0)).collect() == []
+
+
+def bordering(span, gram):
+    """Texts which share only their first or only their last bytes, beside others with a longer passage that lies further in."""
+    rnd = random.Random(9)
+    text = lambda k: "".join(rnd.choice("abcdefgh") for _ in range(k))
+    out = []
+    for _ in range(60):
+        head, tail, near = text(span - rnd.randrange(0, span // 2)), text(span), rnd.randrange(1, span // 2)
+        whole = head + tail
+        # The first two begin alike, too short for a repeat; the third shares what comes later.  Then the same from the end.
+        three = [whole + text(5), head + text(span), text(near) + whole[near:] + text(7)]
+        out += three + [x[::-1] for x in three]
+    return out
+
+
+@pytest.mark.parametrize("group", [20000, 1])
+def test_texts_which_share_a_beginning_or_an_end(spark, group):
+    texts = bordering(60, 12)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = sorted(tuple(r) for r in repeats.without_repeats(docs, span=60, gram=12, group=group).collect())
+    want = plain(texts, 60)
+    assert any(w[1] for w in want)
+    assert [(r[0], *r[1:4], bytes(r[4])) for r in got] == [(i, *w) for i, w in enumerate(want)]
