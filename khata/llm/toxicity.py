@@ -5,7 +5,8 @@ never seen still says what its stem says.  Filters over one, two and three words
 is kept, and a logistic unit weighs them.  The first coordinate of the table starts as the difference of document shares between the
 classes, which training refines with the rest.
 
-Scores see the text only.  Part of the sample is held back: it says, for each language, which threshold parts the classes best.
+Scores see the text only.  The sample bounds what is fitted and nothing else: all labelled rows which were not fitted say, for each
+language, which threshold parts the classes best.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ SIZE, FILTERS, WIDTHS = 8, 12, (1, 2, 3)
 STEM = 5
 #: Labelled rows to learn from, at most, of each class: those with the smallest hashes of their keys.
 SAMPLE = 2500
+#: Parts of the scores whose rows are counted for the thresholds.
+BINS = 1 << 12
 #: Words which are worked through at a time.
 CHUNK = 1 << 16
 PADS = max(WIDTHS)
@@ -164,6 +167,43 @@ def best_threshold(scores: np.ndarray, toxic: np.ndarray) -> float:
     return float(middle[near][np.argmin(np.abs(middle[near] - 0.5))])
 
 
+def counted_threshold(bins: np.ndarray, clean: np.ndarray, toxic: np.ndarray) -> float:
+    """``best_threshold`` from numbers of rows: ``bins`` are ascending, from 0 to ``BINS``, each with rows of one class at least."""
+    if not clean.sum() or not toxic.sum():
+        return 0.5
+    mistakes = np.concatenate([[0], np.cumsum(toxic)]) + np.concatenate([np.cumsum(clean[::-1])[::-1], [0]])
+    # From the end of the last bin below to the begin of the first one above.
+    below, above = np.concatenate([[0], bins + 1]), np.concatenate([bins, [max(BINS, bins[-1] + 1)]])
+    middle = (below + above) / (2 * BINS)
+    near = mistakes <= mistakes.min() * (1 + 1e-9)
+    return float(middle[near][np.argmin(np.abs(middle[near] - 0.5))])
+
+
+def _choose(model: TextCnn, rows: DataFrame) -> None:
+    """The thresholds of the model from ``rows`` (lang, toxic, bin, fitted) which were not fitted.
+
+    Rows of one class count so much that they stand for all rows of that class.  A few numbers for each bin and language come to the
+    driver, however many rows there are.
+    """
+    got = rows.groupBy("lang", "bin", "toxic", "fitted").agg(F.count("*").alias("n")).collect()
+    total, left = ({y: sum(r["n"] for r in got if r["toxic"] == y and not (r["fitted"] and skip)) for y in (0, 1)} for skip in (False, True))
+    by: dict[str | None, dict[int, list[float]]] = {}
+    for r in got:
+        if r["fitted"]:
+            continue
+        for name in (None, r["lang"]):
+            cell = by.setdefault(name, {}).setdefault(r["bin"], [0.0, 0.0])
+            cell[r["toxic"]] += r["n"] * total[r["toxic"]] / left[r["toxic"]]
+    for name, cells in by.items():
+        bins = np.array(sorted(cells))
+        clean, toxic = np.array([cells[b] for b in bins.tolist()]).T
+        value = counted_threshold(bins, clean, toxic)
+        if name is None:
+            model.threshold = value
+        else:
+            model.thresholds[name] = value
+
+
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = pa.array([rows_of(t.as_py() or "").tobytes() for t in batch.column("text")], pa.binary())
@@ -171,9 +211,9 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train(docs: DataFrame, labels: DataFrame, learn: Column | None = None, key: str = "doc_id", text: str = "text", lang: str | None = "lang", label: str = "toxic", sample: int = SAMPLE) -> TextCnn:
-    """Learns from at most ``sample`` rows of ``labels`` of each class where ``learn`` holds, every fifth of them only for thresholds.
+    """Fits at most ``sample`` rows of ``labels`` of each class where ``learn`` holds, but for every fifth of them.
 
-    Rows with a null key or label are none.  Without rows of both classes every score is the share of toxic rows.
+    Thresholds come from all other rows where ``learn`` holds, in the shares which the classes have among all of them.  Rows with a null key or label are none.  Without rows of both classes every score is the share of toxic rows.
     """
     named = labels.where("true" if learn is None else learn).select(F.col(f"`{key}`").cast("string").alias("key"), F.col(f"`{label}`").cast("int").alias("toxic"))
     named = named.where("key is not null and toxic in (0, 1)")
@@ -191,10 +231,12 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column | None = None, key:
         return model
     held = np.arange(len(rows)) % 5 == 0
     model = fit([r for r, h in zip(rows, held, strict=True) if not h], toxic[~held])
-    scores = model.scores([r for r, h in zip(rows, held, strict=True) if h])
-    languages, truth = np.array([r["lang"] or "" for r in got])[held], toxic[held]
-    model.threshold = best_threshold(scores, truth)
-    model.thresholds = {str(x): best_threshold(scores[languages == x], truth[languages == x]) for x in np.unique(languages)}
+    keys = sorted({r["key"] for r, h in zip(got, held, strict=True) if not h})
+    fitted = F.broadcast(docs.sparkSession.createDataFrame([(k, True) for k in keys], "key string, fitted boolean"))  # at most two samples
+    # Texts are scored where they are: labels may be as many, and only a number for each text is shuffled to them.
+    bins = texts.select("key", F.coalesce("lang", F.lit("")).alias("lang"), F.floor(score(F.col("text"), model) * BINS).cast("int").alias("bin"))
+    every = bins.join(named, "key").join(fitted, "key", "left")
+    _choose(model, every.withColumn("fitted", F.coalesce("fitted", F.lit(False))))
     return model
 
 

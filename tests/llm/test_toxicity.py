@@ -64,3 +64,32 @@ def test_tables(spark):
     assert all(r["score"] < 0.01 for r in toxicity.scored(docs, one).collect())
     none = toxicity.train(docs.limit(0), labels)
     assert all(r["score"] == 0.5 for r in docs.select(toxicity.score(F.col("text"), none).alias("score")).collect())
+
+
+def test_counted_threshold_equals_that_of_rows():
+    rng = np.random.default_rng(8)
+    for _ in range(50):
+        toxic = (rng.random(300) < 0.3).astype(float)
+        scores = np.clip(rng.normal(0.35 + 0.3 * toxic, 0.2), 0, 1)
+        bins, where = np.unique(np.floor(scores * toxicity.BINS).astype(int), return_inverse=True)
+        counts = [np.bincount(where, weights=toxic == y, minlength=len(bins)) for y in (0, 1)]
+        t, want = toxicity.counted_threshold(bins, *counts), toxicity.best_threshold(scores, toxic)
+        wrong = lambda x: int(((scores >= x) != toxic).sum())
+        assert wrong(t) <= wrong(want) + 1  # two rows of one bin can't be parted
+    one = np.array([3])
+    assert toxicity.counted_threshold(one, np.array([2.0]), np.array([0.0])) == 0.5
+    top = toxicity.counted_threshold(np.array([5, toxicity.BINS]), np.array([0.0, 9.0]), np.array([1.0, 0.0]))
+    assert top > 1 or top <= 5 / toxicity.BINS
+
+
+def test_thresholds_see_all_labelled_rows(spark):
+    """Ten rows of each class are fitted at most; every language has its threshold from all others, in their real shares."""
+    rows = [(i, f"{'idiots' if i % 20 == 0 else 'flowers'} in text {i} {i % 7}", f"l{i % 9}") for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    labels = spark.createDataFrame([(i, int(i % 20 == 0 or i % 90 == 1)) for i, *_ in rows], "doc_id bigint, toxic int")
+    model = toxicity.train(docs, labels, F.col("doc_id") % 5 != 4, sample=10)
+    assert sorted(model.thresholds) == [f"l{i}" for i in range(9)]
+    # Odd ones of language l1 are toxic without a sign of it: rare among all rows, so they don't move the threshold.
+    flagged = toxicity.scored(docs.where("lang = 'l1'"), model).where("flagged")
+    ids = [r["doc_id"] for r in flagged.collect()]
+    assert ids and all(i % 20 == 0 for i in ids)
