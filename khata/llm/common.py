@@ -57,3 +57,11 @@ class Written:
     def drop(self, name: str) -> None:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def dealt(items: DataFrame, size: Column, limit: int) -> tuple[DataFrame, int]:
+    """``items`` with the column ``_block``, and the number of blocks.  Dealt by the hash of the whole row, sizes of a block sum up to ``limit`` or little more."""
+    total = items.agg(F.sum(size)).first()[0] or 0
+    count = max(1, -(-int(total) // limit))
+    block = F.lit(0) if count == 1 else F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in items.columns]), F.lit(count)).cast("int")
+    return items.withColumn("_block", block), count

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from khata.llm.common import table
+from khata.llm.leaks import found_leaks, n_leaked
 from khata.llm.lines import line_report
 from khata.llm.mixing import mixed_documents
 from khata.llm.pieces import round_trips
@@ -95,6 +96,37 @@ WHERE rank <= 20
 """
 
 
+def benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document which lie in ten words of a benchmark item, and the items."""
+    found = found_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", n_leaked(F.col("spans")).alias("n_hit"), F.size("items").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"),
+    )
+
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+BENCHMARK_LEAKS_SQL = rf"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), items AS (
+  SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark WHERE item_id IS NOT NULL
+), starts AS (
+  SELECT item, w, least(len(w), 10) AS k, unnest(range(1, greatest(len(w), 10) - 8)) AS i FROM items WHERE len(w) > 0
+), windows AS (SELECT DISTINCT k, array_to_string(w[i:i + k - 1], ' ') AS words, item FROM starts
+), places AS (
+  SELECT r, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM docs, (SELECT DISTINCT k FROM windows) WHERE len(w) >= k
+), hits AS (
+  SELECT p.r, p.i, p.k, item FROM places p JOIN windows v ON v.k = p.k AND v.words = array_to_string(p.w[p.i:p.i + p.k - 1], ' ')
+), words AS (SELECT r, count(DISTINCT j) AS n FROM (SELECT r, unnest(range(i, i + k)) AS j FROM hits) GROUP BY r
+), named AS (SELECT r, list_sort(list(DISTINCT item)) AS items FROM hits GROUP BY r)
+SELECT doc_id, len(w) AS n_words, coalesce(n, 0) AS n_hit, coalesce(len(items), 0) AS n_items,
+  sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256, coalesce(n, 0) > 0 AS contaminated
+FROM docs LEFT JOIN words USING (r) LEFT JOIN named USING (r)
+"""
+
+
 QUERIES: dict[str, Query] = {
     "op1_quality_rules": quality_rules,
     "op2_simhash_groups": simhash_groups,
@@ -106,5 +138,6 @@ QUERIES: dict[str, Query] = {
     "op8_repeated_bytes": repeated_bytes,
     "op9_fuzzy_lines": fuzzy_lines,
     "op10_norm_buckets": norm_buckets,
+    "op11_benchmark_leaks": benchmark_leaks,
 }
-ORACLES: dict[str, str] = {"op10_norm_buckets": NORM_BUCKETS_SQL}
+ORACLES: dict[str, str] = {"op10_norm_buckets": NORM_BUCKETS_SQL, "op11_benchmark_leaks": BENCHMARK_LEAKS_SQL}
