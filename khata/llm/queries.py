@@ -13,6 +13,7 @@ from khata.llm.lines import line_report
 from khata.llm.mixing import mixed_documents
 from khata.llm.pieces import round_trips
 from khata.llm.quality import weak_quality
+from khata.llm.ranked import ranked
 from khata.llm.repeats import without_repeats
 from khata.llm.secrets import scan_secrets
 from khata.llm.simhash import near_groups
@@ -127,6 +128,34 @@ FROM docs LEFT JOIN words USING (r) LEFT JOIN named USING (r)
 """
 
 
+def lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fifty best documents for every benchmark item."""
+    return ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+LEXICAL_SEARCH_SQL = rf"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents
+), total AS (SELECT count(*) FILTER (len(w) > 0) AS n_docs, coalesce(sum(len(w)), 0)::BIGINT AS n_terms FROM docs
+), norms AS (SELECT r, doc_id, 50 + (50 * len(w) * n_docs) // n_terms AS m FROM docs, total WHERE len(w) > 0
+), asked AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM benchmark WHERE item_id IS NOT NULL
+), postings AS (
+  SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(w) AS term FROM docs) WHERE term IN (SELECT term FROM asked) GROUP BY r, term
+), weights AS (
+  SELECT term, CAST(floor(1000 * ln((2 * any_value(n_docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS weight FROM postings, total GROUP BY term
+), scores AS (
+  SELECT item_id, r, CAST(sum(weight * ((1000000000 * tf) // (1000 * tf + 20 * m))) AS BIGINT) AS score
+  FROM asked JOIN postings USING (term) JOIN weights USING (term) JOIN norms USING (r) GROUP BY item_id, r
+)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (
+  SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank
+  FROM scores JOIN norms USING (r) WHERE score > 0 AND doc_id IS NOT NULL
+) WHERE rank <= 50
+"""
+
+
 QUERIES: dict[str, Query] = {
     "op1_quality_rules": quality_rules,
     "op2_simhash_groups": simhash_groups,
@@ -139,5 +168,10 @@ QUERIES: dict[str, Query] = {
     "op9_fuzzy_lines": fuzzy_lines,
     "op10_norm_buckets": norm_buckets,
     "op11_benchmark_leaks": benchmark_leaks,
+    "op13_lexical_search": lexical_search,
+}
+ORACLES: dict[str, str] = {
+    "op10_norm_buckets": NORM_BUCKETS_SQL,
+    "op11_benchmark_leaks": BENCHMARK_LEAKS_SQL,
+    "op13_lexical_search": LEXICAL_SEARCH_SQL,
 }
-ORACLES: dict[str, str] = {"op10_norm_buckets": NORM_BUCKETS_SQL, "op11_benchmark_leaks": BENCHMARK_LEAKS_SQL}
