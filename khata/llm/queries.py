@@ -11,6 +11,7 @@ from khata.llm.common import table
 from khata.llm.leaks import found_leaks, n_leaked
 from khata.llm.lines import line_report
 from khata.llm.mixing import mixed_documents
+from khata.llm.phrases import collocations
 from khata.llm.pieces import round_trips
 from khata.llm.quality import weak_quality
 from khata.llm.ranked import ranked
@@ -128,6 +129,38 @@ FROM docs LEFT JOIN words USING (r) LEFT JOIN named USING (r)
 """
 
 
+def phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2,000 collocations of every language."""
+    return collocations(table(spark, sf_dir, "documents"))
+
+
+PHRASE_MINING_SQL = rf"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_LOWER}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+), words AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces
+), places AS (
+  SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM words, (SELECT unnest(range(1, 5)) AS k) WHERE len(w) >= k
+), counts AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*) AS f FROM places GROUP BY ALL
+), totals AS (SELECT lang, sum(f)::BIGINT AS n FROM counts WHERE k = 1 GROUP BY lang
+), found AS (SELECT *, string_split(phrase, ' ') AS w FROM counts WHERE k > 1 AND f >= 30
+), parts AS (
+  SELECT lang, w, f, j, unnest(range(1, len(w) - j + 2)) AS i FROM found, (SELECT unnest(range(2, 4)) AS j) WHERE j < k
+), outer_counts AS (SELECT lang, array_to_string(w[i:i + j - 1], ' ') AS phrase, max(f) AS most FROM parts GROUP BY ALL
+), kept AS (
+  SELECT lang, phrase, f AS a, w, unnest(range(1, k)) AS cut FROM found LEFT JOIN outer_counts USING (lang, phrase)
+  WHERE most IS NULL OR 100 * most::HUGEINT < 80 * f::HUGEINT
+), scored AS (
+  SELECT x.lang, x.phrase, a, cut, b.f AS l, c.f AS r, CAST((2000000 * a::HUGEINT) // (b.f::HUGEINT + c.f) AS BIGINT) AS score
+  FROM kept x JOIN counts b ON b.lang = x.lang AND b.phrase = array_to_string(x.w[1:cut], ' ')
+  JOIN counts c ON c.lang = x.lang AND c.phrase = array_to_string(x.w[cut + 1:], ' ')
+), lowest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) AS turn FROM scored) WHERE turn = 1
+)
+SELECT lang, rank, phrase, a, l, r, n, score
+FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM lowest) JOIN totals USING (lang)
+WHERE rank <= 2000
+"""
+
+
 def lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fifty best documents for every benchmark item."""
     return ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -168,10 +201,12 @@ QUERIES: dict[str, Query] = {
     "op9_fuzzy_lines": fuzzy_lines,
     "op10_norm_buckets": norm_buckets,
     "op11_benchmark_leaks": benchmark_leaks,
+    "op12_phrase_mining": phrase_mining,
     "op13_lexical_search": lexical_search,
 }
 ORACLES: dict[str, str] = {
     "op10_norm_buckets": NORM_BUCKETS_SQL,
     "op11_benchmark_leaks": BENCHMARK_LEAKS_SQL,
+    "op12_phrase_mining": PHRASE_MINING_SQL,
     "op13_lexical_search": LEXICAL_SEARCH_SQL,
 }
