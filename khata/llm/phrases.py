@@ -5,7 +5,7 @@ start grams which are cut short; these are the corrections for ends.  So every w
 shorter phrase is the flow out of it: the sum over all grams which begin with it.
 
 Grams are combined in each task, dealt by ranges of their text and sorted, whatever their first words are, so a frequent pair or passage
-spreads over as many ranges as it needs.  In that order the grams which begin with a phrase are neighbours, and flows of all lengths are
+spreads over as many ranges as it needs; a sample says where ranges end, on which no result depends.  In that order the grams which begin with a phrase are neighbours, and flows of all lengths are
 sums of runs, a batch at a time.  A run inside of a batch is complete, and goes if it is too small; runs at the edges of a batch
 are summed up afterwards.
 
@@ -15,10 +15,9 @@ joined; paths are found by doubling pointers.  Nodes inside of a path are contai
 
 from __future__ import annotations
 
-import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Callable, Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -31,45 +30,55 @@ from khata.llm.common import Written
 
 #: Words of a gram; the smallest count of a candidate; a phrase goes if a longer one has this share of its count in percent; rows of a language.
 WORDS, LEAST, SHARE, TOP = 4, 30, 80, 2000
-#: Different grams which a task holds before it hands them on.
-HELD = 400_000
-#: What ends a piece.
-_ENDS = re.compile(rb"[.,;:!?\n-\r]")
+#: Different grams which a task holds before it hands them on; documents whose grams say how to deal the work evenly.
+HELD, SAMPLE = 800_000, 2000
+#: What ends a piece becomes a full stop.
+_STOPS = bytes(46 if b in b".,;:!?\n\x0b\x0c\r" else b for b in range(256))
 UNKNOWN = "und"
 
 
-def grams(pieces: list[list[bytes]], lead: bytes, words: int) -> Iterator[bytes]:
-    """The gram which starts at each word, as text with a space behind each word, after ``lead``."""
-    for piece in pieces:
-        first = [lead + w for w in piece]
-        yield from map(b" ".join, zip(first, *[piece[j:] for j in range(1, words)], repeat(b"")))
-        for i in range(max(0, len(piece) - words + 1), len(piece)):
-            yield b" ".join([first[i], *piece[i + 1 :], b""])
+def grams(text: str | None, words: int) -> list[bytes]:
+    """The gram which starts at each word of a text, in lower case as far as ASCII goes; behind the end of a piece it has full stops."""
+    data = (text or "").encode().lower().translate(_STOPS).replace(b".", b" ." * (words - 1) + b" ")
+    tokens = data.split() + [b"."] * (words - 1)
+    return [b" ".join(gram) for gram in zip(*[tokens[j:] for j in range(words)]) if gram[0] != b"."]
 
 
-def pieces_of(text: str | None) -> list[list[bytes]]:
-    """Words of the pieces of a text, in lower case as far as ASCII goes."""
-    return [piece.split() for piece in _ENDS.split((text or "").encode().lower())]
+def _text(lang: bytes, gram: bytes) -> bytes:
+    """A gram cut at the end of its piece, behind its language, with a space behind each word."""
+    return b"%b\t%b " % (lang, gram.rstrip(b" .") if gram[-1] == 46 else gram)
 
 
-def _counted(words: int, held: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _edges(docs: DataFrame, n: int, words: int, parts: int, sample: int) -> list[bytes]:
+    """At most ``parts - 1`` grams which part the grams of some of ``n`` documents evenly; only the balance of the work depends on them."""
+    some = docs.sample(min(1.0, sample / max(n, 1)), 7).limit(2 * sample)
+    drawn = some.mapInArrow(_counted(words, HELD, []), "part int, gram string, n bigint").select("gram").where(F.pmod(F.xxhash64("gram"), F.lit(16)) == 0)
+    rows = sorted(r["gram"].encode() for r in drawn.limit(200 * parts).toLocalIterator())
+    return sorted({rows[i * len(rows) // parts] for i in range(1, parts)}) if rows else []
+
+
+def _counted(words: int, held: int, edges: list[bytes]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        have: Counter[bytes] = Counter()
+        have: dict[bytes, Counter[bytes]] = {}
+        size = 0
 
         def handed() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(list(have), pa.binary()).cast(pa.string()), pa.array(list(have.values()), pa.int64())], names=["gram", "n"])
+            keys = [_text(lang, gram) for lang, found in have.items() for gram in found]
+            times = [n for found in have.values() for n in found.values()]
             have.clear()
-            return out
+            parts = pa.array([bisect_right(edges, key) for key in keys], pa.int32())
+            return pa.RecordBatch.from_arrays([parts, pa.array(keys, pa.binary()).cast(pa.string()), pa.array(times, pa.int64())], names=["part", "gram", "n"])
 
         for batch in batches:
             for lang, text in zip(batch.column(0), batch.column(1)):
-                lead = lang.as_py().encode() + b"\t"
-                pieces = pieces_of(text.as_py())
-                for at in range(0, len(pieces), 10_000):
-                    have.update(grams(pieces[at : at + 10_000], lead, words))
-                    if len(have) > held:
-                        yield handed()
-        if have:
+                found = have.setdefault(lang.as_py().encode(), Counter())
+                before = len(found)
+                found.update(grams(text.as_py(), words))
+                size += len(found) - before
+                if size > held:
+                    yield handed()
+                    size = 0
+        if size:
             yield handed()
 
     return count
@@ -113,8 +122,11 @@ def _flows(words: int, least: int) -> Callable[[Iterator[pa.RecordBatch]], Itera
 def phrase_counts(docs: DataFrame, lang: str = "lang", text: str = "text", words: int = WORDS, least: int = LEAST, held: int = HELD) -> DataFrame:
     """(lang, size, phrase, n): all phrases of up to ``words`` words which occur ``least`` times or more in a language; size 0 is the number of its words."""
     rows = docs.select(F.coalesce(F.col(f"`{lang}`"), F.lit(UNKNOWN)).alias("lang"), F.col(f"`{text}`").alias("text")).where("text is not null")
-    counted = rows.mapInArrow(_counted(words, held), "gram string, n bigint")
-    ordered = counted.repartitionByRange("gram").sortWithinPartitions("gram")
+    parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    edges = _edges(rows, docs.count(), words, parts, SAMPLE)
+    counted = rows.mapInArrow(_counted(words, held, edges), "part int, gram string, n bigint")
+    # A part has all grams between two edges, so all that begin with a phrase are in neighbouring parts or in one.
+    ordered = counted.repartitionById(parts, "part").select("gram", "n").sortWithinPartitions("gram")
     flows = ordered.mapInArrow(_flows(words, least), "lang string, size int, phrase string, n bigint")
     return flows.groupBy("lang", "size", "phrase").agg(F.sum("n").alias("n")).where((F.col("n") >= least) | (F.col("size") == 0))
 
