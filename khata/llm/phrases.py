@@ -31,7 +31,7 @@ from khata.llm.common import Written
 #: Words of a gram; the smallest count of a candidate; a phrase goes if a longer one has this share of its count in percent; rows of a language.
 WORDS, LEAST, SHARE, TOP = 4, 30, 80, 2000
 #: Different grams which a task holds before it hands them on; documents whose grams say how to deal the work evenly.
-HELD, SAMPLE = 800_000, 2000
+HELD, SAMPLE = 250_000, 2000
 #: What ends a piece becomes a full stop.
 _STOPS = bytes(46 if b in b".,;:!?\n\x0b\x0c\r" else b for b in range(256))
 UNKNOWN = "und"
