@@ -65,3 +65,18 @@ def dealt(items: DataFrame, size: Column, limit: int) -> tuple[DataFrame, int]:
     count = max(1, -(-int(total) // limit))
     block = F.lit(0) if count == 1 else F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in items.columns]), F.lit(count)).cast("int")
     return items.withColumn("_block", block), count
+
+
+#: Slots of ``parted_by``: what is broadcast has a row for each at most, whatever the input.
+SLOTS = 1 << 20
+
+
+def parted_by(rows: DataFrame, key: Column, wanted: DataFrame, wanted_key: Column) -> tuple[DataFrame, DataFrame]:
+    """(rows whose key may be among the wanted ones, rows whose key isn't), told apart by hash slots without a shuffle.
+
+    Few wanted keys leave most rows where they are; with as many keys as slots all rows are in the first part.
+    """
+    slot = free_name(rows, "_slot")
+    taken = wanted.select(F.pmod(wanted_key, F.lit(SLOTS)).alias(slot)).distinct()
+    marked = rows.withColumn(slot, F.pmod(key, F.lit(SLOTS)))
+    return tuple(marked.join(F.broadcast(taken), slot, how).select(*[F.col(f"`{c}`") for c in rows.columns]) for how in ("left_semi", "left_anti"))

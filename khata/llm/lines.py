@@ -20,11 +20,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from khata.llm.common import Written, free_name
+from khata.llm.common import Written, free_name, parted_by
 from khata.llm.graph import components
 from khata.llm.hashing import FORM, GOLDEN, mixed, word_hashes
 
 MIN_WORDS = 5
+#: Columns beside those of a document; a document has none of these names.
+GONE, KEPT = "_khata_gone_lines", "_khata_kept_text"
 #: Slots of the filter which decides whose text is fetched; with a slot a row, this bounds what is broadcast.
 SLOTS = 1 << 20
 CHUNK_BYTES = 1 << 20
@@ -240,27 +242,32 @@ def without_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", leng
     unchanged.
     """
     kept = _joined(docs, key, text, **how)
-    new = F.coalesce(F.col("_kept_text"), F.col(f"`{text}`"))
+    new = F.coalesce(F.col(KEPT), F.col(f"`{text}`"))
     columns = {text: new} | ({length: F.length(new).cast(docs.schema[length].dataType)} if length else {})
     return kept.select(*[columns.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
 
 
 def _joined(docs: DataFrame, key: str, text: str, **how: float) -> DataFrame:
-    """``docs`` with ``_gone`` (line numbers) and ``_kept_text``, both null where nothing goes."""
-    gone = removed_lines(docs, key, text, **how).select(F.col("id").alias("_id"), F.col("version").alias("_version"), F.col("gone").alias("_gone"))
+    """``docs`` with the columns ``GONE`` (line numbers) and ``KEPT`` (text), both null where nothing goes."""
+    names = {n: free_name(docs, n) for n in ("_id", "_version")}
+    gone = removed_lines(docs, key, text, **how).select(F.col("id").alias(names["_id"]), F.col("version").alias(names["_version"]), F.col("gone").alias(GONE))
     body = F.col(f"`{text}`")
-    same = F.col(f"`{key}`").eqNullSafe(F.col("_id")) & (F.xxhash64(body) == F.col("_version"))
+    mine = F.xxhash64(F.col(f"`{key}`"), F.xxhash64(body))
+    near, far = parted_by(docs, mine, gone, F.xxhash64(*names.values()))
+    same = F.col(f"`{key}`").eqNullSafe(gone[names["_id"]]) & (F.xxhash64(body) == gone[names["_version"]])
     lines = F.split(body, "\n")
-    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone"))
-    joined = F.when(F.col("_gone").isNotNull(), F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n"))
-    return docs.join(gone, same, "left").withColumn("_kept_text", joined)
+    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(GONE))
+    joined = F.when(F.col(GONE).isNotNull(), F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n"))
+    met = near.join(gone, same, "left").select(*[near[f"`{c}`"] for c in docs.columns], GONE)
+    none = far.select(*[F.col(f"`{c}`") for c in docs.columns], F.lit(None).cast("array<int>").alias(GONE))
+    return met.unionByName(none).withColumn(KEPT, joined)
 
 
 def line_report(docs: DataFrame, key: str = "doc_id", text: str = "text", **how: float) -> DataFrame:
     """Per row of ``docs``: key, number of lines, how many go, and the SHA-256 of the text that stays."""
     rows = _joined(docs.select(F.col(f"`{key}`"), F.col(f"`{text}`")), key, text, **how)
-    body = F.coalesce(F.col("_kept_text"), F.col(f"`{text}`"), F.lit(""))
+    body = F.coalesce(F.col(KEPT), F.col(f"`{text}`"), F.lit(""))
     return rows.select(
         F.col(f"`{key}`"), F.coalesce(F.size(F.split(F.col(f"`{text}`"), "\n")), F.lit(0)).cast("bigint").alias("n_lines"),
-        F.coalesce(F.size("_gone"), F.lit(0)).cast("bigint").alias("n_removed"), F.sha2(body, 256).alias("kept_sha256"),
+        F.coalesce(F.size(GONE), F.lit(0)).cast("bigint").alias("n_removed"), F.sha2(body, 256).alias("kept_sha256"),
     )
