@@ -273,6 +273,60 @@ PSP_OFFLINE = "ybl|okicici|okhdfcbank|oksbi|okaxis|paytm|apl|ibl|axl|upi|hdfcban
 PHONE_HANDLE = r"^\+?\d{10,13}$"
 TOP_DOMAINS_SESSION = "io|in|com|co|me|bank|org|net"
 TOP_DOMAINS_OFFLINE = "io|in|com|co|me|bank"
+# patterns and placeholders of the passes, in their order
+EMAIL_MASK, PAN_MASK, AADHAAR_MASK, IFSC_MASK = "EMAIL_REDACTED", "PANXXXXXXXXX", "AADHAAR_REDACTED", "IFSC0XXXXXX"
+AADHAAR_SPACED = r"\b\d{4}[\s-]\d{4}[\s-]\d{4}\b"
+AADHAAR_LABELLED = r"\b(aadhaar|uidai)\b([^\d\n]{0,20})(\d{8,12})"
+AADHAAR_OFFLINE = r"\b\d{4}\s?\d{4}\s?\d{4}\b"
+CARD = r"\b\d{13,19}\b"
+VPA = r"\b([A-Za-z0-9._-]{2,})@(PSP)\b"  # PSP stands for the provider names above
+OTP_AFTER = r"\b(otp|o\.t\.p|one[\s-]?time\s*(?:password|pin|code)|verification code|security code|passcode|pin)\b([^\d\n]{0,24}?)(\d{4,8})\b"
+OTP_BEFORE = r"\b(\d{4,8})(\s+is\s+your\s+(?:otp|one[\s-]?time|verification))"
+HELPLINE = r"\b1800[-\s]?\d{3,8}\b"
+HELPLINE_18 = r"\b18[0-9]{2}[-\s]?\d{6,8}\b"
+HELPLINE_OFFLINE = r"\b1800[\-\s]?\d{3,8}\b"
+HELPLINE_MASK = "1800XXXXXX"
+PHONE_91 = r"(?<!\d)\+?91[-\s]?[6-9]\d{9}(?!\d)"
+PHONE_91_MASK = "919999999999"
+PHONE_LANDLINE = r"(?<!\d)0\d{2,4}[-\s]*\d{6,8}(?!\d)"
+PHONE_LANDLINE_MASK = "0XXXXXXXXXX"
+PHONE = r"(?<!\d)(?:\+91[-\s]?)?[6-9]\d{9}(?!\d)"
+PHONE_OFFLINE = r"(?<!\d)(?:\+91[\-\s]?)?[6-9]\d{9}(?!\d)"
+PHONE_MASK = "9999999999"
+SHORTCODE = r"\b(to|on|at)\s+(\d{5,8})(?!\d)"
+# an account word, its optional "no", the mask and the digits
+ACCOUNT_SESSION = r"\b(a\/c|acct|account|ac|card|acc)(\s*no\.?)?\s*[:.]?\s*((?:x|\*){0,4})(\d{3,6})\b"
+ACCOUNT_OFFLINE = r"\b(a\/c|acct|account|ac|card|acc)\s*(no\.?)?\s*[:.]?\s*((?:x|\*){0,4})(\d{3,6})\b"
+MASKED_TAIL = r"\b((?:x|\*){1,4})(\d{4,6})\b"
+REFERENCE_ID = r"\b(ref(?:no|erence)?|rrn|utr|txn(?:\s*id)?|transaction no\.?|umn|sr|awb|order id|application)\s*[:.\-]?\s*([A-Za-z0-9_@-]{4,40})"
+APPLICATION_ID = r"\b(?:IHL|MHL|SR)[_A-Z0-9]{6,}\b"
+APPLICATION_ID_MASK = "APPLICATION_ID"
+LONG_ID = r"(?<![\dX*x])\d{7,}(?![\d])"
+LONG_MASKED_TAIL = r"\b([Xx*]{4,})(\d{2,6})\b"
+URL = r"https?:\/\/\S+"
+URL_MASK = "https://REDACTED.LINK/x"
+SHORT_URL = r"\b(?:[a-z0-9-]+\.)+(?:DOMAINS)\b(?:\/\S*)?"  # DOMAINS stands for the top domains above
+SHORT_URL_MASK = "REDACTED.LINK/x"
+AMOUNT_AFTER = r"((?:INR|Rs\.?|₹)\s*)([\d,]+(?:\.\d{1,2})?)"
+AMOUNT_BEFORE = r"([\d,]+(?:\.\d{1,2})?)(\s*(?:INR|Rs\.?|₹))"
+DATE_NUMERIC = r"\b(\d{1,2})([/-])(\d{1,2})\2(\d{2,4})\b"
+DATE_NAMED = r"\b(\d{1,2})([\s\-/]?)([A-Za-z]{3})([a-z]*)([\s\-/]?)(\d{2,4})\b"
+DATE_LEADING = r"\b([A-Za-z]{3})[a-z]*\s+(\d{1,2}),?\s+(\d{4})\b"
+DATE_NUMERIC_BLANK = r"\b\d{1,2}[/\-]\d{1,2}[/\-]\d{2,4}\b"
+DATE_NAMED_BLANK = r"\b\d{1,2}[\s\-]?[A-Za-z]{3}[\s\-]?\d{2,4}\b"
+DATE_NUMERIC_MASK, DATE_NAMED_MASK = "99/99/99", "99-XXX-99"
+TIME = r"\b\d{1,2}:\d{2}(:\d{2})?\b"
+TIME_MASK = "99:99"
+NAME_TITLED = r"\b((?:Mr|Mrs|Ms|Dr|Shri|Smt|Sri|Kum)\.?\s+)([A-Z][A-Za-z.'-]*(?:\s+[A-Z][A-Za-z.'-]*){0,4})"
+NAME_TO = r"\b(To\s+)([A-Za-z][A-Za-z\s.'-]{2,40}?)(?=\s*(?:\n|$|On\b|Ref\b|UPI\b))"
+NAME_FROM = r"\b(from\s+)([A-Z][A-Za-z\s.'-]{2,40}?)(?=\s*(?:\n|$|on\b|ref\b|\.))"
+NAME_DEAR = r"\b(Dear\s+)([A-Za-z][A-Za-z\s.'-]{2,40}?)(?=\s*[,\n]|$)"
+NAME_RECEIVED = r"\b(received by\s+)([A-Za-z][A-Za-z\s.'-]{2,40}?)(?=\s*(?:on\b|at\b|[,.\n]|$))"
+NAME_CREDITED = r"\b(credited by\s+)([A-Z][A-Za-z\s.'-]{2,40}?)(?=\s*(?:on\b|[,.\n]|$))"
+NAME_PAYMENT = r"\b(payment of [^\n]{0,30}?\bto\s+)([A-Z][A-Za-z\s.'-]{2,40}?)(?=\s*[,.\n]|$)"
+NAME_INITIALS = r"\b((?:[A-Z]\s+){1,4}[A-Z]{2,}(?:\s+[A-Z]{2,})*)\b"
+NAME_CAPS = r"\b([A-Z]{2,}(?:\s+[A-Z]+){1,4})\b"
+NAME_SALUTATION = r"^([A-Z][A-Za-z.'-]{2,30}(?:\s+[A-Z][A-Za-z.'-]{1,30}){0,3})\s*,\s*$"
 LEAKS = (
     ("an email address", r"\b[\w.+-]+@[\w-]+\.[\w.]{2,}\b", ""),
     ("a phone number", r"(?<!\d)(?:\+91[-\s]?)?[6-9]\d{9}(?!\d)", ""),

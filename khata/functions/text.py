@@ -79,11 +79,15 @@ def swap(col: Column, pattern: str, replacement: str, flags: str = "i") -> Colum
     return F.regexp_replace(col, java(pattern, flags), replacement)
 
 
-def first_label(col: Column, rules: Iterable[tuple[str, str]], flags: str = "i") -> Column:
-    """The label of the first rule whose pattern occurs, else null.  Later rules are not evaluated."""
+def first_label(col: Column, rules: Iterable[tuple[str, str]], flags: str = "i", guards: Iterable[Column] | None = None) -> Column:
+    """The label of the first rule whose pattern occurs, else null.  Later rules are not evaluated.
+
+    With ``guards``, one for each rule, a pattern is searched only where its guard is true.
+    """
+    rules = list(rules)
     chain = None
-    for label, pattern in rules:
-        test = has(col, pattern, flags)
+    for (label, pattern), guard in zip(rules, [None] * len(rules) if guards is None else guards, strict=True):
+        test = has(col, pattern, flags) if guard is None else guard & has(col, pattern, flags)
         chain = F.when(test, F.lit(label)) if chain is None else chain.when(test, F.lit(label))
     return chain
 
@@ -108,24 +112,22 @@ def count_hits(col: Column, pattern: str, flags: str = "i") -> Column:
     return F.regexp_count(col, F.lit(java(pattern, flags)))
 
 
-def replace_with(
+def put_in(
     col: Column, pattern: str, make: Callable[..., Column], groups: int = 0, flags: str = "i"
 ) -> Column:
-    """Every hit replaced by a computed text.
+    """Every hit replaced by a computed text; for texts which have one.
 
     ``make(hit, g1, .., gn)`` builds the replacement from the whole hit and its groups.  The text is
-    cut at the hits and put together again, all with built-in array functions; a text without a hit
-    is passed through untouched.
+    cut at the hits and put together again, all with built-in array functions.
     """
     rx = java(pattern, flags)
     pieces = F.split(col, rx, -1)
     found = [F.regexp_extract_all(col, F.lit(rx), g) for g in range(groups + 1)]
     rows = F.arrays_zip(*[f.alias(f"g{g}") for g, f in enumerate(found)])
     made = F.transform(rows, lambda r: make(*[r[f"g{g}"] for g in range(groups + 1)]))
-    joined = F.array_join(
+    return F.array_join(
         F.zip_with(pieces, made, lambda p, m: F.concat(p, F.coalesce(m, F.lit("")))), ""
     )
-    return F.when(col.rlike(rx), joined).otherwise(col)
 
 
 def decimal_of(col: Column) -> Column:

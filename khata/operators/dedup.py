@@ -137,9 +137,16 @@ def accepted_ids(txns: DataFrame, known: DataFrame | None = None, rounds: int =
     return _settle(nodes, rounds)
 
 
+def newest_versions(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """One row per key: the largest by ``order``, which parts all rows but equal ones.  Rows are reduced before the shuffle."""
+    rest = [c for c in rows.columns if c not in keys]
+    version = F.max_by(F.struct(*rest), F.struct(*order))
+    return rows.groupBy(*keys).agg(version.alias("_row")).select(*keys, "_row.*").select(*rows.columns)
+
+
 def drop_repeated_messages(messages: DataFrame) -> DataFrame:
-    """One row per message id: pages of a scan may overlap."""
-    return messages.dropDuplicates(["inbox_id", "id"])
+    """One row per message id, since pages of a scan may overlap: the newest version, by its text if there are several."""
+    return newest_versions(messages, ["inbox_id", "id"], ["date_ms", "body", "address"])
 
 
 def mark_duplicates(txns: DataFrame, known: DataFrame | None = None, rounds: int = ROUNDS) -> DataFrame:

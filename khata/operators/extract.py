@@ -2,11 +2,15 @@
 
 All rules are column expressions over the message table; the job is one narrow stage without a
 shuffle.  The cheap tests run first, and every later expression is guarded by ``reason IS NULL``, so
-a rejected message never reaches the field patterns.
+a rejected message never reaches the field patterns.  A message is cut into words once, and a rule is searched only in messages which have
+one of the words that each way to word it must have.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,24 +40,87 @@ def message_text(body: Column) -> Column:
     return F.trim(swap(squeeze(F.coalesce(body, F.lit(""))), V.STUCK_VERBS, "$1 $2"))
 
 
+#: Words of the text in lower case, beside it: a rule whose words don't occur is not searched.
+WORDS = "_words"
+
+
+def words_in(text: Column) -> Column:
+    return F.split(F.lower(text), "[^a-z]+")
+
+
+def says(*words: str) -> Column:
+    """Whether the text has one of the words."""
+    return F.arrays_overlap(WORDS, F.array(*[F.lit(w) for w in words]))
+
+
+def holds(*parts: str) -> Column:
+    """Whether the text has one of the parts anywhere, in any case."""
+    lower = F.lower("_masked")
+    return reduce(lambda a, b: a | b, [F.contains(lower, F.lit(p)) for p in parts])
+
+
+def _reject_guards() -> list[Column]:
+    """For each rule of REJECT_FIRST what a text must say to break it; a word for every way to word the rule."""
+    balances = [a + b for a in ("", "avl", "available", "closing", "c") for b in ("bal", "balance")]
+    return [
+        says("otp", "one", "onetime", "onetimepassword", "onetimepin", "verification", "do"),
+        says("offer", "cashback", "congratulations", "win", "sale", "discount", "apply", "click", "unsubscribe", "limited"),
+        says(*balances),
+        says("limit"),
+        says("hold", "pre", "preauth", "blocked", "authorization", "temporarily"),
+        says("registered", "created", "cancelled"),
+        says("mandate", "autopay", "standing"),
+        says("payee", "beneficiary", "after", "adding"),
+        says("gone", "minimum", "avoid"),
+        # this one ends inside of words, too
+        holds("maintenance", "unavailable", "offline", "kyc", "reactivated", "generated", "logged", "pin has", "updation", "verification", "emis",
+              "smartemi", "invites", "beware", "safe", "fake", "smishing", "phishing", "delink", "points", "voucher", "cashback", "download",
+              "visit", "t&c"),
+        says("delivered", "dispatched", "received", "application", "statement", "estatement", "unable", "moved"),
+        says("requesting", "request", "requested") | holds("approve"),
+        says("returned", "unsuccessful", "reversed", "attempt"),
+        says("declined", "failed", "funds", "pin", "txn"),
+    ]
+
+
+def _late_guards() -> list[Column]:
+    """The same for REJECT_UNLESS_REFUND."""
+    return [
+        says("failed", "declined", "unsuccessful", "processed", "reversed", "insufficient"),
+        says("due", "generated", "ready", "debited") | holds("autopay"),
+    ]
+
+
+def _says_internal() -> Column:
+    return says("card", "self", "own", "wallet", "paytm", "phonepe", "amazon", "added", "cred", "fastag", "epf", "epfo", "provident", "ppf", "nps",
+                "contribution", "netc", "metro", "prepaid", "transferred", "transfer", "your")
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value which is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def direction_of(text: Column) -> Column:
     """debit or credit; when both are worded the one named first decides."""
-    debit, credit = has(text, V.DEBIT, FLAGS), has(text, V.CREDIT, FLAGS)
-    at_debit = F.regexp_instr(text, F.lit(java(V.DEBIT, FLAGS)))
-    at_credit = F.regexp_instr(text, F.lit(java(V.CREDIT, FLAGS)))
-    both = F.when(at_debit < at_credit, "debit").otherwise("credit")
-    return F.when(debit, F.when(credit, both).otherwise("debit")).when(credit, F.lit("credit"))
+    def first(at: Column) -> Column:
+        debit, credit = at["debit"], at["credit"]
+        return F.when((debit > 0) & ((credit == 0) | (debit < credit)), "debit").when(credit > 0, F.lit("credit"))
+
+    places = [F.regexp_instr(text, F.lit(java(p, FLAGS))).alias(name) for name, p in (("debit", V.DEBIT), ("credit", V.CREDIT))]
+    return _let(F.struct(*places), first)
 
 
 def amount_of(text: Column) -> Column:
     """The first amount form with a positive number which has no minus sign right before it.
 
-    A form whose first hit is signed is passed over as a whole.
+    A form whose first hit is signed is passed over as a whole; forms after the one that counts are not searched.
     """
-    found = F.array(*[F.regexp_extract(text, java(p, FLAGS), 1) for p in V.AMOUNT_FORMS])
-    unsigned = F.filter(found, lambda x: (x != "") & ~x.rlike("^[-−][0-9]"))
-    values = F.transform(unsigned, lambda x: decimal_of(F.regexp_replace(x, r"^[:\-−]?\s*", "")))
-    return F.get(F.filter(values, lambda v: v > 0), F.lit(0))
+    def value(found: Column) -> Column:
+        number = decimal_of(F.regexp_replace(found, r"^[:\-−]?\s*", ""))
+        return F.when((found != "") & ~found.rlike("^[-−][0-9]"), _let(number, lambda v: F.when(v > 0, v)))
+
+    return F.coalesce(*[_let(F.regexp_extract(text, java(p, FLAGS), 1), value) for p in V.AMOUNT_FORMS])
 
 
 def account_of(text: Column) -> Column:
@@ -69,26 +136,25 @@ def month_number(name: Column) -> Column:
 def stated_date(text: Column) -> Column:
     """The day written in the message, or null.  Of each format only the first hit is looked at."""
 
-    def part(pattern: str, group: int) -> Column:
-        return F.regexp_extract(text, java(pattern, FLAGS), group)
+    def hit(pattern: str, day: Callable[[Callable[[int], Column]], Column]) -> Column:
+        # One search in the text; its groups are read from the hit.
+        rx = java(pattern, FLAGS)
+        return _let(F.regexp_extract(text, rx, 0), lambda found: F.when(found != "", day(lambda group: F.regexp_extract(found, rx, group))))
 
-    def number(pattern: str, group: int) -> Column:
-        return part(pattern, group).try_cast("int")
+    def by_name(part: Callable[[int], Column]) -> Column:
+        return clock.rolled_date(clock.four_digit_year(part(3)), month_number(part(2)), part(1).try_cast("int"))
 
-    named = V.DATE_DAY_MONTHNAME
-    by_name = clock.rolled_date(
-        clock.four_digit_year(part(named, 3)), month_number(part(named, 2)), number(named, 1)
-    )
-    digits = V.DATE_DAY_MONTH
-    by_digits = F.when(
-        number(digits, 2) <= 12,
-        clock.rolled_date(clock.four_digit_year(part(digits, 3)), number(digits, 2), number(digits, 1)),
-    )
-    lead = V.DATE_MONTHNAME_DAY
-    by_lead = clock.rolled_date(number(lead, 3), month_number(part(lead, 1)), number(lead, 2))
-    iso = V.DATE_ISO
-    by_iso = clock.rolled_date(number(iso, 1), number(iso, 2), number(iso, 3))
-    return F.coalesce(by_name, by_digits, by_lead, by_iso)
+    def by_digits(part: Callable[[int], Column]) -> Column:
+        month = part(2).try_cast("int")
+        return F.when(month <= 12, clock.rolled_date(clock.four_digit_year(part(3)), month, part(1).try_cast("int")))
+
+    def by_lead(part: Callable[[int], Column]) -> Column:
+        return clock.rolled_date(part(3).try_cast("int"), month_number(part(1)), part(2).try_cast("int"))
+
+    def by_iso(part: Callable[[int], Column]) -> Column:
+        return clock.rolled_date(*[part(group).try_cast("int") for group in (1, 2, 3)])
+
+    return F.coalesce(hit(V.DATE_DAY_MONTHNAME, by_name), hit(V.DATE_DAY_MONTH, by_digits), hit(V.DATE_MONTHNAME_DAY, by_lead), hit(V.DATE_ISO, by_iso))
 
 
 def handle_quality(handle: Column) -> Column:
@@ -130,8 +196,12 @@ def merchant_of(text: Column) -> Column:
         is_tail = name.rlike("^[0-9]+$") | has(name, r"^[x*]+\s*\d+$")
         return (c["quality"] != "named") | ((F.length(name) >= 2) & ~is_tail)
 
+    # what a text must hold for each form; a form which can't occur is not searched
+    lower = F.lower(text)
+    parts = ("vpa", "vpa", "to", "to", "merchant", "done for", "trf", "at", "to", "upi/p2", "from", ";")
+    forms = [F.when(F.contains(lower, F.lit(part)), F.regexp_extract(text, java(p), 1)) for part, p in zip(parts, V.MERCHANT_FORMS, strict=True)]
     # one transform per step, so that each step is evaluated once per candidate
-    found = F.filter(F.array(*[F.regexp_extract(text, java(p), 1) for p in V.MERCHANT_FORMS]), lambda x: x != "")
+    found = F.filter(F.array(*forms), lambda x: x != "")
     candidates = F.transform(F.transform(found, named_or_handle), cleaned)
     return F.get(F.filter(candidates, ends_search), F.lit(0))
 
@@ -167,7 +237,8 @@ def parse_messages(messages: DataFrame, tz: str) -> DataFrame:
         messages
         .withColumn("_text", message_text(F.col("body")))
         .withColumn("_masked", masked(F.col("_text")))
-        .withColumn("_early", F.when(text == "", "empty").otherwise(first_label(text, V.REJECT_FIRST, FLAGS)))
+        .withColumn(WORDS, words_in(text))
+        .withColumn("_early", F.when(text == "", "empty").otherwise(first_label(text, V.REJECT_FIRST, FLAGS, _reject_guards())))
         .withColumn("_direction", F.when(F.col("_early").isNull(), direction_of(text)))
     )
     direction = F.col("_direction")
@@ -178,15 +249,16 @@ def parse_messages(messages: DataFrame, tz: str) -> DataFrame:
         F.coalesce(
             F.col("_early"),
             F.when(direction.isNull(), "no-direction"),
-            F.when(~F.col("_is_refund"), first_label(text, V.REJECT_UNLESS_REFUND, FLAGS)),
+            F.when(~F.col("_is_refund"), first_label(text, V.REJECT_UNLESS_REFUND, FLAGS, _late_guards())),
         ),
     )
     going = F.col("_late").isNull()
+    abroad = says("usd", "eur", "gbp", "aed", "sgd", "aud", "cad", "jpy", "chf", "thb", "myr")
     foreign_number = decimal_of(grab(text, V.FOREIGN, 2, FLAGS))
     staged = staged.withColumns({
         "_amount": F.when(going, amount_of(text)),
         "_foreign": F.when(
-            going & (foreign_number > 0),
+            going & abroad & (foreign_number > 0),
             F.struct(F.upper(grab(text, V.FOREIGN, 1, FLAGS)).alias("currency"), foreign_number.alias("amount")),
         ),
     }).withColumn(
@@ -198,7 +270,7 @@ def parse_messages(messages: DataFrame, tz: str) -> DataFrame:
     )
 
     # a generator of one row: filters on the outcome stay above it, so no pattern is searched twice
-    outcome = F.struct("reason", "_text", "_masked", "_direction", "_is_refund", "_amount", "_foreign")
+    outcome = F.struct("reason", "_text", "_masked", WORDS, "_direction", "_is_refund", "_amount", "_foreign")
     staged = staged.select(*messages.columns, F.inline(F.array(outcome)))
 
     ok = reason.isNull()
@@ -227,7 +299,7 @@ def parse_messages(messages: DataFrame, tz: str) -> DataFrame:
         "_kind": F.when(
             ok,
             F.when(F.col("_is_refund"), "refund")
-            .when(has(text, V.INTERNAL, FLAGS), "transfer")
+            .when(_says_internal() & has(text, V.INTERNAL, FLAGS), "transfer")
             .when(direction == "credit", "income")
             .otherwise("expense"),
         ),

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from khata.operators.categories import resolve_categories
-from khata.operators.dedup import dedup, drop_repeated_messages, mark_duplicates
+from khata.operators.dedup import dedup, drop_repeated_messages, mark_duplicates, newest_versions
 from khata.operators.extract import accepted, parse_messages
 from khata.operators.merge import merge_ledger
 from khata.operators.reports import INBOX, Keys
@@ -14,11 +14,11 @@ from khata.session import cut_lineage
 
 
 def parsed_once(messages: DataFrame, tz: str) -> DataFrame:
-    """Ledger rows of the messages, one per message id, written out: they are read several times.
+    """Ledger rows of the messages, the newest version of each message id, written out: they are read several times.
 
     The parse comes before the rows are made unique, so it runs on the partitions of the scan.
     """
-    return cut_lineage(accepted(parse_messages(messages, tz)).dropDuplicates(["inbox_id", "sms_id"]))
+    return cut_lineage(newest_versions(accepted(parse_messages(messages, tz)), ["inbox_id", "sms_id"], ["sms_date_ms", "raw", "sender"]))
 
 
 def ingest(messages: DataFrame, tz: str, stored: DataFrame | None = None, decisions: DataFrame | None = None,
@@ -28,6 +28,17 @@ def ingest(messages: DataFrame, tz: str, stored: DataFrame | None = None, decisi
     return resolve_categories(dedup(txns, stored), decisions, priors, predictions)
 
 
+def fresh_parse(txns: DataFrame, stored: DataFrame) -> DataFrame:
+    """For stored fingerprints the row of their newest message."""
+    row = F.struct(*[c for c in txns.columns if c not in ("inbox_id", "fingerprint")])
+    return (
+        txns.join(stored.select("inbox_id", "fingerprint").distinct(), ["inbox_id", "fingerprint"], "left_semi")
+        .groupBy("inbox_id", "fingerprint")
+        .agg(F.max_by(row, F.struct("sms_date_ms", -F.col("sms_id"))).alias("row"))
+        .select("inbox_id", "fingerprint", "row.*").select(*txns.columns)
+    )
+
+
 def reprocess(messages: DataFrame, tz: str, stored: DataFrame, decisions: DataFrame | None = None,
               priors: DataFrame | None = None, predictions: DataFrame | None = None) -> DataFrame:
     """A full re-scan: stored rows are parsed anew, the user's decisions stay, new rows are added.
@@ -36,13 +47,7 @@ def reprocess(messages: DataFrame, tz: str, stored: DataFrame, decisions: DataFr
     the merge, so that a re-scan does not empty it.  The result has a column ``change``.
     """
     txns = parsed_once(messages, tz)
-    row = F.struct(*[c for c in txns.columns if c not in ("inbox_id", "fingerprint")])
-    again = (
-        txns.join(stored.select("inbox_id", "fingerprint").distinct(), ["inbox_id", "fingerprint"], "left_semi")
-        .groupBy("inbox_id", "fingerprint")
-        .agg(F.max_by(row, F.struct("sms_date_ms", -F.col("sms_id"))).alias("row"))
-        .select("inbox_id", "fingerprint", "row.*").select(*txns.columns)
-    )
+    again = fresh_parse(txns, stored)
     fresh = again.unionByName(dedup(txns, stored))
     return merge_ledger(
         stored, resolve_categories(fresh, decisions, priors, predictions).select(*stored.columns), reprocess=True

@@ -132,8 +132,19 @@ def _top_two(scores: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+def _leaders(bases: DataFrame, keys: list[str], n: int) -> DataFrame:
+    """The ``n`` best classes by their ``base``, which is the score of a class that shares no token with a row."""
+    by_base = Window.partitionBy(*keys).orderBy(F.desc("base"), "category")
+    return bases.withColumn("place", F.row_number().over(by_base)).where(F.col("place") <= n).select(*keys, "category")
+
+
 def nb_scores(model: NaiveBayes, signed: DataFrame) -> DataFrame:
-    """Log score of every usable class for every distinct signature of the rows."""
+    """Log scores for every distinct signature of the rows: of the classes which may come first or second.
+
+    The counts are an inverted index from tokens to classes, which gives the classes that share a token.  All others have their base
+    score, which depends on the size of the row alone, and tokens only add to a base.  So of those classes only the two with the best
+    bases for the size can be among the first two, and rows never meet all classes.
+    """
     bags = _bags(signed)
     sizes = signed.groupBy("inbox_id", "signature").agg(F.first(F.size("features")).alias("size"))
     usable = model.classes.where(F.col("rows") >= V.NB_MIN_PER_CLASS).join(
@@ -143,17 +154,14 @@ def nb_scores(model: NaiveBayes, signed: DataFrame) -> DataFrame:
         F.log(F.col("rows") / F.col("examples")).alias("prior"),
         F.log(F.col("tokens") + F.col("vocabulary")).alias("log_base"),
     )
-    seen = bags.join(model.tokens, ["inbox_id", "token"]).groupBy("inbox_id", "signature", "category").agg(
-        F.sum(F.col("times") * F.log(F.col("n") + 1)).alias("gain")
-    )
-    return (
-        sizes.join(usable, "inbox_id")
-        .join(seen, ["inbox_id", "signature", "category"], "left")
-        .select(
-            "inbox_id", "signature", "category",
-            (F.col("prior") + F.coalesce("gain", F.lit(0.0)) - F.col("size") * F.col("log_base")).alias("score"),
-        )
-    )
+    alike = sizes.select("inbox_id", "size").distinct().join(usable, "inbox_id")
+    leaders = _leaders(alike.withColumn("base", F.col("prior") + F.lit(0.0) - F.col("size") * F.col("log_base")), ["inbox_id", "size"], 2)
+    shared = bags.join(model.tokens, ["inbox_id", "token"]).select(
+        "inbox_id", "signature", "category", (F.col("times") * F.log(F.col("n") + 1)).alias("gain"))
+    plain = sizes.join(leaders, ["inbox_id", "size"]).select("inbox_id", "signature", "category", F.lit(0.0).alias("gain"))
+    gains = shared.unionByName(plain).groupBy("inbox_id", "signature", "category").agg(F.sum("gain").alias("gain"))
+    return gains.join(sizes, ["inbox_id", "signature"]).join(usable, ["inbox_id", "category"]).select(
+        "inbox_id", "signature", "category", (F.col("prior") + F.col("gain") - F.col("size") * F.col("log_base")).alias("score"))
 
 
 def nb_predict(model: NaiveBayes, rows: DataFrame, keys: tuple[str, ...] = ("inbox_id", "sms_id"),
@@ -239,25 +247,32 @@ def nb_leave_one_out(labelled: DataFrame, keys: tuple[str, ...] = ("inbox_id",))
         F.count_if(F.col("all_n") == F.col("times")).alias("vanish")
     )
     is_own = F.col("category") == F.col("own")
-    gains = bags.join(model.tokens, ["inbox_id", "token"]).groupBy("inbox_id", "signature", "own", "category").agg(
-        F.sum(
-            F.col("times") * F.log(F.col("n") + 1 - F.when(is_own, F.col("times")).otherwise(0))
-        ).alias("gain")
-    )
+    same = ["inbox_id", "signature", "own"]
+    states = cut_lineage(packed.drop("features").join(vanish, same).join(
+        model.meta.select("inbox_id", "examples", "vocabulary").where(F.col("examples") - 1 >= V.NB_MIN_EXAMPLES), "inbox_id"))
+    # A class without a shared token has the same score in all rows of a size which lose as many tokens.  Besides the row's own class,
+    # which has other counts, only two of the three best ones by that score may come first or second.
+    kinds = ["inbox_id", "size", "vanish"]
+    bases = states.select(*kinds, "examples", "vocabulary").distinct().join(
+        model.classes.where(F.col("rows") >= V.NB_MIN_PER_CLASS), "inbox_id"
+    ).withColumn("base", F.log(F.col("rows") / (F.col("examples") - 1)) - F.col("size") * F.log(F.col("tokens") + F.col("vocabulary") - F.col("vanish")))
+    plain = states.join(_leaders(bases, kinds, 3), kinds).select(*same, "category").unionByName(
+        states.select(*same, F.col("own").alias("category"))).withColumn("gain", F.lit(0.0))
+    shared = bags.join(model.tokens, ["inbox_id", "token"]).select(*same, "category", (
+        F.col("times") * F.log(F.col("n") + 1 - F.when(is_own, F.col("times")).otherwise(0))
+    ).alias("gain"))
+    gains = shared.unionByName(plain).groupBy(*same, "category").agg(F.sum("gain").alias("gain"))
     grid = (
-        packed.drop("features").join(vanish, ["inbox_id", "signature", "own"])
-        .join(model.meta.select("inbox_id", "examples", "vocabulary"), "inbox_id")
-        .join(model.classes, "inbox_id")
+        gains.join(states, same).join(model.classes, ["inbox_id", "category"])
         .withColumn("rows_left", F.col("rows") - F.when(is_own, 1).otherwise(0))
-        .where((F.col("rows_left") >= V.NB_MIN_PER_CLASS) & (F.col("examples") - 1 >= V.NB_MIN_EXAMPLES))
+        .where(F.col("rows_left") >= V.NB_MIN_PER_CLASS)
     )
     base = (
         F.col("tokens") - F.when(is_own, F.col("size")).otherwise(0) + F.col("vocabulary") - F.col("vanish")
     )
-    scores = grid.join(gains, ["inbox_id", "signature", "own", "category"], "left").withColumn(
+    scores = grid.withColumn(
         "score",
-        F.log(F.col("rows_left") / (F.col("examples") - 1)) + F.coalesce("gain", F.lit(0.0))
-        - F.col("size") * F.log(base),
+        F.log(F.col("rows_left") / (F.col("examples") - 1)) + F.col("gain") - F.col("size") * F.log(base),
     )
     answered = _top_two(scores, ["inbox_id", "signature", "own"])
     judged = packed.select("inbox_id", "signature", "own", "rows_alike").join(

@@ -10,35 +10,54 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from khata.functions import fixed_values as V
 from khata.functions.money import sender_id
-from khata.functions.text import count_hits, has, hits, java, replace_with, squeeze, swap
+from khata.functions.text import count_hits, has, hits, java, put_in, squeeze, swap
 
 TEXT = "_redacted"
 
-# fixed values: an account word, its optional "no", the mask and the digits
-ACCOUNT_SESSION = r"\b(a\/c|acct|account|ac|card|acc)(\s*no\.?)?\s*[:.]?\s*((?:x|\*){0,4})(\d{3,6})\b"
-ACCOUNT_OFFLINE = r"\b(a\/c|acct|account|ac|card|acc)\s*(no\.?)?\s*[:.]?\s*((?:x|\*){0,4})(\d{3,6})\b"
+#: Length of the longest run of digits in the present text, beside the text.
+RUN = "_run"
+
+
+def longest_run(text: Column) -> Column:
+    return F.coalesce(F.array_max(F.transform(F.regexp_extract_all(text, F.lit("[0-9]+"), 0), F.length)), F.lit(0))
 
 
 @dataclass(frozen=True)
 class Pass:
-    """One rewriting step: what it counts as, its pattern, and a constant or computed replacement."""
+    """One rewriting step: what it counts as, its pattern, and a constant or computed replacement.
+
+    ``digits`` and ``holds`` are necessary for a hit and cheap to see: the longest run of digits in the text, and words of which the text
+    must contain one (in lower case for a pattern which ignores case).
+    """
 
     kind: str
     pattern: str
     make: str | Callable[..., Column]
     groups: int = 0
     flags: str = ""
+    digits: int = 0
+    holds: tuple[str, ...] = ()
+
+    def found(self, text: Column) -> Column:
+        """Whether there is a hit; the pattern is searched only in texts which can have one."""
+        tests = [F.col(RUN) >= self.digits] if self.digits else []
+        if self.holds:
+            shown = F.lower(text) if "i" in self.flags else text
+            tests.append(reduce(lambda a, b: a | b, [F.contains(shown, F.lit(w)) for w in self.holds]))
+        return reduce(lambda a, b: a & b, [*tests, has(text, self.pattern, self.flags)])
 
     def apply(self, text: Column) -> Column:
+        """The new version of a text with a hit."""
         if isinstance(self.make, str):
             return F.regexp_replace(text, java(self.pattern, self.flags), self.make)
-        return replace_with(text, self.pattern, self.make, self.groups, self.flags)
+        return put_in(text, self.pattern, self.make, self.groups, self.flags)
 
 
 def _digits_as_nines(text: Column) -> Column:
@@ -127,16 +146,16 @@ def _date_passes(shift: int) -> list[Pass]:
         return F.coalesce(text, hit)
 
     return [
-        Pass("date", r"\b(\d{1,2})([/-])(\d{1,2})\2(\d{2,4})\b", numeric, 4),
-        Pass("date", r"\b(\d{1,2})([\s\-/]?)([A-Za-z]{3})([a-z]*)([\s\-/]?)(\d{2,4})\b", named, 6),
-        Pass("date", r"\b([A-Za-z]{3})[a-z]*\s+(\d{1,2}),?\s+(\d{4})\b", lead, 3),
+        Pass("date", V.DATE_NUMERIC, numeric, 4, digits=2),
+        Pass("date", V.DATE_NAMED, named, 6, digits=2),
+        Pass("date", V.DATE_LEADING, lead, 3, digits=4),
     ]
 
 
 def _blank_date_passes() -> list[Pass]:
     return [
-        Pass("date", r"\b\d{1,2}[/\-]\d{1,2}[/\-]\d{2,4}\b", "99/99/99"),
-        Pass("date", r"\b\d{1,2}[\s\-]?[A-Za-z]{3}[\s\-]?\d{2,4}\b", "99-XXX-99"),
+        Pass("date", V.DATE_NUMERIC_BLANK, V.DATE_NUMERIC_MASK, digits=2),
+        Pass("date", V.DATE_NAMED_BLANK, V.DATE_NAMED_MASK, digits=2),
     ]
 
 
@@ -175,89 +194,73 @@ def passes(salt: str, shift_days: int, rules: str = "session", width: int = 24,
         return F.concat(mask, fill(digits))
 
     result = [
-        Pass("email", V.EMAIL, "EMAIL_REDACTED"),
-        Pass("pan", V.PAN, "PANXXXXXXXXX"),
+        Pass("email", V.EMAIL, V.EMAIL_MASK, holds=("@",)),
+        Pass("pan", V.PAN, V.PAN_MASK, digits=4),
     ]
     if session:
         result += [
-            Pass("aadhaar", r"\b\d{4}[\s-]\d{4}[\s-]\d{4}\b", "AADHAAR_REDACTED"),
-            Pass("aadhaar", r"\b(aadhaar|uidai)\b([^\d\n]{0,20})(\d{8,12})", "$1$2AADHAAR_REDACTED", 3, "i"),
+            Pass("aadhaar", V.AADHAAR_SPACED, V.AADHAAR_MASK, digits=4),
+            Pass("aadhaar", V.AADHAAR_LABELLED, "$1$2" + V.AADHAAR_MASK, 3, "i", digits=8, holds=("aadhaar", "uidai")),
         ]
     else:
-        result += [Pass("aadhaar", r"\b\d{4}\s?\d{4}\s?\d{4}\b", "AADHAAR_REDACTED")]
+        result += [Pass("aadhaar", V.AADHAAR_OFFLINE, V.AADHAAR_MASK, digits=4)]
     result += [
-        Pass("ifsc", V.IFSC, "IFSC0XXXXXX"),
-        Pass("card_or_long_id", r"\b\d{13,19}\b", fill),
-        Pass("vpa", rf"\b([A-Za-z0-9._-]{{2,}})@({psp})\b", handle, 2, "i"),
+        Pass("ifsc", V.IFSC, V.IFSC_MASK, holds=("0",)),
+        Pass("card_or_long_id", V.CARD, fill, digits=13),
+        Pass("vpa", V.VPA.replace("PSP", psp), handle, 2, "i", holds=("@",)),
     ]
     if session:
         result += [
-            Pass("otp", r"\b(otp|o\.t\.p|one[\s-]?time\s*(?:password|pin|code)|verification code|security code|passcode|pin)\b([^\d\n]{0,24}?)(\d{4,8})\b",
-                 lambda _, word, gap, code: F.concat(word, gap, fill(code)), 3, "i"),
-            Pass("otp", r"\b(\d{4,8})(\s+is\s+your\s+(?:otp|one[\s-]?time|verification))",
-                 lambda _, code, tail: F.concat(fill(code), tail), 2, "i"),
-            Pass("helpline", r"\b1800[-\s]?\d{3,8}\b", "1800XXXXXX"),
-            Pass("helpline", r"\b18[0-9]{2}[-\s]?\d{6,8}\b", "1800XXXXXX"),
-            Pass("phone", r"(?<!\d)\+?91[-\s]?[6-9]\d{9}(?!\d)", "919999999999"),
-            Pass("phone", r"(?<!\d)0\d{2,4}[-\s]*\d{6,8}(?!\d)", "0XXXXXXXXXX"),
-            Pass("phone", r"(?<!\d)(?:\+91[-\s]?)?[6-9]\d{9}(?!\d)", "9999999999"),
-            Pass("shortcode", r"\b(to|on|at)\s+(\d{5,8})(?!\d)",
-                 lambda _, word, n: F.concat(word, F.lit(" "), fill(n)), 2, "i"),
+            Pass("otp", V.OTP_AFTER, lambda _, word, gap, code: F.concat(word, gap, fill(code)), 3, "i", digits=4),
+            Pass("otp", V.OTP_BEFORE, lambda _, code, tail: F.concat(fill(code), tail), 2, "i", digits=4),
+            Pass("helpline", V.HELPLINE, V.HELPLINE_MASK, digits=4, holds=("1800",)),
+            Pass("helpline", V.HELPLINE_18, V.HELPLINE_MASK, digits=6, holds=("18",)),
+            Pass("phone", V.PHONE_91, V.PHONE_91_MASK, digits=10, holds=("91",)),
+            Pass("phone", V.PHONE_LANDLINE, V.PHONE_LANDLINE_MASK, digits=6, holds=("0",)),
+            Pass("phone", V.PHONE, V.PHONE_MASK, digits=10),
+            Pass("shortcode", V.SHORTCODE, lambda _, word, n: F.concat(word, F.lit(" "), fill(n)), 2, "i", digits=5),
         ]
     else:
         result += [
-            Pass("phone", r"(?<!\d)(?:\+91[\-\s]?)?[6-9]\d{9}(?!\d)", "9999999999"),
-            Pass("helpline", r"\b1800[\-\s]?\d{3,8}\b", "1800XXXXXX"),
+            Pass("phone", V.PHONE_OFFLINE, V.PHONE_MASK, digits=10),
+            Pass("helpline", V.HELPLINE_OFFLINE, V.HELPLINE_MASK, digits=4, holds=("1800",)),
         ]
     result += [
-        Pass("account", ACCOUNT_SESSION if session else ACCOUNT_OFFLINE, account, 4, "i"),
-        Pass("masked_tail", r"\b((?:x|\*){1,4})(\d{4,6})\b", mask_and_nines, 2, "i"),
-        Pass("reference", r"\b(ref(?:no|erence)?|rrn|utr|txn(?:\s*id)?|transaction no\.?|umn|sr|awb|order id|application)\s*[:.\-]?\s*([A-Za-z0-9_@-]{4,40})",
-             lambda _, label, ref: F.concat(label, F.lit(" "), _letters_as_nines(ref)), 2, "i"),
-        Pass("application_id", r"\b(?:IHL|MHL|SR)[_A-Z0-9]{6,}\b", "APPLICATION_ID"),
+        Pass("account", V.ACCOUNT_SESSION if session else V.ACCOUNT_OFFLINE, account, 4, "i", digits=3),
+        Pass("masked_tail", V.MASKED_TAIL, mask_and_nines, 2, "i", digits=4, holds=("x", "*")),
+        Pass("reference", V.REFERENCE_ID, lambda _, label, ref: F.concat(label, F.lit(" "), _letters_as_nines(ref)), 2, "i",
+             holds=("ref", "rrn", "utr", "txn", "transaction no", "umn", "sr", "awb", "order id", "application")),
+        Pass("application_id", V.APPLICATION_ID, V.APPLICATION_ID_MASK, holds=("IHL", "MHL", "SR")),
     ]
     if session:
         result += [
-            Pass("long_id", r"(?<![\dX*x])\d{7,}(?![\d])", fill),
-            Pass("masked_tail", r"\b([Xx*]{4,})(\d{2,6})\b", mask_and_nines, 2),
+            Pass("long_id", V.LONG_ID, fill, digits=7),
+            Pass("masked_tail", V.LONG_MASKED_TAIL, mask_and_nines, 2, digits=2),
         ]
     result += [
-        Pass("url", r"https?:\/\/\S+", "https://REDACTED.LINK/x"),
-        Pass("short_url", rf"\b(?:[a-z0-9-]+\.)+(?:{domains})\b(?:\/\S*)?", "REDACTED.LINK/x", 0, "i"),
-        Pass("amount", r"((?:INR|Rs\.?|₹)\s*)([\d,]+(?:\.\d{1,2})?)",
-             lambda _, cur, n: F.concat(cur, _digits_as_nines(n)), 2, "i"),
-        Pass("amount", r"([\d,]+(?:\.\d{1,2})?)(\s*(?:INR|Rs\.?|₹))",
-             lambda _, n, cur: F.concat(_digits_as_nines(n), cur), 2, "i"),
+        Pass("url", V.URL, V.URL_MASK, holds=("http",)),
+        Pass("short_url", V.SHORT_URL.replace("DOMAINS", domains), V.SHORT_URL_MASK, 0, "i", holds=tuple(f".{d}" for d in domains.split("|"))),
+        Pass("amount", V.AMOUNT_AFTER, lambda _, cur, n: F.concat(cur, _digits_as_nines(n)), 2, "i", holds=("inr", "rs", "₹")),
+        Pass("amount", V.AMOUNT_BEFORE, lambda _, n, cur: F.concat(_digits_as_nines(n), cur), 2, "i", holds=("inr", "rs", "₹")),
     ]
     result += _blank_date_passes() if blank_dates else _date_passes(shift_days)
-    result += [Pass("time", r"\b\d{1,2}:\d{2}(:\d{2})?\b", "99:99")]
+    result += [Pass("time", V.TIME, V.TIME_MASK, digits=2, holds=(":",))]
     if session:
-        result += [Pass(
-            "name_titled",
-            r"\b((?:Mr|Mrs|Ms|Dr|Shri|Smt|Sri|Kum)\.?\s+)([A-Z][A-Za-z.'-]*(?:\s+[A-Z][A-Za-z.'-]*){0,4})",
-            lambda _, title, name: F.concat(title, tagged("PERSON", name)), 2,
-        )]
+        result += [Pass("name_titled", V.NAME_TITLED, lambda _, title, name: F.concat(title, tagged("PERSON", name)), 2,
+                        holds=("Mr", "Ms", "Dr", "Shri", "Smt", "Sri", "Kum"))]
     result += [
-        Pass("name", r"\b(To\s+)([A-Za-z][A-Za-z\s.'-]{2,40}?)(?=\s*(?:\n|$|On\b|Ref\b|UPI\b))", named, 2, "i"),
-        Pass("name", r"\b(from\s+)([A-Z][A-Za-z\s.'-]{2,40}?)(?=\s*(?:\n|$|on\b|ref\b|\.))", named, 2),
-        Pass("name", r"\b(Dear\s+)([A-Za-z][A-Za-z\s.'-]{2,40}?)(?=\s*[,\n]|$)", named, 2),
-        Pass("name", r"\b(received by\s+)([A-Za-z][A-Za-z\s.'-]{2,40}?)(?=\s*(?:on\b|at\b|[,.\n]|$))", named, 2, "i"),
-        Pass("name", r"\b(credited by\s+)([A-Z][A-Za-z\s.'-]{2,40}?)(?=\s*(?:on\b|[,.\n]|$))", named, 2, "i")
-        if session else
-        Pass("name", r"\b(payment of [^\n]{0,30}?\bto\s+)([A-Z][A-Za-z\s.'-]{2,40}?)(?=\s*[,.\n]|$)", named, 2),
-        Pass("name_initials", r"\b((?:[A-Z]\s+){1,4}[A-Z]{2,}(?:\s+[A-Z]{2,})*)\b",
-             lambda hit: tagged("PERSON", hit)),
-        Pass("name_caps", r"\b([A-Z]{2,}(?:\s+[A-Z]+){1,4})\b",
-             lambda hit: F.when(named_so(hit), tagged("PERSON", hit)).otherwise(hit)),
+        Pass("name", V.NAME_TO, named, 2, "i", holds=("to",)),
+        Pass("name", V.NAME_FROM, named, 2, holds=("from",)),
+        Pass("name", V.NAME_DEAR, named, 2, holds=("Dear",)),
+        Pass("name", V.NAME_RECEIVED, named, 2, "i", holds=("received by",)),
+        Pass("name", V.NAME_CREDITED, named, 2, "i", holds=("credited by",))
+        if session else Pass("name", V.NAME_PAYMENT, named, 2, holds=("payment of ",)),
+        Pass("name_initials", V.NAME_INITIALS, lambda hit: tagged("PERSON", hit)),
+        Pass("name_caps", V.NAME_CAPS, lambda hit: F.when(named_so(hit), tagged("PERSON", hit)).otherwise(hit)),
     ]
     if session:
-        result += [Pass(
-            "name_salutation",
-            r"^([A-Z][A-Za-z.'-]{2,30}(?:\s+[A-Z][A-Za-z.'-]{1,30}){0,3})\s*,\s*$",
-            lambda hit, name: F.when(
-                named_so(name), F.concat(tagged("PERSON", name), F.lit(","))
-            ).otherwise(hit), 1, "m",
-        )]
+        result += [Pass("name_salutation", V.NAME_SALUTATION,
+                        lambda hit, name: F.when(named_so(name), F.concat(tagged("PERSON", name), F.lit(","))).otherwise(hit), 1, "m", holds=(",",))]
     return result
 
 
@@ -271,20 +274,26 @@ def _hits_that_count(step: Pass, text: Column, named_so: Callable[[Column], Colu
 def redact(df: DataFrame, column: str, salt: str, shift_days: int, counts: bool = True, **options) -> DataFrame:
     """Rewrites a text column and, with ``counts``, adds ``replaced``: a map of category to hits.
 
-    Options are those of ``passes``.  The counts cost one more search per pass.  The result leaves
+    Options are those of ``passes``.  The counts cost one more search per pass and text with a hit.  The result leaves
     through a generator of one row, so that a later filter on it is not pushed through the passes.
     """
     named_so = name_test(options.get("rules", "session"), options.get("stop_words", ()))
     steps = passes(salt, shift_days, **options)
-    work = df.withColumn(TEXT, F.coalesce(F.col(column), F.lit("")))
+    work = df.withColumn(TEXT, F.coalesce(F.col(column), F.lit(""))).withColumn(RUN, longest_run(F.col(TEXT)))
     counters: dict[str, list[str]] = {}
     for i, step in enumerate(steps):
-        changes = {TEXT: step.apply(F.col(TEXT))}
+        # One search says whether there is a hit; only then the text is cut, its hits counted and its digits looked at again.
+        text, found = F.col(TEXT), F.col("_found")
+        changed = [step.apply(text).alias(TEXT)]
         if counts:
             name = f"_n{i}"
             counters.setdefault(step.kind, []).append(name)
-            changes[name] = _hits_that_count(step, F.col(TEXT), named_so)
-        work = work.withColumns(changes)
+            changed.append(_hits_that_count(step, text, named_so).alias("n"))
+        work = work.withColumn("_found", step.found(text)).withColumn("_new", F.when(found, F.struct(*changed)))
+        columns = {TEXT: F.when(found, F.col("_new")[TEXT]).otherwise(text), RUN: F.when(found, longest_run(F.col("_new")[TEXT])).otherwise(F.col(RUN))}
+        if counts:
+            columns[name] = F.when(found, F.col("_new.n")).otherwise(0)
+        work = work.withColumns(columns)
     result = [F.col(TEXT).alias(column)]
     if counts:
         entries = []

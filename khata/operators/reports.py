@@ -19,6 +19,7 @@ from khata.functions.money import (
     amount_if, is_counted, is_income, is_pending, is_refund, is_spend, is_transfer,
     merchant_or_unknown, zero,
 )
+from khata.session import cut_lineage
 
 Keys = tuple[str, ...]
 INBOX: Keys = ("inbox_id",)
@@ -289,8 +290,8 @@ def fact_sheet(ledger: DataFrame, question: str, categories: tuple[str, ...], no
                keys: Keys = INBOX) -> DataFrame:
     """The figures a question may be answered from, rounded half up to whole rupees.
 
-    Three periods come out of one pass over the ledger; categories and merchants are summed first
-    and then folded into maps, so no list grows with the rows.
+    The ledger is read once: one aggregation sums up inboxes, their categories and their merchants for all three periods.  Its result is
+    written, small as it is, and folded into maps, so no list grows with the rows.
     """
     this, last = clock.period("this_month", now), clock.period("last_month", now)
     in_this, in_last = this.covers(F.col("date")), last.covers(F.col("date"))
@@ -305,41 +306,49 @@ def fact_sheet(ledger: DataFrame, question: str, categories: tuple[str, ...], no
         return _floor_zero(amount_if(test & is_spend()) - amount_if(test & is_refund()))
 
     this_c, last_c, all_c = counted & in_this, counted & in_last, counted & until_now
-    largest = F.min_by(
-        F.when(this_c & is_spend(), F.struct("merchant", "amount", F.to_date("date").alias("day"))),
-        F.when(this_c & is_spend(), F.struct(-F.col("amount"), F.col("date"), F.col("sms_id"))),
-    )
-    heads = ledger.groupBy(*keys).agg(
-        whole(spent(this_c)).alias("this_spent"),
-        whole(amount_if(this_c & is_income())).alias("this_received"),
-        F.count_if(this_c).alias("this_transactions"),
-        whole(spent(last_c)).alias("last_spent"),
-        whole(amount_if(last_c & is_income())).alias("last_received"),
-        F.count_if(last_c).alias("last_transactions"),
-        whole(spent(all_c)).alias("all_spent"),
-        F.count_if(all_c).alias("all_transactions"),
-        whole(amount_if(this_c & is_refund())).alias("this_refunds"),
-        (amount_if(this_c & is_transfer()) > 0).alias("transfers_excluded"),
-        F.count_if(is_pending()).alias("excluded_pending_review"),
-        largest.alias("_largest"),
-    )
-
-    def category_map(span: Span, name: str) -> DataFrame:
-        pairs = F.struct("category", whole(F.col("total")).alias("total"))
-        return spend_by_category(ledger, span, keys).groupBy(*keys).agg(
-            F.map_from_entries(F.sort_array(F.collect_list(pairs))).alias(name)
-        )
-
-    merchants = top_merchants(ledger, this, 5, keys).groupBy(*keys).agg(
-        F.transform(
-            F.sort_array(F.collect_list(F.struct("rank", "name", "total", "count"))),
-            lambda m: F.struct(m["name"].alias("name"), whole(m["total"]).alias("total"), m["count"].alias("times")),
-        ).alias("top_merchants")
-    )
+    this_spend = this_c & is_spend()
+    heads = {
+        "this_spent": whole(spent(this_c)),
+        "this_received": whole(amount_if(this_c & is_income())),
+        "this_transactions": F.count_if(this_c),
+        "last_spent": whole(spent(last_c)),
+        "last_received": whole(amount_if(last_c & is_income())),
+        "last_transactions": F.count_if(last_c),
+        "all_spent": whole(spent(all_c)),
+        "all_transactions": F.count_if(all_c),
+        "this_refunds": whole(amount_if(this_c & is_refund())),
+        "transfers_excluded": amount_if(this_c & is_transfer()) > 0,
+        "excluded_pending_review": F.count_if(is_pending()),
+        "_largest": F.min_by(
+            F.when(this_spend, F.struct("merchant", "amount", F.to_date("date").alias("day"))),
+            F.when(this_spend, F.struct(-F.col("amount"), F.col("date"), F.col("sms_id"))),
+        ),
+    }
+    named = ledger.withColumns({
+        "_category": F.coalesce(F.nullif(F.col("category"), F.lit("")), F.lit("other")), "_merchant": merchant_or_unknown(F.col("merchant")),
+    })
+    inbox = [F.col(k) for k in keys]
+    sums = cut_lineage(named.groupingSets([inbox, [*inbox, F.col("_category")], [*inbox, F.col("_merchant")]], *inbox, "_category", "_merchant").agg(
+        (2 * F.grouping("_category") + F.grouping("_merchant")).alias("_set"),
+        *[value.alias(name) for name, value in heads.items()],
+        F.sum(F.when(this_spend, F.col("amount"))).alias("_this"),
+        F.sum(F.when(last_c & is_spend(), F.col("amount"))).alias("_last"),
+        F.count_if(this_spend).alias("_times"),
+        F.min_by(F.when(this_spend, F.col("merchant")), F.when(this_spend, _by_order())).alias("_name"),
+    ))
+
+    def category_map(total: str) -> Column:
+        pairs = F.collect_list(F.when(F.col(total).isNotNull(), F.struct("_category", whole(F.col(total)).alias("total"))))
+        return F.when(F.size(pairs) > 0, F.map_from_entries(F.sort_array(pairs)))
+
+    by_category = sums.where("_set = 1").groupBy(*keys).agg(category_map("_this").alias("this_by_category"), category_map("_last").alias("last_by_category"))
+    place = Window.partitionBy(*keys).orderBy(F.desc("_this"), "_merchant")
+    first = sums.where("_set = 2 AND _times > 0").withColumn("_rank", F.row_number().over(place)).where(F.col("_rank") <= 5)
+    shown = F.struct("_rank", F.coalesce(F.nullif(F.col("_name"), F.lit("")), F.lit("Unknown")).alias("name"), whole(F.col("_this")).alias("total"), F.col("_times").alias("times"))
+    merchants = first.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(shown)), lambda m: m.dropFields("_rank")).alias("top_merchants"))
     sheet = (
-        heads.join(category_map(this, "this_by_category"), list(keys), "left")
-        .join(category_map(last, "last_by_category"), list(keys), "left")
-        .join(merchants, list(keys), "left")
+        sums.where("_set = 3").select(*keys, *heads)
+        .join(by_category, list(keys), "left").join(merchants, list(keys), "left")
     )
     result = sheet.withColumns({
         "largest_merchant": F.col("_largest.merchant"),

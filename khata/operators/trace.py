@@ -1,12 +1,15 @@
 """Where in the message every field of a ledger row was read.
 
-Each field is searched with a pattern built from its value.  Fields claim their place in a fixed
+Constant patterns cut the message into tokens once: numbers, masked digits, days.  A field's places are the tokens which say its value, or,
+for names and references, where its value stands as it is; no pattern is built from a row.  Fields claim their place in a fixed
 order, most specific first, and a place once claimed is not given twice; each is a projection of its
 own, so the plan stays linear.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,11 +17,15 @@ from khata.functions import fixed_values as V
 
 FIELDS = ("ref", "amount", "account", "merchant", "date", "balance")
 SPAN = "struct<start:int,end:int,field:string>"
-
-
-def _literal(value: Column) -> Column:
-    """Escapes a value for use inside a pattern."""
-    return F.regexp_replace(value, r"([.*+?^${}()|\[\]\\])", r"\\$1")
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+# tokens: a number with single separators, digits with mask signs before them, and the ways to write a day
+FIGURE = r"(?<!\d)(?<!\d[.,])\d++(?:[.,]\d++)*+"
+MASKED_RUN = r"(?<![xX*\d])[xX*]*+\d++"
+MONTH = "(" + "|".join(V.MONTHS) + ")"
+DAY_MONTH_YEAR = r"(\d++)[-/](\d{1,2})[-/](\d{2,})"
+DAY_NAME_YEAR = rf"(?i)(\d++)[\s-]?{MONTH}[a-z]*[\s-]?(\d{{2,}})"
+NAME_DAY_YEAR = rf"(?i){MONTH}[a-z]*\s+(\d\d),?\s+(\d{{4,}})"
+YEAR_MONTH_DAY = r"(\d{4,})-(\d\d)-(\d\d)"
 
 
 def indian_grouping(whole: Column) -> Column:
@@ -30,123 +37,161 @@ def indian_grouping(whole: Column) -> Column:
     return F.when(F.length(text) > 3, grouped).otherwise(text)
 
 
-def _any_of(forms: list[Column]) -> Column:
-    """Alternatives, longest first."""
-    ordered = F.array_sort(
-        F.array_distinct(F.array(*forms)), lambda a, b: F.length(b) - F.length(a)
+def _tokens(text: Column, pattern: str) -> Column:
+    """The hits of a constant pattern with their places, in order."""
+    steps = F.arrays_zip(
+        F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit")
     )
-    return F.array_join(F.transform(ordered, _literal), "|")
+    begin = F.struct(F.lit(0).alias("next"), F.array().cast("array<struct<at:int,hit:string>>").alias("found"))
+
+    def walk(state: Column, x: Column) -> Column:
+        at = state["next"] + F.length(x["gap"])
+        token = F.struct(at.alias("at"), x["hit"].alias("hit"))
+        return F.struct(
+            (at + F.coalesce(F.length(x["hit"]), F.lit(0))).alias("next"),
+            F.when(x["hit"].isNotNull(), F.array_append(state["found"], token)).otherwise(state["found"]).alias("found"),
+        )
+
+    return F.aggregate(steps, begin, walk, lambda s: s["found"])
+
+
+def _span(start: Column, end: Column, rank: int = 0) -> Column:
+    return F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"), F.lit(rank).alias("rank"))
 
 
-def _figure_pattern(forms: Column) -> Column:
-    return F.concat(F.lit(r"(?<!\d)(?<!\d[.,])(?:"), forms, F.lit(r")(?!\d)"))
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value which is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _amount_pattern(amount: Column) -> Column:
+def _literal_spans(text: Column, literal: Column, suffix: str | None = None) -> Column:
+    """Where a value stands in the text, from left to right, with what a constant pattern takes up behind it."""
+    times = F.floor((F.length(text) - F.length(F.replace(text, literal, F.lit("")))) / F.length(literal)).cast("int")
+    begin = F.struct(F.lit(1).alias("next"), F.array().cast("array<struct<start:int,end:int,rank:int>>").alias("found"))
+
+    def step(state: Column, _: Column) -> Column:
+        def placed(at: Column) -> Column:
+            end = at - 1 + F.length(literal)
+            if suffix is not None:
+                end = end + F.length(F.regexp_extract(F.substr(text, end + 1), suffix, 0))
+            return _let(end, lambda e: F.when(at > 0, F.struct(
+                (e + 1).cast("int").alias("next"), F.array_append(state["found"], _span(at - 1, e)).alias("found"))).otherwise(state))
+
+        return _let(F.call_function("locate", literal, text, state["next"]), placed)
+
+    walked = F.aggregate(F.sequence(F.lit(1), times), begin, step, lambda s: s["found"])
+    return F.when((F.length(literal) > 0) & (times > 0), walked)
+
+
+def _figure_spans(figures: Column, forms: Column) -> Column:
+    """Numbers which begin with one of the forms, the longest that fits, if no digit follows it."""
+    ordered = F.array_sort(F.array_distinct(forms), lambda a, b: F.length(b) - F.length(a))
+
+    def fits(token: Column) -> Callable[[Column], Column]:
+        return lambda f: F.startswith(token["hit"], f) & ~F.substr(token["hit"], F.length(f) + 1, F.lit(1)).between("0", "9")
+
+    found = F.transform(figures, lambda t: _let(F.get(F.filter(ordered, fits(t)), F.lit(0)), lambda f: F.when(f.isNotNull(), _span(t["at"], t["at"] + F.length(f)))))
+    return F.array_compact(found)
+
+
+def _amount_forms(amount: Column) -> Column:
     whole = F.floor(amount).cast("bigint")
     grouped, exact = indian_grouping(whole), amount.cast("string")
     paise = F.right(exact, F.lit(2))
     short = F.regexp_replace(F.regexp_replace(exact, r"(\.\d*?)0+$", "$1"), r"\.$", "")
-    return _figure_pattern(_any_of([
-        F.concat(grouped, F.lit("."), paise), exact, F.concat(grouped, F.lit(".00")),
-        grouped, whole.cast("string"), short,
-    ]))
+    return F.array(F.concat(grouped, F.lit("."), paise), exact, F.concat(grouped, F.lit(".00")), grouped, whole.cast("string"), short)
 
 
-def _balance_pattern(balance: Column) -> Column:
+def _balance_forms(balance: Column) -> Column:
     grouped = indian_grouping(F.floor(balance).cast("bigint"))
     paise = F.right(balance.cast("string"), F.lit(2))
-    forms = [F.concat(grouped, F.lit("."), paise), F.concat(grouped, F.lit(".00")), grouped]
-    return _figure_pattern(F.array_join(F.transform(F.array(*forms), _literal), "|"))
-
-
-def _date_pattern(date: Column) -> Column:
-    d = F.day(date).cast("string")
-    m = F.month(date).cast("string")
-    dd, mm = F.lpad(d, 2, "0"), F.lpad(m, 2, "0")
-    name = F.get(F.array(*[F.lit(x.capitalize()) for x in V.MONTHS]), F.month(date) - 1)
-    yyyy = F.year(date).cast("string")
-    years = F.concat(F.lit("(?:"), yyyy, F.lit("|"), F.right(yyyy, F.lit(2)), F.lit(")"))
-
-    def joined(*parts) -> Column:
-        return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
-
-    return joined(
-        "(?i)",
-        F.concat_ws(
-            "|",
-            joined(dd, "[-/]", mm, "[-/]", years),
-            joined(d, "[-/]", m, "[-/]", years),
-            joined(dd, r"[\s-]?", name, r"[a-z]*[\s-]?", years),
-            joined(d, r"[\s-]?", name, r"[a-z]*[\s-]?", years),
-            joined(name, r"[a-z]*\s+", dd, r",?\s+", yyyy),
-            joined(yyyy, "-", mm, "-", dd),
-        ),
-    )
+    return F.array(F.concat(grouped, F.lit("."), paise), F.concat(grouped, F.lit(".00")), grouped)
 
 
-def _patterns() -> dict[str, Column]:
-    """Pattern of each field, null where the row has no such field."""
-    c = F.col
-    return {
-        "ref": F.when(c("ref").isNotNull(), _literal(c("ref"))),
-        "amount": F.when(c("amount").isNotNull(), _amount_pattern(c("amount"))),
-        "account": F.when(c("account").isNotNull(), F.concat(
-            F.lit("(?:[xX*]{0,6})"), _literal(c("account")), F.lit(r"(?![\d])"))),
-        "merchant": F.when(c("merchant").isNotNull(), F.concat(
-            F.lit("(?i)"), _literal(c("merchant")), F.lit("(?:@[a-z]+)?"))),
-        "date": F.when(c("date").isNotNull(), _date_pattern(c("date"))),
-        "balance": F.when(c("balance") > 0, _balance_pattern(c("balance"))),
-    }
+def _account_spans(text: Column, account: Column) -> Column:
+    """Digits at the end of a run of digits; with up to six mask signs if they are the whole run."""
+    def placed(t: Column) -> Column:
+        size, digits = F.length(t["hit"]), F.ltrim(t["hit"], F.lit("xX*"))
+        mask = F.when(digits == account, F.least(size - F.length(digits), F.lit(6))).otherwise(0)
+        end = t["at"] + size
+        return F.when(F.endswith(digits, account), _span(end - F.length(account) - mask, end))
 
+    runs = F.array_compact(F.transform(_tokens(text, MASKED_RUN), placed))
+    return F.when(account.rlike("^[0-9]+$"), runs).otherwise(_literal_spans(text, account))
 
-def _first_free(text: Column, pattern: Column) -> Column:
-    """First hit of a pattern which overlaps no span yet, white space at its edges left out.
 
-    One walk over the pieces between the hits; ``start`` is -1 when there is none.  Ends are
-    exclusive.
-    """
-    steps = F.arrays_zip(
-        F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, pattern, F.lit(0)).alias("hit")
-    )
-    begin = F.struct(F.lit(0).alias("at"), F.lit(-1).alias("start"), F.lit(-1).alias("end"))
+def _date_spans(text: Column, date: Column) -> Column:
+    """A day in numbers, with a month name behind or before the day, or year first; of one or two digits, years of two or four."""
+    d, m = F.day(date).cast("string"), F.month(date).cast("string")
+    dd, mm, yyyy = F.lpad(d, 2, "0"), F.lpad(m, 2, "0"), F.year(date).cast("string")
+    name = F.get(F.array(*[F.lit(x) for x in V.MONTHS]), F.month(date) - 1)
+    yy = F.right(yyyy, F.lit(2))
 
-    def walk(state: Column, x: Column) -> Column:
-        hit = F.coalesce(x["hit"], F.lit(""))
-        at = state["at"] + F.length(x["gap"])
-        start = at + F.length(hit) - F.length(F.ltrim(hit))
-        end = at + F.length(F.rtrim(hit))
-        free = (
-            (state["start"] < 0) & x["hit"].isNotNull()
-            & ~F.exists("spans", lambda s: (start < s["end"]) & (end > s["start"]))
-        )
-        return F.struct(
-            (at + F.length(hit)).alias("at"),
-            F.when(free, start).otherwise(state["start"]).alias("start"),
-            F.when(free, end).otherwise(state["end"]).alias("end"),
-        )
+    def part(token: Column, pattern: str, group: int) -> Column:
+        return F.regexp_extract(token["hit"], pattern, group)
+
+    def year_size(shown: Column) -> Column:
+        return F.when(F.startswith(shown, yyyy), 4).when(F.startswith(shown, yy), 2)
+
+    def day_first(pattern: str, month_fits: Callable[[Column, Column], Column], rank: int) -> Column:
+        def placed(t: Column) -> Column:
+            day, month, year = (part(t, pattern, g) for g in (1, 2, 3))
+            back = F.when(F.endswith(day, dd) & month_fits(month, F.lit(True)), 2).when(F.endswith(day, d) & month_fits(month, F.lit(False)), F.length(d))
+            end = t["at"] + F.length(t["hit"]) - F.length(year) + year_size(year)
+            return _let(back, lambda x: F.when(x.isNotNull() & year_size(year).isNotNull(), _span(t["at"] + F.length(day) - x, end, rank)))
+
+        return F.transform(_tokens(text, pattern), placed)
 
-    return F.aggregate(steps, begin, walk)
+    def in_numbers(shown: Column, two_digits: Column) -> Column:
+        return shown == F.when(two_digits, mm).otherwise(m)
+
+    def by_name(shown: Column, _: Column) -> Column:
+        return F.lower(shown) == name
+
+    def name_first(t: Column) -> Column:
+        year = part(t, NAME_DAY_YEAR, 3)
+        end = t["at"] + F.length(t["hit"]) - F.length(year) + 4
+        return F.when((F.lower(part(t, NAME_DAY_YEAR, 1)) == name) & (part(t, NAME_DAY_YEAR, 2) == dd) & F.startswith(year, yyyy), _span(t["at"], end, 2))
+
+    def year_first(t: Column) -> Column:
+        year = part(t, YEAR_MONTH_DAY, 1)
+        ends = F.endswith(year, yyyy) & (part(t, YEAR_MONTH_DAY, 2) == mm) & (part(t, YEAR_MONTH_DAY, 3) == dd)
+        return F.when(ends, _span(t["at"] + F.length(year) - 4, t["at"] + F.length(t["hit"]), 3))
+
+    return F.array_sort(F.array_compact(F.concat(
+        day_first(DAY_MONTH_YEAR, in_numbers, 0), day_first(DAY_NAME_YEAR, by_name, 1),
+        F.transform(_tokens(text, NAME_DAY_YEAR), name_first), F.transform(_tokens(text, YEAR_MONTH_DAY), year_first),
+    )))
+
+
+def _spans_of(text: Column) -> dict[str, Column]:
+    """Where each field may stand, from left to right; null where the row has no such field."""
+    c = F.col
+    lower = F.translate(text, UPPER, UPPER.lower())
+    return {
+        "ref": F.when(c("ref").isNotNull(), _literal_spans(text, c("ref"))),
+        "amount": F.when(c("amount").isNotNull(), _figure_spans(c("_figures"), _amount_forms(c("amount")))),
+        "account": F.when(c("account").isNotNull(), _account_spans(text, c("account"))),
+        "merchant": F.when(c("merchant").isNotNull(), _literal_spans(lower, F.translate("merchant", UPPER, UPPER.lower()), "^@[a-z]+")),
+        "date": F.when(c("date").isNotNull(), _date_spans(text, c("date"))),
+        "balance": F.when(c("balance") > 0, _figure_spans(c("_figures"), _balance_forms(c("balance")))),
+    }
 
 
 def trace_fields(txns: DataFrame) -> DataFrame:
     """Adds ``spans``: where ref, amount, account, merchant, date and balance stand in ``raw``."""
     text = F.coalesce("raw", F.lit(""))
-    work = txns.withColumn("spans", F.array().cast(f"array<{SPAN}>"))
-    for field, pattern in _patterns().items():
-        present = F.col("_pattern").isNotNull() & (text != "")
-        work = (
-            work.withColumn("_pattern", pattern)
-            .withColumn("_hit", F.when(present, _first_free(text, F.col("_pattern"))))
-            .withColumn("spans", F.when(
-                F.col("_hit.start") >= 0,
-                F.array_append("spans", F.struct(
-                    F.col("_hit.start").alias("start"), F.col("_hit.end").alias("end"),
-                    F.lit(field).alias("field"),
-                )),
-            ).otherwise(F.col("spans")))
-        )
-    return work.withColumn("spans", F.array_sort("spans")).drop("_pattern", "_hit")
+    work = txns.withColumn("_figures", _tokens(text, FIGURE)).withColumn("spans", F.array().cast(f"array<{SPAN}>"))
+    for field, places in _spans_of(text).items():
+        # Without the white space at the edges of a value.
+        def trimmed(x: Column) -> Column:
+            hit = F.substr(text, x["start"] + 1, x["end"] - x["start"])
+            return F.struct((x["start"] + F.length(hit) - F.length(F.ltrim(hit))).alias("start"), (x["end"] - F.length(hit) + F.length(F.rtrim(hit))).alias("end"), F.lit(field).alias("field"))
+
+        free = F.filter(F.transform(F.col("_places"), trimmed), lambda x: ~F.exists("spans", lambda s: (x["start"] < s["end"]) & (x["end"] > s["start"])))
+        work = work.withColumn("_places", places).withColumn("_hit", F.get(free, F.lit(0))).withColumn(
+            "spans", F.when(F.col("_hit").isNotNull(), F.array_append("spans", F.col("_hit"))).otherwise(F.col("spans")))
+    return work.withColumn("spans", F.array_sort("spans")).drop("_figures", "_places", "_hit")
 
 
 def segments(traced: DataFrame) -> DataFrame:

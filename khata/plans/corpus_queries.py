@@ -3,17 +3,22 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from khata.functions import fixed_values as V
 from khata.operators import privacy, templates
 from khata.plans import views
-from khata.plans.message_queries import DUPS, MIXED, RENDERED, TZ
+from khata.plans.message_queries import DUPS, MIXED, RENDERED, REPROCESSED, TZ, partly_stored, walk
 from khata.plans.registry import query
 from khata.session import shared_folder
-from khata.streaming.ingest import start_ingest, stored_ledger
+from khata.streaming.identities import Identities
+from khata.streaming.ingest import (
+    finish_rescan, rescan_counters, start_ingest, start_rescan, stored_counters, stored_ledger,
+)
 
 SALT, SHIFT = "pepper", 500
 
@@ -174,11 +179,84 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 
 # --- streaming -------------------------------------------------------------------------------------
 
-@query("stream_ingest", f"""WITH {DUPS} SELECT inbox_id, sms_id, CAST(whole AS DOUBLE) AS amount
-    FROM reports JOIN kept USING (inbox_id, sms_id)""")
-def _(spark: SparkSession, sf: str) -> DataFrame:
-    """The messages as files, read by a stream which stops at their end."""
+def _batches() -> str:
+    """Three overlapping batches of reports: ``kept0``, ``kept1`` and ``kept2`` are the rows which each of them writes."""
+    parts = {0: "0, 1, 2", 1: "2, 3", 2: "3, 4, 0"}
+    out, held = [], ""
+    for n, rest in parts.items():
+        fresh = f"SELECT r.* FROM reports r WHERE r.sms_id % 5 IN ({rest})"
+        if held:
+            fresh += f""" AND NOT EXISTS (SELECT 1 FROM ({held}) h WHERE h.inbox_id = r.inbox_id AND h.whole = r.whole
+              AND h.fingerprint = r.fingerprint) AND NOT EXISTS (SELECT 1 FROM ({held}) h WHERE h.inbox_id = r.inbox_id
+              AND h.whole = r.whole AND h.shop = r.shop AND h.due = r.due)"""
+        out.append(f"batch{n} AS ({fresh}), {walk(f'batch{n}', f'kept{n}')}")
+        held += f"{' UNION ALL ' if held else ''}SELECT batch{n}.* FROM batch{n} JOIN kept{n} USING (inbox_id, sms_id)"
+    return ", ".join(out)
+
+
+# reports without the whole-table walk behind them
+BATCHES = f"""{DUPS[:DUPS.index("kept_ordered AS (")]}{_batches()}"""
+
+
+def _streamed(spark: SparkSession, messages: list[DataFrame], base: str, start: Callable[[str, str], StreamingQuery]) -> None:
+    """Runs a stream once after each part of the messages has come."""
+    for n, part in enumerate(messages):
+        part.write.parquet(f"{base}/in/part={n}")
+        start(f"{base}/in/*", f"{base}/progress").awaitTermination()
+
+
+def _imported(spark: SparkSession, sf: str) -> str:
+    """The folder of a ledger which a stream has made of three overlapping batches."""
     base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
-    views.messages_dups(spark, sf).write.parquet(f"{base}/in")
-    start_ingest(spark, f"{base}/in", f"{base}/ledger", f"{base}/progress", TZ).awaitTermination()
-    return stored_ledger(spark, f"{base}/ledger").select("inbox_id", "sms_id", "amount")
+    messages = views.messages_dups(spark, sf)
+    parts = [messages.where(f"id % 5 IN ({rest})") for rest in ("0, 1, 2", "2, 3", "3, 4, 0")]
+    _streamed(spark, parts, base, lambda source, progress: start_ingest(spark, source, f"{base}/ledger", progress, TZ))
+    return f"{base}/ledger"
+
+
+@query("stream_ingest", f"""WITH {BATCHES} SELECT CAST(batch AS BIGINT) AS batch, inbox_id, sms_id, CAST(whole AS DOUBLE) AS amount
+    FROM (SELECT 0 AS batch, * FROM kept0 UNION ALL SELECT 1, * FROM kept1 UNION ALL SELECT 2, * FROM kept2)
+    JOIN reports USING (inbox_id, sms_id)""")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """Three batches of files which overlap; every row is judged by the rows which earlier batches accepted."""
+    return stored_ledger(spark, _imported(spark, sf)).select(F.col("batch").cast("bigint").alias("batch"), "inbox_id", "sms_id", "amount")
+
+
+@query("stream_counters", f"""WITH {BATCHES}, scans AS (
+      SELECT inbox_id, sms_id FROM batch0 UNION ALL SELECT inbox_id, sms_id FROM reports WHERE sms_id % 5 IN (2, 3)
+      UNION ALL SELECT inbox_id, sms_id FROM reports WHERE sms_id % 5 IN (3, 4, 0)),
+    kept AS (SELECT * FROM kept0 UNION ALL SELECT * FROM kept1 UNION ALL SELECT * FROM kept2),
+    seen AS (SELECT inbox_id, count(*) AS n FROM scans GROUP BY 1), done AS (SELECT inbox_id, count(*) AS n FROM kept GROUP BY 1)
+    SELECT inbox_id, seen.n AS scanned, seen.n AS parsed, CAST(0 AS BIGINT) AS rejected, seen.n - coalesce(done.n, 0) AS duplicates,
+      coalesce(done.n, 0) AS written, CAST(0 AS BIGINT) AS updated FROM seen LEFT JOIN done USING (inbox_id)""")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """What each inbox has seen over the three batches."""
+    return stored_counters(spark, _imported(spark, sf))
+
+
+def _rescanned(spark: SparkSession, sf: str) -> str:
+    """The folder of a ledger with two thirds of the rows, some corrected by hand and some stale, after a re-scan in two batches."""
+    base = f"{shared_folder(spark)}/rescan-{uuid.uuid4().hex}"
+    messages, stored = partly_stored(spark, sf)
+    stored.write.parquet(f"{base}/ledger/batch=0")
+    Identities(spark, f"{base}/ledger-identities").add(0, spark.read.parquet(f"{base}/ledger/batch=0"))
+    parts = [messages.where("id % 2 = 0"), messages.where("id % 2 = 1 OR id % 3 = 0")]
+    _streamed(spark, parts, base, lambda source, progress: start_rescan(spark, source, f"{base}/ledger", progress, TZ))
+    return f"{base}/ledger"
+
+
+@query("stream_reprocess", REPROCESSED)
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """A re-scan as a stream, and the generation of the ledger which it makes."""
+    return finish_rescan(spark, _rescanned(spark, sf)).select("inbox_id", "sms_id", "kind", "change")
+
+
+@query("stream_reprocess_counters", f"""WITH done AS ({REPROCESSED}), sums AS (
+      SELECT inbox_id, count(*) AS n, count(*) FILTER (sms_id % 6 = 0) AS twice, count(*) FILTER (change = 'added') AS written,
+        count(*) FILTER (change = 'updated') AS updated FROM done GROUP BY inbox_id)
+    SELECT inbox_id, n + twice AS scanned, n + twice AS parsed, CAST(0 AS BIGINT) AS rejected, n + twice - written AS duplicates,
+      written, updated FROM sums""")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    ledger = _rescanned(spark, sf)
+    finish_rescan(spark, ledger)
+    return rescan_counters(spark, ledger, 1)

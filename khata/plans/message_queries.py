@@ -352,13 +352,15 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
         "inbox_id", "sms_id", "amount", "category", "category_source")
 
 
-@query("reprocess", f"""WITH {RENDERED}
+REPROCESSED = f"""WITH {RENDERED}
     SELECT inbox_id, id AS sms_id, CASE WHEN id % 4 = 0 THEN 'income' ELSE kind END AS kind,
       CASE WHEN id % 3 = 0 THEN 'added' WHEN id % 4 = 0 THEN 'kept' WHEN id % 5 = 0 THEN 'updated' ELSE 'kept' END AS change
     FROM (SELECT * REPLACE (CASE WHEN id % 3 = 0 THEN kind ELSE kind END AS kind) FROM booked) WHERE NOT (id % 3 = 0 AND id % 4 = 0)
-    UNION ALL SELECT inbox_id, id, kind, 'added' FROM booked WHERE id % 3 = 0 AND id % 4 = 0""")
-def _(spark: SparkSession, sf: str) -> DataFrame:
-    """Two thirds of the rows are stored; some with a kind set by hand, some with a stale merchant."""
+    UNION ALL SELECT inbox_id, id, kind, 'added' FROM booked WHERE id % 3 = 0 AND id % 4 = 0"""
+
+
+def partly_stored(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Messages, and a ledger with two thirds of the rows: some with a kind set by hand, some with a stale merchant."""
     messages = views.messages_rendered(spark, sf)
     by_hand = F.col("sms_id") % 4 == 0
     stored = ingest.resolve_categories(ingest.parsed_once(messages, TZ)).where("sms_id % 3 <> 0").withColumns({
@@ -366,6 +368,13 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
         "kind_source": F.when(by_hand, "user").otherwise(F.col("kind_source")),
         "merchant": F.when(~by_hand & (F.col("sms_id") % 5 == 0), "WRONG").otherwise(F.col("merchant")),
     })
+    return messages, stored
+
+
+@query("reprocess", REPROCESSED)
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """A re-scan of all messages against the stored rows."""
+    messages, stored = partly_stored(spark, sf)
     return ingest.reprocess(messages, TZ, stored).select("inbox_id", "sms_id", "kind", "change")
 
 
