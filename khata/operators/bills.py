@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from khata.functions import clock
@@ -144,6 +144,15 @@ def bill_urgency(bills: DataFrame, now: datetime) -> DataFrame:
     })
 
 
+def _list_order() -> list[Column]:
+    return [F.when(_open(), 0).otherwise(1), F.asc_nulls_last("due_date")]
+
+
 def bill_list(bills: DataFrame) -> DataFrame:
     """Open bills by due date with undated ones last, then those done."""
-    return bills.orderBy(F.when(_open(), 0).otherwise(1), F.asc_nulls_last("due_date"), "inbox_id", "sms_id")
+    return bills.orderBy(*_list_order(), "inbox_id", "sms_id")
+
+
+def bill_positions(bills: DataFrame) -> DataFrame:
+    """Adds ``position``, a bill's place in the list of its inbox."""
+    return bills.withColumn("position", F.row_number().over(Window.partitionBy("inbox_id").orderBy(*_list_order(), "sms_id")))

@@ -135,6 +135,12 @@ SAID = f"""{PARTS}, said AS (
       - CASE WHEN currency = 'INR' THEN 0 ELSE 30 END) AS pct,
       CASE WHEN kind IN ('income', 'refund') THEN 'credit' ELSE 'debit' END AS direction FROM told WHERE reason IS NULL)"""
 
+BODIES = f"""{PARTS}, shown AS (
+    SELECT inbox_id, id, CAST(k AS VARCHAR) AS k, CAST(amount + 1 AS VARCHAR) AS amt, acc, ref, '9' || lpad(CAST(id AS VARCHAR), 9, '0') AS phone,
+      strftime(ts, '%d-%m-%y') AS num, strftime(ts, '%d/%m/%Y') AS slash, strftime(ts, '%d-%b-%y') AS mon,
+      strftime(ts, '%b %d, %Y') AS lead, strftime(ts, '%Y-%m-%d') AS iso, date_ms FROM parts),
+  bodies AS (SELECT inbox_id, id, {_by_form([_text(f.sender) for f in FORMS])} AS address, {_by_form([_joined(f.text) for f in FORMS])} AS body, date_ms FROM shown)"""
+
 
 @query("reject_forms", f"WITH {SAID} SELECT inbox_id, id, reason FROM told WHERE reason IS NOT NULL")
 def _(spark: SparkSession, sf: str) -> DataFrame:

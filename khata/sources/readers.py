@@ -60,12 +60,15 @@ def read_jsonl(spark: SparkSession, path: str) -> DataFrame:
     return rows.where(F.col("_broken").isNull()).select(*_corpus(F.col("address"), F.col("body"), F.col("date")))
 
 
-def read_txt(spark: SparkSession, path: str, line_end: str = "\n") -> DataFrame:
+def read_txt(spark: SparkSession, path: str, line_end: str | None = None) -> DataFrame:
     """Blocks parted by blank lines; the first line may name the sender.
 
-    The reader splits at blank lines itself, so a large file is not read as one value; files with other line ends say so
-    with ``line_end``.  Lines of only blanks part blocks as well.
+    The reader splits at blank lines itself, so a large file is not read as one value but by as many tasks as it has splits.
+    Without ``line_end`` the first line tells which one it is; lines of only blanks and the other line end part blocks as well.
     """
+    if line_end is None:
+        first = spark.read.option("lineSep", "\n").text(path).first()
+        line_end = "\r\n" if first is not None and first["value"].endswith("\r") else "\n"
     chunks = spark.read.option("lineSep", 2 * line_end).text(path)
     blocks = chunks.select(F.explode(F.split("value", r"\r?\n[ \t\r]*\n")).alias("block"))
     lines = F.filter(F.split("block", r"\r?\n"), lambda line: F.trim(line) != "")
