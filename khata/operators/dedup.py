@@ -8,7 +8,7 @@ before; only accepted rows count.  The outcome depends on the scan order, so nei
    are reduced to it by a partial aggregation.  A hot payment shrinks before anything is shuffled.
 2. Rows which meet a key of the stored ledger are duplicates.
 3. In rounds, every undecided row which is first on all of its keys is accepted, and rows sharing a
-   key with an accepted row are dropped.  A round is a grouped minimum and joins; no group is
+   key with an accepted row are dropped.  A round is a grouped minimum and joins over hashed keys, and writes what is left; no group is
    collected.  A round settles a whole crowd on one key at once; only chains of rows which overlap
    one after another need further rounds.
 4. What is left after ``rounds`` are such chains: reduced cells of consecutive ten-minute buckets.
@@ -45,72 +45,79 @@ def _matchable_keys() -> Column:
     return F.filter("soft_keys", lambda k: ~k.startswith("nomerchant:"))
 
 
+def _narrow(key: Column) -> Column:
+    """128 bits of a key's SHA-256, which stand for the key wherever keys are compared."""
+    return F.unhex(F.substring(F.sha2(key, 256), 1, 32))
+
+
+def _keys(fingerprint: Column, soft_keys: Column) -> Column:
+    every = F.array_union(F.array(F.concat(F.lit("f|"), fingerprint)), F.transform(soft_keys, lambda k: F.concat(F.lit("s|"), k)))
+    return F.explode(F.transform(every, _narrow)).alias("key")
+
+
 def _keys_of(rows: DataFrame) -> DataFrame:
     """One row per identity of a row: its fingerprint and its soft keys."""
-    every = F.array_union(
-        F.array(F.concat(F.lit("f|"), F.col("fingerprint"))),
-        F.transform("soft_keys", lambda k: F.concat(F.lit("s|"), k)),
-    )
-    return rows.select("inbox_id", "amount", "node", F.explode(every).alias("key"))
+    return rows.select("inbox_id", "amount", "node", _keys(F.col("fingerprint"), F.col("soft_keys")))
 
 
 def known_keys(ledger: DataFrame) -> DataFrame:
     """The identities of a stored ledger; rows without soft keys have only their fingerprint."""
     soft = F.coalesce("soft_keys", F.array().cast("array<string>"))
-    every = F.concat(
-        F.array(F.concat(F.lit("f|"), F.col("fingerprint"))),
-        F.transform(soft, lambda k: F.concat(F.lit("s|"), k)),
-    )
-    return ledger.select("inbox_id", F.explode(every).alias("key")).distinct()
+    return ledger.select("inbox_id", _keys(F.col("fingerprint"), soft)).distinct()
 
 
 def _walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Accepts rows of sorted partitions in order; state lasts for one (inbox, amount)."""
+    """Accepts rows of sorted partitions in order.
+
+    The state are the keys taken in one (inbox, amount) which a later row still has: a key comes with its last row and is forgotten there.
+    """
     group, seen = None, set()
     for batch in batches:
         taken = []
-        for inbox, amount, fingerprint, soft in zip(
-            batch["inbox_id"], batch["amount"], batch["fingerprint"], batch["soft_keys"]
-        ):
+        for inbox, amount, age, sms_id, keys in zip(*(batch[c] for c in ("inbox_id", "amount", "age", "sms_id", "keys"))):
             if group != (inbox, amount):
                 group, seen = (inbox, amount), set()
-            keys = ["f|" + fingerprint, *("s|" + k for k in soft)]
-            free = seen.isdisjoint(keys)
-            if free:
-                seen.update(keys)
+            free = seen.isdisjoint(k["key"] for k in keys)
+            for k in keys:
+                later = (k["last_age"], k["last_id"]) > (age, sms_id)
+                if not later:
+                    seen.discard(k["key"])
+                elif free:
+                    seen.add(k["key"])
             taken.append(free)
         yield batch.loc[taken, ["inbox_id", "sms_id"]]
 
 
+def _led(keys: DataFrame) -> DataFrame:
+    """Keys with their first and last node."""
+    ends = keys.groupBy("inbox_id", "key").agg(F.min("node").alias("first"), F.max("node").alias("last"))
+    return keys.join(ends, ["inbox_id", "key"])
+
+
 def _settle(nodes: DataFrame, rounds: int) -> DataFrame:
-    """The (inbox_id, sms_id) of accepted nodes."""
-    undecided = cut_lineage(nodes)
+    """The (inbox_id, sms_id) of accepted nodes.
+
+    All rounds work on one narrow table of (inbox, amount, key, node) and the first and last node of the key; each round writes what is left of it.
+    """
+    by_node = ["inbox_id", "node"]
+    open_ = cut_lineage(_led(_keys_of(nodes)))
     chosen: list[DataFrame] = []
     for _ in range(rounds):
-        keys = _keys_of(undecided)
-        contended = keys.groupBy("inbox_id", "key").agg(
-            F.min("node").alias("first"), F.count("*").alias("n")
-        ).where("n > 1").drop("n")
-        # from here on only nodes which share a key with another one are looked at
-        met = cut_lineage(keys.join(contended, ["inbox_id", "key"]).select("inbox_id", "node", "first"))
-        chosen.append(undecided.join(met, ["inbox_id", "node"], "left_anti").select("inbox_id", "node"))
-        standing = met.groupBy("inbox_id", "node").agg(F.bool_and(F.col("node") == F.col("first")).alias("leads"))
-        winners = standing.where("leads").select("inbox_id", "node")
+        winners = open_.groupBy(*by_node).agg(F.bool_and(F.col("node") == F.col("first")).alias("leads")).where("leads").select(*by_node)
         chosen.append(winners)
         # a key is taken when its first node has won, and then it settles all nodes which hold it
-        settled = met.join(
-            winners.withColumnRenamed("node", "first"), ["inbox_id", "first"], "left_semi"
-        ).select("inbox_id", "node").distinct()
-        left = standing.select("inbox_id", "node").join(settled, ["inbox_id", "node"], "left_anti")
-        undecided = cut_lineage(undecided.join(left, ["inbox_id", "node"], "left_semi"))
-        if undecided.isEmpty():
+        settled = open_.join(winners.withColumnRenamed("node", "first"), ["inbox_id", "first"], "left_semi").select(*by_node).distinct()
+        left = open_.join(settled, by_node, "left_anti").select("inbox_id", "amount", "key", "node")
+        open_ = cut_lineage(_led(left))
+        if open_.isEmpty():
             break
     else:
+        ends = F.struct("key", F.col("last.age").alias("last_age"), F.col("last.sms_id").alias("last_id"))
         walked = (
-            undecided.repartition("inbox_id", "amount")
+            open_.groupBy("inbox_id", "amount", "node").agg(F.collect_list(ends).alias("keys"))  # three keys at most
+            .repartition("inbox_id", "amount")
             .sortWithinPartitions("inbox_id", "amount", "node")
-            .select("inbox_id", F.col("amount").cast("string").alias("amount"), "fingerprint", "soft_keys",
-                    F.col("node.sms_id").alias("sms_id"))
+            .select("inbox_id", F.col("amount").cast("string").alias("amount"), F.col("node.age").alias("age"), F.col("node.sms_id").alias("sms_id"), "keys")
             .mapInPandas(_walk, "inbox_id string, sms_id bigint")
         )
         return _all(chosen).select("inbox_id", "node.sms_id").unionByName(walked)
