@@ -2,7 +2,7 @@
 
 Two Markov models, one of random strings and one of ordinary identifiers and words, give every candidate string a log-likelihood ratio
 per character.  They are pair counts of characters: random strings are learnt from what the fixed patterns find, ordinary ones from the
-other words of a sample of documents.  The tables have a fixed size (classes of characters squared); everything else is column
+other words of all documents.  The tables have a fixed size (classes of characters squared); everything else is column
 expressions.
 
 Spans are half-open and count code points.  Kinds in order: assign, access, hex, markov.
@@ -24,8 +24,6 @@ ACCESS, HEX = "AKIA[A-Z0-9]{16,}", "[0-9a-f]{24,}"
 RUN = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]{20,}+"
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-."
 CLASSES = len(ALPHABET) + 1
-#: Documents whose words teach the model of ordinary strings, at most: those with the smallest hashes.
-SAMPLE = 2000
 #: Mean log-likelihood ratio per character from which a candidate is a secret.
 THRESHOLD = 0.5
 
@@ -80,8 +78,9 @@ def pairs(value: Column) -> Column:
 
 
 def pair_counts(values: DataFrame, column: str) -> list[float]:
-    """How often each pair occurs in a column of strings; a table of fixed size."""
-    counted = values.select(F.explode(pairs(F.col(column))).alias("pair")).groupBy("pair").agg(F.count("*").alias("n"))
+    """How often each pair occurs in a column of strings; a table of fixed size.  Equal strings are counted before they are taken apart."""
+    strings = values.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("times"))
+    counted = strings.select(F.explode(pairs(F.col("value"))).alias("pair"), "times").groupBy("pair").agg(F.sum("times").alias("n"))
     out = [0.0] * CLASSES**2
     for row in counted.collect():
         out[row["pair"]] = float(row["n"])
@@ -116,16 +115,12 @@ def _as_spans(found: Column, kind: str) -> Column:
     return F.transform(found, lambda m: F.struct(m["start"].alias("start"), order.alias("kind"), m["end"].alias("end")))
 
 
-def ordinary_words(docs: DataFrame, key: str, text: str, sample: int) -> DataFrame:
-    """(word): words of six characters or more, without a digit, of at most ``sample`` documents, those with the smallest hashes."""
-    keys = docs.select(F.col(f"`{key}`").alias("key")).where("key is not null").distinct()
-    few = F.broadcast(keys.orderBy(F.xxhash64("key"), "key").limit(sample))  # bounded
-    texts = docs.select(F.col(f"`{key}`").alias("key"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text")).join(few, "key", "left_semi")
-    words = F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z+/_=-]{6,}+(?![0-9])"), F.lit(0)))
-    return texts.select(words.alias("word"))
+def ordinary_words(docs: DataFrame, text: str) -> DataFrame:
+    """(word): words of six characters or more, without a digit, of all documents."""
+    return docs.select(F.explode(F.regexp_extract_all(F.coalesce(F.col(f"`{text}`"), F.lit("")), F.lit("[A-Za-z+/_=-]{6,}+(?![0-9])"), F.lit(0))).alias("word"))
 
 
-def scan_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
+def scan_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """Per row of ``docs``: key, ``n_assign``, ``n_access``, ``n_hex``, ``n_markov``, ``base_sha256``, ``spans``.
 
     The patterns run once; what they find is written out, teaches the model of random strings, and its candidates are
@@ -138,7 +133,7 @@ def scan_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", sampl
     learnt = found.select(F.explode(F.concat("assign", "access", "hex")).alias("m")).select(F.col("m.value").alias("value")).where(
         F.col("value").rlike("[0-9]") & (F.length("value") >= 16)
     )
-    table = ratios(pair_counts(learnt, "value"), pair_counts(ordinary_words(docs, key, text, sample), "word"))
+    table = ratios(pair_counts(learnt, "value"), pair_counts(ordinary_words(docs, text), "word"))
     base = F.concat(*[_as_spans(F.col(k), k) for k in KINDS[:3]])
     rows = found.select("*", F.explode(F.array(base)).alias("base"))
     free = lambda m: ~F.exists("base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"]))
