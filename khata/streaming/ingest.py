@@ -14,7 +14,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.utils import AnalysisException
@@ -64,21 +64,19 @@ def known_identities(spark: SparkSession, ledger_path: str, batch_id: int | None
     return known
 
 
-def merge_batch(batch: DataFrame, batch_id: int, ledger_path: str, tz: str, rungs: Rungs | None = None, fan: int = FAN) -> dict[str, int]:
-    """Writes the new rows of one batch; doing it again changes nothing.  Returns how many rows were parsed and written."""
+def merge_batch(batch: DataFrame, batch_id: int, ledger_path: str, tz: str, rungs: Rungs | None = None, fan: int = FAN) -> None:
+    """Writes the new rows of one batch, their identities and the batch's counters; doing it again changes nothing."""
     spark = batch.sparkSession
     extra = rungs(spark) if rungs is not None else {}
-    parsed, written = Observation(), Observation()
     txns = parsed_once(batch, tz)
     known = known_identities(spark, ledger_path, batch_id, txns, fan)
-    rows = resolve_categories(dedup(txns.observe(parsed, F.count("*").alias("n")), known), **extra)
+    rows = resolve_categories(dedup(txns, known), **extra)
     folder = f"{ledger_path}/batch={batch_id}"
-    rows.observe(written, F.count("*").alias("n")).write.mode("overwrite").parquet(folder)
+    rows.write.mode("overwrite").parquet(folder)
     # from here on the batch's rows are read from what was written
     rows = spark.read.schema(rows.schema).parquet(folder)
     Identities(spark, f"{ledger_path}-identities", fan).add(batch_id, rows)
     _write_counters({"scanned": drop_repeated_messages(batch), "parsed": txns, "written": rows}, f"{ledger_path}-counters/batch={batch_id}")
-    return {"parsed": parsed.get["n"], "written": written.get["n"]}
 
 
 def stored_counters(spark: SparkSession, ledger_path: str) -> DataFrame | None:
