@@ -4,6 +4,7 @@ E-mail addresses, IPv4 addresses, telephone, card and social-security numbers, a
 distinct entity of the corpus gets one surrogate, made from a keyed SHA-512: digits stay digits in the same layout, a card
 number which passes the Luhn check still does, the octets of an address stay below 255, an e-mail keeps the shape of its local
 part, and a name takes one of the same gender and script.  So an entity is the same wherever it is mentioned, in any layout.
+Given names and surnames are entities of their own, so whoever bears a surname has the same new one, with given names or without.
 
 Surrogates are checked: of two entities with one surrogate, or where a surrogate is itself an entity of the corpus, the
 later ones are drawn again until all differ.  Entities are reduced to distinct ones before they are shuffled, and only the texts which
@@ -33,24 +34,29 @@ SYLLABLES = {
     "cyrillic": tuple(c + v for c in "бвгдзклмнпрстфхш" for v in "аеиоу"),
 }
 _TITLE = "|".join(t for titles in TITLES.values() for t in sorted(titles, key=len, reverse=True))
+#: A capitalised word, of several parts with hyphens or apostrophes.
+_WORD = r"\p{Lu}\p{L}+(?:['’-]\p{L}+)*"
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 PATTERN = "|".join((
     r"(?<![\p{L}0-9._%+-])[\p{L}0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
     rf"(?<![0-9.])(?:{_OCTET}\.){{3}}{_OCTET}(?![0-9]|\.[0-9])",
     r"\+[0-9]{1,3} ?\([0-9]{1,4}\) ?[0-9]{3,4}[ -][0-9]{3,4}(?![0-9])",
     r"\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){3,5}(?![0-9])",
+    r"(?<![0-9(])\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}(?![0-9-])",
+    r"(?<![0-9-])[0-9]{3}-[0-9]{3}-[0-9]{4}(?![0-9-])",
     r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     r"(?<![\p{L}0-9.])[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4}(?![\p{L}0-9])",
     r"(?<![\p{L}0-9.])[0-9]{13,19}(?![\p{L}0-9])",
-    rf"(?<!\p{{L}})(?:{_TITLE})\.? \p{{Lu}}\p{{L}}+(?: \p{{Lu}}\p{{L}}+)?",
+    rf"(?<!\p{{L}})(?:{_TITLE})\.? {_WORD}(?: (?!(?:{_TITLE})\.? ){_WORD})*",
 ))
 KINDS = ("email", "ip", "phone", "ssn", "card", "name")
-ROUNDS = 30
+#: Draws for an entity.  Names and e-mail addresses have more to draw from at each of them; numbers have only as many digits as they have.
+ROUNDS = 60
 
 
 def kind_of(value: Column) -> Column:
     return (
-        F.when(F.contains(value, F.lit("@")), "email").when(value.rlike(r"^\p{L}"), "name").when(value.startswith("+"), "phone")
+        F.when(F.contains(value, F.lit("@")), "email").when(value.rlike(r"^\p{L}"), "name").when(value.rlike(r"^[+(]|^[0-9]{3}-[0-9]{3}-[0-9]{4}$"), "phone")
         .when(value.rlike(r"^[0-9]+(\.[0-9]+){3}$"), "ip").when(value.rlike("^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), "ssn").otherwise("card")
     )
 
@@ -122,34 +128,52 @@ def _card(entity: Column, stream: Column) -> Column:
     return let(_digits(entity, stream), checked)
 
 
-def surrogate_of(kind: Column, entity: Column, attempt: Column, key: str) -> Column:
-    """The surrogate of an entity, in the form of ``entity_of``, at the given attempt."""
-    stream = _stream(key, [kind, entity, attempt], F.length(entity) + 1)
+def surrogate_of(kind: Column, entity: Column, attempt: int, key: str) -> Column:
+    """The surrogate of an entity, in the form of ``entity_of`` and ``name_parts``, at the given attempt."""
+    stream = _stream(key, [kind, entity, F.lit(attempt)], F.greatest(F.length(entity) + 1, F.lit(40)))
 
     def made(s: Column) -> Column:
         local = F.substring_index(entity, "@", 1)
-        site = F.concat(F.lit("mail"), _draw(s, F.lit(0), 100).cast("string"), F.lit(".example.org"))
+        number = F.pmod(F.conv(F.substring(F.sha2(s, 256), 1, 12), 16, 10).cast("bigint"), F.lit(100 * 10 ** min(attempt, 9)))
+        site = F.concat(F.lit("mail"), number.cast("string"), F.lit(".example.org"))
         octets = F.concat_ws(".", *[(_draw(s, F.lit(i), 254) + 1).cast("string") for i in range(4)])
         return (
             F.when(kind == "email", F.concat(_shaped(local, s), F.lit("@"), site)).when(kind == "ip", octets)
-            .when(kind == "card", _card(entity, s)).when(kind == "phone", _digits(entity, s, 1)).when(kind == "name", _name(entity, attempt, key)).otherwise(_digits(entity, s))
+            .when(kind == "card", _card(entity, s)).when(kind == "phone", _digits(entity, s, 1))
+            .when(kind == "given", _given(entity, s, attempt)).when(kind == "surname", _surname(entity, s, attempt)).otherwise(_digits(entity, s))
         )
 
     return let(stream, made)
 
 
-def _name(entity: Column, attempt: Column, key: str) -> Column:
-    """Gender and script, then a name; the surname depends on the surname alone, so that a shorter mention gets the same one."""
-    parts = F.split(entity, " ")
-    head, last = F.get(parts, F.lit(0)), F.element_at(parts, -1)
-    s = _stream(key, [F.lit("surname"), last, attempt], F.lit(6))
-    built = {script: F.concat(*[_pick(options, _draw(s, F.lit(i), len(options))) for i in range(3)]) for script, options in SYLLABLES.items()}
-    surname = F.initcap(F.when(head.endswith("cyrillic"), built["cyrillic"]).otherwise(built["latin"]))
-    g = _stream(key, [F.lit("given"), head, F.get(parts, F.lit(1)), attempt], F.lit(1))
-    given = F.lit(None)
+def _given(entity: Column, stream: Column, attempt: int) -> Column:
+    """Gender and script, then a given name of both; at later attempts one of several parts."""
+    head, new = F.substring_index(entity, " ", 1), F.lit(None)
     for group, names in GIVEN.items():
-        given = F.when(head == group, _pick(names, _draw(g, F.lit(0), len(names)))).otherwise(given)
-    return F.concat_ws(" ", head, F.when(F.size(parts) > 2, given), surname)
+        parts = F.array(*[_pick(names, _draw(stream, F.lit(i), len(names))) for i in range(min(attempt, 5) + 1)])
+        new = F.when(head == group, F.lower(F.array_join(parts, "-"))).otherwise(new)
+    return F.concat_ws(" ", head, new)
+
+
+def _surname(entity: Column, stream: Column, attempt: int) -> Column:
+    """A script, then a surname of its syllables; more of them at later attempts."""
+    script, places = F.substring_index(entity, " ", 1), range(3 + min(attempt // 3, 5))
+    built = {name: F.concat(*[_pick(options, _draw(stream, F.lit(i), len(options))) for i in places]) for name, options in SYLLABLES.items()}
+    return F.concat_ws(" ", script, F.when(script == "cyrillic", built["cyrillic"]).otherwise(built["latin"]))
+
+
+def name_parts(entity: Column) -> Column:
+    """(kind, entity) of the words of a name: given names with gender and script, and the surname, the last one, with its script."""
+    head, words = F.substring_index(entity, " ", 1), F.slice(F.split(entity, " "), F.lit(2), F.size(F.split(entity, " ")))
+    last = F.size(words) - 1
+    return F.transform(words, lambda w, i: F.struct(
+        F.when(i == last, "surname").otherwise("given").alias("kind"),
+        F.concat_ws(" ", F.when(i == last, F.substring_index(head, "_", -1)).otherwise(head), w).alias("entity"),
+    ))
+
+
+def _capital(word: Column) -> Column:
+    return F.array_join(F.transform(F.split(word, "-"), F.initcap), "-")
 
 
 def written(value: Column, kind: Column, surrogate: Column) -> Column:
@@ -165,17 +189,31 @@ def written(value: Column, kind: Column, surrogate: Column) -> Column:
 
     laid = F.aggregate(chars, zero, step, lambda acc: acc["out"])
     title = F.regexp_extract(value, rf"^(?:{_TITLE})\.? ", 0)
-    name = F.concat(title, F.regexp_replace(surrogate, "^[^ ]+ ", ""))
+    bare = F.substring(value, F.length(title) + 1, F.length(value))
+    name = F.concat(title, F.when((bare == F.upper(bare)) & (F.length(bare) > 1), F.upper(surrogate)).otherwise(surrogate))
     upper = (value == F.upper(value)) & value.rlike(r"\p{L}")
     return F.when(kind == "name", name).when(kind == "email", F.when(upper, F.upper(surrogate)).otherwise(surrogate)).when(kind == "ip", surrogate).otherwise(laid)
 
 
 def surrogates(entities: DataFrame, key: str, place: Written) -> DataFrame:
-    """(kind, entity, surrogate) for distinct (kind, entity), all surrogates of a kind different and none an entity itself."""
-    open_, done = place.table(entities.select("kind", "entity"), "entities"), None
+    """(kind, entity, surrogate) for distinct (kind, entity); a name's is the words which stand for its own, capitalised.
+
+    All surrogates of a kind are different and none is an entity itself; names are as different as their words.
+    """
+    names = place.table(entities.where("kind = 'name'").select("entity", F.posexplode(name_parts(F.col("entity"))).alias("at", "part")), "names")
+    parts = names.select("part.kind", "part.entity").distinct()
+    drawn = place.table(_drawn(entities.where("kind <> 'name'").select("kind", "entity").unionByName(parts), key, place), "all")
+    word = names.join(drawn.select(F.struct("kind", "entity").alias("part"), F.substring_index("surrogate", " ", -1).alias("word")), "part")
+    named = word.groupBy("entity").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", _capital(F.col("word")).alias("word")))), lambda w: w["word"]), " ").alias("surrogate"))
+    return drawn.where("kind NOT IN ('given', 'surname')").unionByName(named.select(F.lit("name").alias("kind"), "entity", "surrogate"))
+
+
+def _drawn(entities: DataFrame, key: str, place: Written) -> DataFrame:
+    """(kind, entity, surrogate), drawn until all surrogates of a kind differ and none is an entity."""
+    open_, done = place.table(entities, "entities"), None
     all_ = open_
     for attempt in range(ROUNDS):
-        drawn = place.table(open_.withColumn("surrogate", surrogate_of(F.col("kind"), F.col("entity"), F.lit(attempt), key)), f"drawn-{attempt}")
+        drawn = place.table(open_.withColumn("surrogate", surrogate_of(F.col("kind"), F.col("entity"), attempt, key)), f"drawn-{attempt}")
         first = drawn.groupBy("kind", "surrogate").agg(F.min("entity").alias("entity"))
         for taken in (all_.select("kind", F.col("entity").alias("surrogate")), None if done is None else done.select("kind", "surrogate")):
             if taken is not None:
@@ -185,7 +223,7 @@ def surrogates(entities: DataFrame, key: str, place: Written) -> DataFrame:
         open_ = place.table(drawn.join(won.select("kind", "entity"), ["kind", "entity"], "left_anti").select("kind", "entity"), f"open-{attempt}")
         if open_.isEmpty():
             return done
-    raise ValueError("too many entities of one shape: no distinct surrogates are left")
+    raise ValueError("nearly all numbers of one length occur in the texts: no distinct surrogates are left")
 
 
 def pseudonymised(docs: DataFrame, key: str, id_column: str = "doc_id", text: str = "text", counts: bool = True) -> DataFrame:

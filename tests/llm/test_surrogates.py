@@ -55,7 +55,7 @@ def test_key_decides(spark):
 def test_collisions_are_drawn_again(spark):
     """A hundred short numbers in a space of a few hundred: first draws collide, the result doesn't."""
     entities = spark.range(100, 400).select(F.lit("ssn").alias("kind"), F.col("id").cast("string").alias("entity"))
-    first = entities.select(surrogates.surrogate_of(F.col("kind"), F.col("entity"), F.lit(0), "k").alias("s")).distinct().count()
+    first = entities.select(surrogates.surrogate_of(F.col("kind"), F.col("entity"), 0, "k").alias("s")).distinct().count()
     rows = surrogates.surrogates(entities, "k", Written(spark)).collect()
     assert first < 300 and len(rows) == 300 == len({r["surrogate"] for r in rows})
     assert not {r["surrogate"] for r in rows} & {r["entity"] for r in rows}
@@ -84,3 +84,26 @@ def test_tables(spark):
     texts = sorted((str(r["doc_id"]), r["text"] or "") for r in got.collect())
     assert len({t.split()[-1] for _, t in texts if t}) == 1 and len(texts) == 4
     assert surrogates.pseudonymised(docs.limit(0), "k").collect() == []
+
+
+def test_names_keep_who_is_who(spark):
+    """People with a few surnames and many given names: one new surname each, all people different, mentions without given names alike."""
+    people = [(f"{g}{chr(97 + n % 26)}{chr(97 + n // 26)}", s) for s in ("Kennedy", "Smith", "Duval", "Orr") for n in range(60) for g in ("Jo", "Mi")]
+    texts = [f"Mr {g} {s} came. Mr {s} left." for g, s in people]
+    texts += ["Mr John Fitzgerald Kennedy and Mr Kennedy", "Mrs Anne-Marie Duval", "MR is no title, Mr ORR is", "Frau Ada Duval Herr Smith", "call (555) 123-4567 or 555-123-4567"]
+    rows = changed(spark, texts)
+    new = {}
+    for i, (g, s) in enumerate(people):
+        given, surname, alone = re.fullmatch(r"Mr ([\w-]+) (\w+) came\. Mr (\w+) left\.", rows[i]["text"]).groups()
+        assert surname == alone != s and new.setdefault(s, surname) == surname
+        new[g, s] = given
+    assert len({new[s] for s in ("Kennedy", "Smith", "Duval", "Orr")}) == 4
+    assert len({(new[p], p[1]) for p in people}) == len(people)
+    at = len(people)
+    three = re.fullmatch(r"Mr ([\w-]+) ([\w-]+) (\w+) and Mr (\w+)", rows[at]["text"])
+    assert three and three[3] == three[4] == new["Kennedy"]
+    assert rows[at + 1]["text"].endswith(" " + new["Duval"]) and "Marie" not in rows[at + 1]["text"]
+    assert rows[at + 2]["text"] == f"MR is no title, Mr {new['Orr'].upper()} is"
+    assert re.fullmatch(rf"Frau [\w-]+ {new['Duval']} Herr {new['Smith']}", rows[at + 3]["text"])
+    one, two = re.fullmatch(r"call (\(\d{3}\) \d{3}-\d{4}) or (\d{3}-\d{3}-\d{4})", rows[at + 4]["text"]).groups()
+    assert re.sub(r"\D", "", one) == re.sub(r"\D", "", two) != "5551234567"
