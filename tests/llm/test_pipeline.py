@@ -3,13 +3,13 @@
 from collections import Counter
 
 from pyspark.sql import functions as F
+from test_jaccard import plain_firsts
 from test_lines import plain_removed
 from test_pieces import MODEL
 from test_quality import features
-from test_simhash import plain_fingerprint, plain_groups
 
 import corpus_pipeline
-from khata.llm import mixing, pieces, quality
+from khata.llm import jaccard, lines, mixing, pieces, quality
 from khata.llm.queries import DOMAIN
 
 
@@ -37,7 +37,7 @@ def test_stages(spark, sf, tmp_path):
         assert text_of[2][i] == "\n".join(x for n, x in enumerate(t.split("\n")) if n not in gone.get((i, t), ()))
     assert all(r["n_chars"] == len(r["text"]) for r in rows[2])
 
-    groups = plain_groups({i: plain_fingerprint(t) for i, t in text_of[2].items()})
+    groups = plain_firsts(list(text_of[2].items()))
     assert sorted(text_of[3]) == sorted(set(groups.values())) and len(rows[3]) == len(text_of[3])
 
     scored, rates, _ = mixing.mixed_documents(made[3], spark.read.parquet(f"{sf}/labels.parquet"), DOMAIN, corpus_pipeline.SHARES)
@@ -59,3 +59,16 @@ def test_run_and_empty_documents(spark, sf):
     for _, stage in corpus_pipeline.STAGES:
         empty = stage(spark, empty, sf)
         assert empty.collect() == []
+
+
+def test_names_which_clash_and_repeated_keys(spark):
+    """Columns named as the stages' own ones, repeated and null keys."""
+    long = "one two three four five six seven eight nine ten"
+    rows = [(1, long), (1, long), (2, long + " eleven"), (3, "quite another text of at least five words"), (None, "nothing like it in the whole table here"), (3, "a second row with the key three is here"), (4, None)]
+    names = ["_id", "_version", "_gone", "_kept_text", "_slot", "_keep", "_gone_id", "_again_id", "id", "first", "n"]
+    docs = spark.createDataFrame([(*r, *range(len(names))) for r in rows], "doc_id bigint, text string, " + ", ".join(f"{n} int" for n in names))
+    kept = lines.without_lines(docs)
+    assert kept.columns == docs.columns and sorted(r["_slot"] for r in kept.collect()) == [4] * len(rows)
+    left = jaccard.first_of_similar(docs)
+    assert left.columns == docs.columns
+    assert sorted(str(r["doc_id"]) for r in left.collect()) == ["1", "3", "4", "None"]
