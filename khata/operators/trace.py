@@ -80,7 +80,7 @@ def _literal_spans(text: Column, literal: Column, suffix: str | None = None) ->
         return _let(F.call_function("locate", literal, text, state["next"]), placed)
 
     walked = F.aggregate(F.sequence(F.lit(1), times), begin, step, lambda s: s["found"])
-    return F.when((F.length(literal) > 0) & (times > 0), walked)
+    return F.when((F.length(literal) > 0) & F.contains(text, literal), walked)
 
 
 def _figure_spans(figures: Column, forms: Column) -> Column:
@@ -90,8 +90,11 @@ def _figure_spans(figures: Column, forms: Column) -> Column:
     def fits(token: Column) -> Callable[[Column], Column]:
         return lambda f: F.startswith(token["hit"], f) & ~F.substr(token["hit"], F.length(f) + 1, F.lit(1)).between("0", "9")
 
-    found = F.transform(figures, lambda t: _let(F.get(F.filter(ordered, fits(t)), F.lit(0)), lambda f: F.when(f.isNotNull(), _span(t["at"], t["at"] + F.length(f)))))
-    return F.array_compact(found)
+    def placed(forms: Column) -> Column:
+        return F.transform(figures, lambda t: _let(F.get(F.filter(forms, fits(t)), F.lit(0)), lambda f: F.when(f.isNotNull(), _span(t["at"], t["at"] + F.length(f)))))
+
+    # The forms are made once a row, not once a figure.
+    return F.array_compact(_let(ordered, placed))
 
 
 def _amount_forms(amount: Column) -> Column:
@@ -133,14 +136,14 @@ def _date_spans(text: Column, date: Column) -> Column:
     def year_size(shown: Column) -> Column:
         return F.when(F.startswith(shown, yyyy), 4).when(F.startswith(shown, yy), 2)
 
-    def day_first(pattern: str, month_fits: Callable[[Column, Column], Column], rank: int) -> Column:
+    def day_first(pattern: str, month_fits: Callable[[Column, Column], Column], rank: int) -> Callable[[Column], Column]:
         def placed(t: Column) -> Column:
             day, month, year = (part(t, pattern, g) for g in (1, 2, 3))
             back = F.when(F.endswith(day, dd) & month_fits(month, F.lit(True)), 2).when(F.endswith(day, d) & month_fits(month, F.lit(False)), F.length(d))
             end = t["at"] + F.length(t["hit"]) - F.length(year) + year_size(year)
             return _let(back, lambda x: F.when(x.isNotNull() & year_size(year).isNotNull(), _span(t["at"] + F.length(day) - x, end, rank)))
 
-        return F.transform(_tokens(text, pattern), placed)
+        return placed
 
     def in_numbers(shown: Column, two_digits: Column) -> Column:
         return shown == F.when(two_digits, mm).otherwise(m)
@@ -158,9 +161,15 @@ def _date_spans(text: Column, date: Column) -> Column:
         ends = F.endswith(year, yyyy) & (part(t, YEAR_MONTH_DAY, 2) == mm) & (part(t, YEAR_MONTH_DAY, 3) == dd)
         return F.when(ends, _span(t["at"] + F.length(year) - 4, t["at"] + F.length(t["hit"]), 3))
 
+    def spans(pattern: str, may_hit: Column, placed: Callable[[Column], Column]) -> Column:
+        """Texts which can't show the day in this way are not cut."""
+        return F.transform(F.when(may_hit, _tokens(text, pattern)).otherwise(F.array().cast("array<struct<at:int,hit:string>>")), placed)
+
+    separated = F.contains(text, F.lit("-")) | F.contains(text, F.lit("/"))
+    named = F.contains(F.lower(text), name)
     return F.array_sort(F.array_compact(F.concat(
-        day_first(DAY_MONTH_YEAR, in_numbers, 0), day_first(DAY_NAME_YEAR, by_name, 1),
-        F.transform(_tokens(text, NAME_DAY_YEAR), name_first), F.transform(_tokens(text, YEAR_MONTH_DAY), year_first),
+        spans(DAY_MONTH_YEAR, separated, day_first(DAY_MONTH_YEAR, in_numbers, 0)), spans(DAY_NAME_YEAR, named, day_first(DAY_NAME_YEAR, by_name, 1)),
+        spans(NAME_DAY_YEAR, named, name_first), spans(YEAR_MONTH_DAY, F.contains(text, F.concat_ws("-", yyyy, mm, dd)), year_first),
     )))
 
 
@@ -172,7 +181,8 @@ def _spans_of(text: Column) -> dict[str, Column]:
         "ref": F.when(c("ref").isNotNull(), _literal_spans(text, c("ref"))),
         "amount": F.when(c("amount").isNotNull(), _figure_spans(c("_figures"), _amount_forms(c("amount")))),
         "account": F.when(c("account").isNotNull(), _account_spans(text, c("account"))),
-        "merchant": F.when(c("merchant").isNotNull(), _literal_spans(lower, F.translate("merchant", UPPER, UPPER.lower()), "^@[a-z]+")),
+        "merchant": F.when(c("merchant").isNotNull(), _let(F.struct(lower.alias("text"), F.translate("merchant", UPPER, UPPER.lower()).alias("name")), lambda x: _literal_spans(
+            x["text"], x["name"], "^@[a-z]+"))),
         "date": F.when(c("date").isNotNull(), _date_spans(text, c("date"))),
         "balance": F.when(c("balance") > 0, _figure_spans(c("_figures"), _balance_forms(c("balance")))),
     }

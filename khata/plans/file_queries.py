@@ -99,7 +99,7 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     listed AS (SELECT shape, string_agg(sender || '=' || n, ',' ORDER BY place) AS senders FROM firsts GROUP BY shape)
     SELECT rank, shape, mined.n, example, listed.senders FROM mined JOIN listed USING (shape)""")
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    path, docs = _folder(spark), views.table(spark, sf, "documents")
+    path, docs = _folder(spark), views.spread(views.table(spark, sf, "documents"))
     mined = templates.mine_templates(docs, "text", "source", "doc_id", force=True)
     writers.write_templates(mined, templates.template_senders(docs, "text", "source"), path)
     kind = "rank bigint, shape string, n bigint, example string, senders array<struct<rank: bigint, sender: string, n: bigint>>"

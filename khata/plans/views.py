@@ -16,13 +16,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of a part for pattern work, which takes about a millisecond a row.
+PART_ROWS = 20_000
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Rows of a table which is one small file dealt out to all cores before pattern work.
+    """Rows of a table in few files dealt out evenly before pattern work: a part for each core at least, and no part over ``PART_ROWS`` rows.
 
-    A table of many files has enough splits and is left as it is.
+    The splits of a file say little, since only those which hold the middle of a row group have rows.  A table of as many files as
+    parts is left as it is.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    parts = max(cores, -(-df.count() // PART_ROWS))  # Parquet footers know the count
+    return df.repartition(parts) if len(df.inputFiles()) < parts else df
 
 
 def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
