@@ -67,16 +67,22 @@ def dealt(items: DataFrame, size: Column, limit: int) -> tuple[DataFrame, int]:
     return items.withColumn("_block", block), count
 
 
-#: Slots of ``parted_by``: what is broadcast has a row for each at most, whatever the input.
-SLOTS = 1 << 20
+#: Slots of ``parted_by``, 64 to a row: what is broadcast has a 64th of them in rows at most, whatever the input.
+SLOTS = 1 << 22
 
 
 def parted_by(rows: DataFrame, key: Column, wanted: DataFrame, wanted_key: Column) -> tuple[DataFrame, DataFrame]:
     """(rows whose key may be among the wanted ones, rows whose key isn't), told apart by hash slots without a shuffle.
 
-    Few wanted keys leave most rows where they are; with as many keys as slots all rows are in the first part.
+    Few wanted keys leave most rows where they are; with as many keys as slots all rows are in the first part.  The keys are
+    64-bit hashes.  The slots are bits of words, so that the driver and the executors hold few rows of them.
     """
-    slot = free_name(rows, "_slot")
-    taken = wanted.select(F.pmod(wanted_key, F.lit(SLOTS)).alias(slot)).distinct()
-    marked = rows.withColumn(slot, F.pmod(key, F.lit(SLOTS)))
-    return tuple(marked.join(F.broadcast(taken), slot, how).select(*[F.col(f"`{c}`") for c in rows.columns]) for how in ("left_semi", "left_anti"))
+    word, bits, bit = (free_name(rows, n) for n in ("_word", "_bits", "_bit"))
+    slot = lambda k: F.pmod(k, F.lit(SLOTS))
+    place = lambda k: F.shiftright(slot(k), 6)
+    one = lambda k: F.call_function("shiftleft", F.lit(1).cast("bigint"), slot(k).bitwiseAND(F.lit(63)).cast("int"))
+    taken = wanted.select(place(wanted_key).alias(word), one(wanted_key).alias(bits)).groupBy(word).agg(F.bit_or(bits).alias(bits))
+    marked = rows.withColumn(word, place(key)).withColumn(bit, one(key)).alias("rows")
+    few = F.broadcast(taken.alias("taken"))
+    met = (F.col(f"rows.{word}") == F.col(f"taken.{word}")) & (F.col(f"rows.{bit}").bitwiseAND(F.col(f"taken.{bits}")) != 0)
+    return tuple(marked.join(few, met, how).select(*[F.col(f"rows.`{c}`").alias(c) for c in rows.columns]) for how in ("left_semi", "left_anti"))

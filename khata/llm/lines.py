@@ -20,15 +20,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from khata.llm.common import Written, free_name, parted_by
+from khata.llm.common import Written, free_name, let, parted_by
 from khata.llm.graph import components
 from khata.llm.hashing import FORM, GOLDEN, mixed, word_hashes
 
 MIN_WORDS = 5
 #: Columns beside those of a document; a document has none of these names.
 GONE, KEPT = "_khata_gone_lines", "_khata_kept_text"
-#: Slots of the filter which decides whose text is fetched; with a slot a row, this bounds what is broadcast.
-SLOTS = 1 << 20
 CHUNK_BYTES = 1 << 20
 #: Neighbours in the order of a key with which a line is compared first.
 NEIGHBOURS = 4
@@ -158,23 +156,20 @@ def _near(distance: int) -> Column:
     return F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance
 
 
-def line_groups(lines: DataFrame, place: Written, similarity: float, distance: int, count: int) -> DataFrame:
-    """(line, group) of the lines in links; other lines are alone.
+def line_groups(lines: DataFrame, kinds: DataFrame, place: Written, similarity: float, distance: int, count: int) -> DataFrame:
+    """(line, group) of the lines in links; other lines are alone.  ``kinds`` has (line, bits, n) of every different line.
 
     Groups are wanted, not all links, so no group is spread out into its pairs.  Lines which have a partner at all come from a
     semi-join; all that follows is among them.  Each is compared with a few neighbours first, in the order of each
     key's bits, and with the most frequent line of the key.  Only pairs which are not in one group by then are looked for and verified.
     """
-    kinds = place.table(lines.groupBy("line", "bits").agg(F.count("*").alias("n")), "kinds")
     left, right = (keyed(kinds, count, distance).withColumnRenamed("bits", x) for x in "ab")
     other = F.col("a") != F.col("b")
     paired = left.join(right, (left["key"] == right["key"]) & other & _near(distance), "left_semi").select(F.col("a").alias("bits"))
     # Equal bits make a pair of their own where several lines have them.
     shared = kinds.groupBy("bits").agg(F.count("*").alias("n")).where("n > 1").select("bits")
     ends = place.table(paired.unionByName(shared).distinct(), "ends")
-    slot = F.pmod(F.xxhash64("bits"), F.lit(SLOTS))
-    taken = ends.select(slot.alias("slot")).distinct()  # at most SLOTS rows
-    near = lines.withColumn("slot", slot).join(F.broadcast(taken), "slot", "left_semi")
+    near, _ = parted_by(lines, F.xxhash64("bits"), ends, F.xxhash64("bits"))
     texts = near.join(ends, "bits", "left_semi").groupBy("bits", "line").agg(F.min("form").alias("form"), F.count("*").alias("n"))
     texts = place.table(texts.withColumn("size", F.length("form")), "texts")
     keys = F.explode(F.array(*blocks(F.col("bits"), count, count - distance))).alias("key")
@@ -220,8 +215,12 @@ def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", simi
     source = docs.select(F.col(f"`{key}`").alias("id"), F.xxhash64(F.col(f"`{text}`")).alias("version"), F.col(f"`{text}`"))
     schema = LINES.format(id=docs.schema[key].dataType.simpleString())
     lines = place.table(source.mapInArrow(_lines, schema), "lines")
-    groups = place.table(line_groups(lines, place, similarity, distance, count), "groups")
+    kinds = place.table(lines.groupBy("line", "bits").agg(F.count("*").alias("n")), "kinds")
+    groups = place.table(line_groups(lines, kinds, place, similarity, distance, count), "groups")
     at = F.struct("id", "version", "line_no")
+    # Only lines which occur again or are linked can go; all others stay where they are.
+    again = kinds.where("n > 1").select("line").unionByName(groups.select("line"))
+    lines, _ = parted_by(lines.select("id", "version", "line_no", "line"), F.xxhash64("line"), again, F.xxhash64("line"))
     firsts = lines.groupBy("line").agg(F.min(at).alias("first"), F.count("*").alias("n"))
     named = firsts.join(groups, "line", "left").withColumn("group", F.coalesce("group", "line"))
     whole = named.groupBy("group").agg(F.min("first").alias("keep"), F.sum("n").alias("n")).where("n > 1")
@@ -255,9 +254,13 @@ def _joined(docs: DataFrame, key: str, text: str, **how: float) -> DataFrame:
     mine = F.xxhash64(F.col(f"`{key}`"), F.xxhash64(body))
     near, far = parted_by(docs, mine, gone, F.xxhash64(*names.values()))
     same = F.col(f"`{key}`").eqNullSafe(gone[names["_id"]]) & (F.xxhash64(body) == gone[names["_version"]])
-    lines = F.split(body, "\n")
-    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(GONE))
-    joined = F.when(F.col(GONE).isNotNull(), F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n"))
+
+    def rest(lines: Column) -> Column:
+        left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(GONE))
+        return F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n")
+
+    # A text is split once, not once for each of its lines.
+    joined = F.when(F.col(GONE).isNotNull(), let(F.split(body, "\n"), rest))
     met = near.join(gone, same, "left").select(*[near[f"`{c}`"] for c in docs.columns], GONE)
     none = far.select(*[F.col(f"`{c}`") for c in docs.columns], F.lit(None).cast("array<int>").alias(GONE))
     return met.unionByName(none).withColumn(KEPT, joined)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from khata.llm.common import Written
+from khata.llm.common import Written, free_name, parted_by
 from khata.llm.hashing import FORM, mixed, word_hashes
 
 BUCKETS = 1 << 18
@@ -205,7 +205,14 @@ def copies(rate: Column, key: Column, seed: int) -> Column:
 
 
 def take_copies(docs: DataFrame, scored: DataFrame, key: str = "doc_id") -> DataFrame:
-    """``docs`` with every row as often as ``scored`` says; the columns stay as they are."""
-    times = scored.groupBy("id").agg(F.max("copies").alias("_copies")).where("_copies > 0").withColumnRenamed("id", "_id")
-    met = docs.join(times, F.col(f"`{key}`").eqNullSafe(F.col("_id")))
-    return met.withColumn("_again", F.explode(F.array_repeat(F.lit(0), F.col("_copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """``docs`` with every row as often as ``scored``, which has all their keys, says; the columns stay as they are.
+
+    Documents which are taken once stay where they are.
+    """
+    place, body = Written(docs.sparkSession), F.col(f"`{key}`")
+    id_, times_, again = (free_name(docs, n) for n in ("_id", "_copies", "_again"))
+    times = place.table(scored.groupBy(F.col("id").alias(id_)).agg(F.max("copies").alias(times_)), "times")
+    near, far = parted_by(docs, F.xxhash64(body), times.where(F.col(times_) != 1), F.xxhash64(id_))
+    met = near.join(times.where(F.col(times_) > 0), body.eqNullSafe(F.col(id_)))
+    more = met.withColumn(again, F.explode(F.array_repeat(F.lit(0), F.col(times_)))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return far.unionByName(more)
