@@ -97,6 +97,11 @@ def squeeze(col: Column) -> Column:
     return swap(col, r"\s+", " ", "")
 
 
+def uneven(col: Column) -> Column:
+    """Whether ``squeeze`` changes the text: white space other than single blanks; cheaper than to squeeze it."""
+    return F.contains(col, F.lit("  ")) | col.rlike(f"[{SPACES}&&[^ ]]")
+
+
 def masked(col: Column) -> Column:
     """The text with each letter or digit beyond ASCII replaced by a sign that is neither."""
     foreign = r"[\p{L}\p{N}&&[^\x00-\x7F]]"

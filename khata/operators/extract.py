@@ -18,7 +18,7 @@ from khata.functions import clock
 from khata.functions import fixed_values as V
 from khata.functions.money import bank_of, brand_of, merchant_key, sender_id
 from khata.functions.text import (
-    decimal_of, first_label, grab, has, java, masked, plain_number, squeeze, swap,
+    decimal_of, first_label, grab, has, java, masked, plain_number, squeeze, swap, uneven,
 )
 
 PREFIX = "t_"
@@ -35,13 +35,22 @@ TXN_FIELDS = (
 FLAGS = "ia"
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value which is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def message_text(body: Column) -> Column:
     """White space squeezed, and a blank put between a figure and a verb stuck to it."""
-    return F.trim(swap(squeeze(F.coalesce(body, F.lit(""))), V.STUCK_VERBS, "$1 $2"))
+    even = _let(F.coalesce(body, F.lit("")), lambda t: F.when(uneven(t), squeeze(t)).otherwise(t))
+    # a verb is stuck only where a letter follows a figure; the search for that is far cheaper
+    return F.trim(_let(even, lambda t: F.when(t.rlike("[0-9][cdprswCDPRSW]"), swap(t, V.STUCK_VERBS, "$1 $2")).otherwise(t)))
 
 
 #: Words of the text in lower case, beside it: a rule whose words don't occur is not searched.
 WORDS = "_words"
+#: The text in lower case, beside it.
+LOWER = "_lower"
 
 
 def words_in(text: Column) -> Column:
@@ -55,11 +64,22 @@ def says(*words: str) -> Column:
 
 def holds(*parts: str) -> Column:
     """Whether the text has one of the parts anywhere, in any case."""
-    lower = F.lower("_masked")
-    return reduce(lambda a, b: a | b, [F.contains(lower, F.lit(p)) for p in parts])
+    return reduce(lambda a, b: a | b, [F.contains(F.col(LOWER), F.lit(p)) for p in parts])
+
 
+#: A word for every way to word a debit or a credit.
+DEBIT_WORDS = ("debited", "spent", "withdrawn", "paid", "purchase", "deducted", "sent", "transferred", "txn", "charged", "processed", "payment",
+               "done", "recharged", "loaded", "thank", "thanks")
+CREDIT_WORDS = ("credited", "received", "deposited", "refund", "refunded", "reversal", "reversed", "cashback", "added")
 
-def _reject_guards() -> list[Column]:
+
+def _channel_guards() -> list[Column]:
+    """For each rule of CHANNEL_FORMS what a text must say."""
+    return [says("upi", "vpa") | holds("@"), says("card", "pos", "spent"), says("neft"), says("imps"), says("rtgs"), says("atm", "withdrawn"),
+            holds("cheque", "chq")]
+
+
+def _reject_guards(says: Callable[..., Column] = says, holds: Callable[..., Column] = holds) -> list[Column]:
     """For each rule of REJECT_FIRST what a text must say to break it; a word for every way to word the rule."""
     balances = [a + b for a in ("", "avl", "available", "closing", "c") for b in ("bal", "balance")]
     return [
@@ -83,6 +103,18 @@ def _reject_guards() -> list[Column]:
     ]
 
 
+def _may_reject() -> Column:
+    """Whether any of the guards of REJECT_FIRST can be true: one look at the words instead of one for each rule."""
+    words: list[str] = []
+    parts: list[str] = []
+
+    def note(into: list[str]) -> Callable[..., Column]:
+        return lambda *named: (into.extend(named), F.lit(True))[1]
+
+    _reject_guards(note(words), note(parts))
+    return says(*dict.fromkeys(words)) | holds(*parts)
+
+
 def _late_guards() -> list[Column]:
     """The same for REJECT_UNLESS_REFUND."""
     return [
@@ -96,18 +128,20 @@ def _says_internal() -> Column:
                 "contribution", "netc", "metro", "prepaid", "transferred", "transfer", "your")
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value which is computed once, however often the body names it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
+def direction_of(text: Column, debit: Column | None = None, credit: Column | None = None) -> Column:
+    """debit or credit; when both are worded the one named first decides.
 
-def direction_of(text: Column) -> Column:
-    """debit or credit; when both are worded the one named first decides."""
+    A wording is searched only where its guard, if there is one, is true.
+    """
     def first(at: Column) -> Column:
         debit, credit = at["debit"], at["credit"]
         return F.when((debit > 0) & ((credit == 0) | (debit < credit)), "debit").when(credit > 0, F.lit("credit"))
 
-    places = [F.regexp_instr(text, F.lit(java(p, FLAGS))).alias(name) for name, p in (("debit", V.DEBIT), ("credit", V.CREDIT))]
+    def place(pattern: str, guard: Column | None) -> Column:
+        at = F.regexp_instr(text, F.lit(java(pattern, FLAGS)))
+        return at if guard is None else F.when(guard, at).otherwise(0)
+
+    places = [place(V.DEBIT, debit).alias("debit"), place(V.CREDIT, credit).alias("credit")]
     return _let(F.struct(*places), first)
 
 
@@ -196,14 +230,15 @@ def merchant_of(text: Column) -> Column:
         is_tail = name.rlike("^[0-9]+$") | has(name, r"^[x*]+\s*\d+$")
         return (c["quality"] != "named") | ((F.length(name) >= 2) & ~is_tail)
 
-    # what a text must hold for each form; a form which can't occur is not searched
-    lower = F.lower(text)
+    # what a text must hold for each form; a form which can't occur is not searched, nor is one after the form which ends the search
     parts = ("vpa", "vpa", "to", "to", "merchant", "done for", "trf", "at", "to", "upi/p2", "from", ";")
-    forms = [F.when(F.contains(lower, F.lit(part)), F.regexp_extract(text, java(p), 1)) for part, p in zip(parts, V.MERCHANT_FORMS, strict=True)]
-    # one transform per step, so that each step is evaluated once per candidate
-    found = F.filter(F.array(*forms), lambda x: x != "")
-    candidates = F.transform(F.transform(found, named_or_handle), cleaned)
-    return F.get(F.filter(candidates, ends_search), F.lit(0))
+
+    def read(lower: Column, part: str, pattern: str) -> Column:
+        # one transform per step, so that each step is evaluated once
+        found = F.filter(F.array(F.when(F.contains(lower, F.lit(part)), F.regexp_extract(text, java(pattern), 1))), lambda x: x != "")
+        return F.get(F.filter(F.transform(F.transform(found, named_or_handle), cleaned), ends_search), F.lit(0))
+
+    return _let(F.lower(text), lambda lower: F.coalesce(*[read(lower, part, p) for part, p in zip(parts, V.MERCHANT_FORMS, strict=True)]))
 
 
 def confidence_pct(amount: Column, merchant: Column, quality: Column, ref: Column, account: Column,
@@ -237,9 +272,10 @@ def parse_messages(messages: DataFrame, tz: str) -> DataFrame:
         messages
         .withColumn("_text", message_text(F.col("body")))
         .withColumn("_masked", masked(F.col("_text")))
+        .withColumn(LOWER, F.lower(text))
         .withColumn(WORDS, words_in(text))
-        .withColumn("_early", F.when(text == "", "empty").otherwise(first_label(text, V.REJECT_FIRST, FLAGS, _reject_guards())))
-        .withColumn("_direction", F.when(F.col("_early").isNull(), direction_of(text)))
+        .withColumn("_early", F.when(text == "", "empty").when(_may_reject(), first_label(text, V.REJECT_FIRST, FLAGS, _reject_guards())))
+        .withColumn("_direction", F.when(F.col("_early").isNull(), direction_of(text, says(*DEBIT_WORDS), says(*CREDIT_WORDS))))
     )
     direction = F.col("_direction")
     staged = staged.withColumn(
@@ -270,7 +306,7 @@ def parse_messages(messages: DataFrame, tz: str) -> DataFrame:
     )
 
     # a generator of one row: filters on the outcome stay above it, so no pattern is searched twice
-    outcome = F.struct("reason", "_text", "_masked", WORDS, "_direction", "_is_refund", "_amount", "_foreign")
+    outcome = F.struct("reason", "_text", "_masked", LOWER, WORDS, "_direction", "_is_refund", "_amount", "_foreign")
     staged = staged.select(*messages.columns, F.inline(F.array(outcome)))
 
     ok = reason.isNull()
@@ -281,7 +317,7 @@ def parse_messages(messages: DataFrame, tz: str) -> DataFrame:
         "_day": F.when(ok, stated_date(text)),
         "_ref": F.when(ok, F.upper(grab(text, V.REFERENCE, 1, FLAGS))),
         "_account": F.when(ok, account_of(text)),
-        "_channel": F.when(ok, F.coalesce(first_label(text, V.CHANNEL_FORMS, FLAGS), F.lit("other"))),
+        "_channel": F.when(ok, F.coalesce(first_label(text, V.CHANNEL_FORMS, FLAGS, _channel_guards()), F.lit("other"))),
     }).withColumns({
         "_value": F.coalesce(F.col("_amount"), F.lit(0).cast("decimal(18,2)")),
         "_currency": F.when(F.col("_amount").isNull(), foreign["currency"]).otherwise("INR"),
@@ -352,7 +388,7 @@ def _txn_columns() -> dict[str, Column]:
         "channel": c("_channel"),
         "date": c("_date"),
         "date_ms": c("_date_ms"),
-        "balance": decimal_of(grab(c("_masked"), V.BALANCE, 1, FLAGS)),
+        "balance": F.when(holds("bal"), decimal_of(grab(c("_masked"), V.BALANCE, 1, FLAGS))),
         "sender": c("address"),
         "sender_id": c("_sender_id"),
         "bank": bank_of(c("_sender_id")),

@@ -21,14 +21,16 @@ PART_ROWS = 20_000
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Rows of a table in few files dealt out evenly before pattern work: a part for each core at least, and no part over ``PART_ROWS`` rows.
+    """Rows of a table dealt out evenly before pattern work: a part for each core at least, and no part over ``PART_ROWS`` rows.
 
-    The splits of a file say little, since only those which hold the middle of a row group have rows.  A table of as many files as
-    parts is left as it is.
+    Neither the splits of a large file nor the number of small ones say how many rows a task gets: only those splits which hold
+    the middle of a row group have rows, and the scan packs small files together.  A table of as many files and as many
+    scan partitions as parts is left as it is.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     parts = max(cores, -(-df.count() // PART_ROWS))  # Parquet footers know the count
-    return df.repartition(parts) if len(df.inputFiles()) < parts else df
+    left = len(df.inputFiles()) >= parts and df.rdd.getNumPartitions() >= parts
+    return df if left else df.repartition(parts)
 
 
 def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,3 +23,13 @@ def test_spread_leaves_many_files(spark, tmp_path):
     spark.range(1000).repartition(2 * cores).write.parquet(f"{tmp_path}/many")
     many = spark.read.parquet(f"{tmp_path}/many")
     assert "Exchange" not in views.spread(many)._jdf.queryExecution().toString()
+
+
+def test_spread_deals_out_many_small_files(spark, tmp_path, monkeypatch):
+    """The scan packs small files into few tasks."""
+    monkeypatch.setattr(views, "PART_ROWS", 100)
+    spark.range(6000).repartition(60).write.parquet(str(tmp_path / "t"))
+    packed = spark.read.parquet(str(tmp_path / "t"))
+    assert packed.rdd.getNumPartitions() < 60
+    dealt = views.spread(packed)
+    assert dealt.rdd.getNumPartitions() == 60 and dealt.count() == 6000
