@@ -49,8 +49,6 @@ def message_text(body: Column) -> Column:
 
 #: Words of the text in lower case, beside it: a rule whose words don't occur is not searched.
 WORDS = "_words"
-#: The text in lower case, beside it.
-LOWER = "_lower"
 
 
 def words_in(text: Column) -> Column:
@@ -64,7 +62,7 @@ def says(*words: str) -> Column:
 
 def holds(*parts: str) -> Column:
     """Whether the text has one of the parts anywhere, in any case."""
-    return reduce(lambda a, b: a | b, [F.contains(F.col(LOWER), F.lit(p)) for p in parts])
+    return _let(F.lower("_masked"), lambda lower: reduce(lambda a, b: a | b, [F.contains(lower, F.lit(p)) for p in parts]))
 
 
 #: A word for every way to word a debit or a credit.
@@ -272,7 +270,6 @@ def parse_messages(messages: DataFrame, tz: str) -> DataFrame:
         messages
         .withColumn("_text", message_text(F.col("body")))
         .withColumn("_masked", masked(F.col("_text")))
-        .withColumn(LOWER, F.lower(text))
         .withColumn(WORDS, words_in(text))
         .withColumn("_early", F.when(text == "", "empty").when(_may_reject(), first_label(text, V.REJECT_FIRST, FLAGS, _reject_guards())))
         .withColumn("_direction", F.when(F.col("_early").isNull(), direction_of(text, says(*DEBIT_WORDS), says(*CREDIT_WORDS))))
@@ -306,7 +303,7 @@ def parse_messages(messages: DataFrame, tz: str) -> DataFrame:
     )
 
     # a generator of one row: filters on the outcome stay above it, so no pattern is searched twice
-    outcome = F.struct("reason", "_text", "_masked", LOWER, WORDS, "_direction", "_is_refund", "_amount", "_foreign")
+    outcome = F.struct("reason", "_text", "_masked", WORDS, "_direction", "_is_refund", "_amount", "_foreign")
     staged = staged.select(*messages.columns, F.inline(F.array(outcome)))
 
     ok = reason.isNull()
