@@ -117,6 +117,10 @@ def count_hits(col: Column, pattern: str, flags: str = "i") -> Column:
     return F.regexp_count(col, F.lit(java(pattern, flags)))
 
 
+#: Marks around a hit and between its groups.
+HIT, GROUP = "\x01", "\x02"
+
+
 def put_in(
     col: Column, pattern: str, make: Callable[..., Column], groups: int = 0, flags: str = "i"
 ) -> Column:
@@ -126,13 +130,21 @@ def put_in(
     cut at the hits and put together again, all with built-in array functions.
     """
     rx = java(pattern, flags)
-    pieces = F.split(col, rx, -1)
+    # One search marks the hits and their groups; the text is cut at the marks, which is no search.
+    shown = HIT + GROUP.join(f"${g}" for g in range(groups + 1)) + HIT
+    cut = F.split(F.regexp_replace(col, rx, shown), HIT, -1)
+
+    def filled(piece: Column, at: Column) -> Column:
+        parts = F.split(piece, GROUP, -1)
+        return F.when(at % 2 == 0, piece).otherwise(F.get(F.transform(F.array(parts), lambda g: make(*[F.get(g, F.lit(i)) for i in range(groups + 1)])), F.lit(0)))
+
+    # A text which has the marks itself is searched once for the gaps and once for each group.
     found = [F.regexp_extract_all(col, F.lit(rx), g) for g in range(groups + 1)]
     rows = F.arrays_zip(*[f.alias(f"g{g}") for g, f in enumerate(found)])
     made = F.transform(rows, lambda r: make(*[r[f"g{g}"] for g in range(groups + 1)]))
-    return F.array_join(
-        F.zip_with(pieces, made, lambda p, m: F.concat(p, F.coalesce(m, F.lit("")))), ""
-    )
+    searched = F.array_join(F.zip_with(F.split(col, rx, -1), made, lambda p, m: F.concat(p, F.coalesce(m, F.lit("")))), "")
+    marked = F.contains(col, F.lit(HIT)) | F.contains(col, F.lit(GROUP))
+    return F.when(marked, searched).otherwise(F.array_join(F.transform(cut, filled), ""))
 
 
 def decimal_of(col: Column) -> Column:

@@ -6,6 +6,7 @@ import re
 from pyspark.sql import functions as F
 
 from khata.functions import fixed_values as V
+from khata.functions import text as text_columns
 from khata.functions.text import has, has_any
 from khata.operators import extract, inbox, privacy
 from khata.operators.extract import FLAGS, WORDS, says, words_in
@@ -58,3 +59,23 @@ def test_passes_of_redaction_see_all_their_hits(spark):
     text = F.col("t")
     sums = df.agg(*[F.count_if(has(text, s.pattern, s.flags) & ~s.found(text)).alias(f"m{i}") for i, s in enumerate(steps)]).first()
     assert not [steps[i].pattern for i in range(len(steps)) if sums[f"m{i}"]]
+
+
+def test_put_in_cuts_at_marks(spark):
+    """Hits side by side, groups which don't take part, and texts which have the marks themselves."""
+    texts = ["a1b2", "12", "", "none", f"x{text_columns.HIT}1{text_columns.GROUP}2", "7b", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    made = text_columns.put_in(F.col("t"), "([0-9])(b)?", lambda hit, n, b: F.concat(F.lit("<"), n, F.upper(b), F.length(hit).cast("string"), F.lit(">")), 2, "")
+    assert [r[0] for r in df.select(made).collect()] == [
+        "a<1B2><21>", "<11><21>", "", "none", f"x{text_columns.HIT}<11>{text_columns.GROUP}<21>", "<7B2>", None]
+
+
+def test_needs_are_necessary(spark):
+    """Each pass finds its sample through its cheaper part, too."""
+    samples = ["a.b@c-d.in", "ABCDE1234F", "1234 5678-9012", "XXXX12", "12.50 rs", "5,INR", "Jan 5, 2024", "jan 12 2024"]
+    steps = [s for rules in ("session", "offline") for s in privacy.passes("s", 1, rules) if s.needs]
+    assert len(steps) >= 8
+    df = spark.createDataFrame([(t,) for t in samples], "t string")
+    for step in steps:
+        seen = df.select(text_columns.has(F.col("t"), step.pattern, step.flags).alias("full"), text_columns.has(F.col("t"), step.needs, step.flags).alias("part")).collect()
+        assert any(r["full"] for r in seen) and all(r["part"] for r in seen if r["full"]), step
