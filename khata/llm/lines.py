@@ -148,8 +148,18 @@ def blocks(bits: Column, count: int, equal: int) -> list[Column]:
 
 
 def keyed(lines: DataFrame, count: int, distance: int) -> DataFrame:
-    """(bits, key) for the distinct values in ``bits``: two with at most ``distance`` differing bits have a key in common."""
-    return lines.select("bits").distinct().select("bits", F.explode(F.array(*blocks(F.col("bits"), count, count - distance))).alias("key"))
+    """(bits, key) for different values in ``bits``: two with at most ``distance`` differing bits have a key in common."""
+    return lines.select("bits", F.explode(F.array(*blocks(F.col("bits"), count, count - distance))).alias("key"))
+
+
+def paired(lines: DataFrame, count: int, distance: int) -> DataFrame:
+    """Of different values in ``bits`` those which have another one at ``distance`` or fewer differing bits, once or several times.
+
+    Both sides of the join have the same names, so that they are the same plan and go through one shuffle.
+    """
+    keys = keyed(lines, count, distance)
+    other = F.bit_count(F.col("a.bits").bitwiseXOR(F.col("b.bits"))).between(1, distance)
+    return keys.alias("a").join(keys.alias("b"), (F.col("a.key") == F.col("b.key")) & other, "left_semi").select("bits")
 
 
 def _near(distance: int) -> Column:
@@ -163,12 +173,10 @@ def line_groups(lines: DataFrame, kinds: DataFrame, place: Written, similarity:
     semi-join; all that follows is among them.  Each is compared with a few neighbours first, in the order of each
     key's bits, and with the most frequent line of the key.  Only pairs which are not in one group by then are looked for and verified.
     """
-    left, right = (keyed(kinds, count, distance).withColumnRenamed("bits", x) for x in "ab")
-    other = F.col("a") != F.col("b")
-    paired = left.join(right, (left["key"] == right["key"]) & other & _near(distance), "left_semi").select(F.col("a").alias("bits"))
+    values = place.table(kinds.groupBy("bits").agg(F.count("*").alias("n")), "values")
     # Equal bits make a pair of their own where several lines have them.
-    shared = kinds.groupBy("bits").agg(F.count("*").alias("n")).where("n > 1").select("bits")
-    ends = place.table(paired.unionByName(shared).distinct(), "ends")
+    shared = values.where("n > 1").select("bits")
+    ends = place.table(paired(values, count, distance).unionByName(shared).distinct(), "ends")
     near, _ = parted_by(lines, F.xxhash64("bits"), ends, F.xxhash64("bits"))
     texts = near.join(ends, "bits", "left_semi").groupBy("bits", "line").agg(F.min("form").alias("form"), F.count("*").alias("n"))
     texts = place.table(texts.withColumn("size", F.length("form")), "texts")
@@ -220,15 +228,16 @@ def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", simi
     at = F.struct("id", "version", "line_no")
     # Only lines which occur again or are linked can go; all others stay where they are.
     again = kinds.where("n > 1").select("line").unionByName(groups.select("line"))
-    lines, _ = parted_by(lines.select("id", "version", "line_no", "line"), F.xxhash64("line"), again, F.xxhash64("line"))
+    near, _ = parted_by(lines.select("id", "version", "line_no", "line"), F.xxhash64("line"), again, F.xxhash64("line"))
+    lines = place.table(near, "again")
     firsts = lines.groupBy("line").agg(F.min(at).alias("first"), F.count("*").alias("n"))
-    named = firsts.join(groups, "line", "left").withColumn("group", F.coalesce("group", "line"))
+    named = place.table(firsts.join(groups, "line", "left").withColumn("group", F.coalesce("group", "line")), "named")
     whole = named.groupBy("group").agg(F.min("first").alias("keep"), F.sum("n").alias("n")).where("n > 1")
     # Only lines in groups of several can go.
     judged = named.join(whole.select("group", "keep"), "group").select("line", "keep")
     gone = lines.select("id", "version", "line_no", "line").join(judged, "line").where(~at.eqNullSafe(F.col("keep")))
     out = place.table(gone.groupBy("id", "version").agg(F.sort_array(F.collect_set("line_no")).alias("gone")), "gone")
-    for name in ("lines", "kinds", "ends", "texts", "first", "grouped", "others", "groups"):
+    for name in ("lines", "kinds", "values", "ends", "texts", "first", "grouped", "others", "groups", "again", "named"):
         place.drop(name)
     return out
 
@@ -261,7 +270,8 @@ def _joined(docs: DataFrame, key: str, text: str, **how: float) -> DataFrame:
 
     # A text is split once, not once for each of its lines.
     joined = F.when(F.col(GONE).isNotNull(), let(F.split(body, "\n"), rest))
-    met = near.join(gone, same, "left").select(*[near[f"`{c}`"] for c in docs.columns], GONE)
+    # The few numbers of a partition are hashed, so the texts aren't sorted.
+    met = near.join(gone.hint("shuffle_hash"), same, "left").select(*[near[f"`{c}`"] for c in docs.columns], GONE)
     none = far.select(*[F.col(f"`{c}`") for c in docs.columns], F.lit(None).cast("array<int>").alias(GONE))
     return met.unionByName(none).withColumn(KEPT, joined)
 

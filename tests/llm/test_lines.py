@@ -124,3 +124,24 @@ def test_one_very_long_line(size):
     counts = [size * 10]
     bits = lines.line_bits([b" ".join(b"w%d" % (i % 977) for i in range(size * 10))], counts)
     assert bits.dtype == np.int64 and len(bits) == 1
+
+
+def test_links_go_through_one_shuffle(spark):
+    kinds = spark.range(3000).select(F.md5(F.col("id").cast("string")).cast("binary").alias("line"), F.xxhash64("id").alias("bits"))
+    plan = lines.paired(kinds, 5, 3)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    for k, v in zip(before, ("false", "-1")):
+        spark.conf.set(k, v)
+    try:
+        text = plan._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert "ReusedExchange" in text
+
+
+def test_texts_are_not_sorted_to_meet_their_lines(spark):
+    line = "this line has more than five words in it"
+    docs = spark.createDataFrame([(i, f"{line}\nline {i} of these few words") for i in range(50)], "doc_id bigint, text string")
+    plan = lines.without_lines(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
