@@ -44,8 +44,8 @@ class Written:
         self.spark = spark
         self.root = f"{shared_folder(spark)}/khata-{uuid.uuid4().hex}"
 
-    def table(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").option("compression", "zstd").parquet(f"{self.root}/{name}")
+    def table(self, df: DataFrame, name: str, **options: str) -> DataFrame:
+        df.write.mode("overwrite").option("compression", "zstd").options(**options).parquet(f"{self.root}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
 
     def parted(self, df: DataFrame, name: str, flag: str) -> tuple[DataFrame, DataFrame]:

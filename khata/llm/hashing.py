@@ -24,8 +24,12 @@ def mixed(h: np.ndarray) -> np.ndarray:
 
 def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(starts, sums) of the words in bytes where exactly one space parts two words; ``mixed`` spreads the sums."""
-    gaps = np.flatnonzero(data == 32)
-    starts = np.concatenate([[0], gaps + 1])
-    place = np.arange(len(data), dtype=np.int64)
-    place -= np.repeat(starts, np.diff(np.append(starts, len(data))))
-    return starts, np.add.reduceat(data * WEIGHTS[place & 4095] * (data != 32), starts)
+    space = data == 32
+    starts = np.concatenate([[0], np.flatnonzero(space) + 1])
+    place = np.arange(len(data), dtype=np.int32)
+    place -= np.repeat(starts.astype(np.int32), np.diff(np.append(starts, len(data))))
+    place &= 4095
+    weights = WEIGHTS.take(place)
+    weights *= data
+    weights[space] = 0
+    return starts, np.add.reduceat(weights, starts)

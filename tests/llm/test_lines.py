@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -126,6 +127,45 @@ def test_one_very_long_line(size):
     assert bits.dtype == np.int64 and len(bits) == 1
 
 
+def test_lines_of_odd_texts(spark, monkeypatch):
+    rnd = random.Random(3)
+    texts = [None, "", "\n", "\n\n\n", "a b c d e", "  a  b c\td e ", "a b c d\n e f g h i", "x\x00y z w v u\r\nq", "a b c d é\n", "\na b c d e", "words " * 300]
+    texts += ["".join(rnd.choice("ab1,. \n\té\x00") for _ in range(rnd.randrange(300))) for _ in range(300)]
+    ids, columns = list(range(len(texts))), ["id", "version", "text"]
+    batch = pa.RecordBatch.from_arrays([pa.array(ids), pa.array(ids), pa.array(texts, pa.string())], columns)
+    want = [(i, n, f) for i, t in enumerate(texts) for n, line in enumerate((t or "").split("\n")) if len((f := plain_form(line)).split()) >= 5]
+    for size in (1 << 18, 50, 1):
+        monkeypatch.setattr(lines, "CHUNK_BYTES", size)
+        rows = [r for part in lines._lines([batch]) for r in part.to_pylist()]
+        assert [(r["id"], r["line_no"], r["form"]) for r in rows] == want
+        assert [r["bits"] for r in rows] == [int(lines.line_bits([f.encode()], [len(f.split())])[0]) for _, _, f in want]
+
+
+def test_bits_are_counted_as_by_single_bits():
+    rnd = np.random.default_rng(5)
+    counts = np.array([1, 255, 256, 5, 1000, 510, 2])
+    hashes, firsts = rnd.integers(0, 1 << 63, counts.sum(), np.uint64) * np.uint64(2) + np.uint64(1), np.cumsum(counts) - counts
+    single = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    assert (lines._bit_counts(hashes, firsts, counts) == np.add.reduceat(single, firsts, axis=0, dtype=np.int64)).all()
+
+
+def test_words_apart_is_never_below_the_edits():
+    rnd = random.Random(8)
+    words, found = "a bc def ghij klmno p qr stu".split(), 0
+    for _ in range(400):
+        a = [rnd.choice(words) for _ in range(rnd.randrange(1, 60))]
+        b = list(a)
+        for _ in range(rnd.randrange(6)):
+            at = rnd.randrange(len(b) + 1)
+            b[at : at + rnd.randrange(2)] = rnd.choice([[], ["x"], ["bc", "a"]])
+        a, b = " ".join(a), " ".join(b)
+        least, most = plain_edits(a, b), max(len(a), len(b)) // 5
+        got = lines.words_apart(a, b, most)
+        assert got >= min(least, most + 1)
+        found += got <= most
+    assert found > 200
+
+
 def test_links_go_through_one_shuffle(spark):
     kinds = spark.range(3000).select(F.md5(F.col("id").cast("string")).cast("binary").alias("line"), F.xxhash64("id").alias("bits"))
     plan = lines.paired(kinds, 5, 3)
@@ -145,3 +185,15 @@ def test_texts_are_not_sorted_to_meet_their_lines(spark):
     docs = spark.createDataFrame([(i, f"{line}\nline {i} of these few words") for i in range(50)], "doc_id bigint, text string")
     plan = lines.without_lines(docs)._jdf.queryExecution().executedPlan().toString()
     assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_edits_of_lines_with_little_in_common():
+    rnd = random.Random(6)
+    for _ in range(150):
+        a = "".join(rnd.choice("abc ") for _ in range(rnd.randrange(20, 200)))
+        b = "".join(rnd.choice("abc ") for _ in range(rnd.randrange(20, 200)))
+        b = rnd.choice([b, a[20:] + b[:20], b[: len(b) // 2] + a])
+        want = plain_edits(a, b)
+        for most in (1, 10, max(len(a), len(b)) // 5, want, want + 1):
+            got = lines.edits(a, b, most)
+            assert got == want if want <= most else got > most
