@@ -32,7 +32,8 @@ def wall_micros(local: Column) -> Column:
 def epoch_ms(local: Column, tz: str) -> Column:
     """Wall-clock time in the zone as epoch milliseconds."""
     utc = F.convert_timezone(F.lit(tz), F.lit("UTC"), local.cast("timestamp_ntz"))
-    return F.floor(wall_micros(utc) / 1000).cast("bigint")
+    # the zone is looked up once, not for each part of the time
+    return F.get(F.transform(F.array(utc), lambda at: F.floor(wall_micros(at) / 1000).cast("bigint")), F.lit(0))
 
 
 def iso_millis(local: Column) -> Column:

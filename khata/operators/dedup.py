@@ -4,6 +4,10 @@ A scanned row is a duplicate when it shares its fingerprint or a soft key with a
 before; only accepted rows count.  The outcome depends on the scan order, so neither
 ``dropDuplicates`` nor a session window gives it.  Here it is computed without a scan:
 
+Two reports of one payment have the inbox and the amount in common, and the amount is a part of every key.  So rows are dealt out and
+sorted by (inbox, amount) once and walked in scan order, streaming; the keys taken in one group are the only state.  That holds for
+groups of up to ``WALKED`` rows.  Rows of larger groups are settled without one task for a group:
+
 1. *Copies* (same fingerprint and same soft keys) all stand or fall with their first one, so they
    are reduced to it by a partial aggregation.  A hot payment shrinks before anything is shuffled.
 2. Rows which meet a key of the stored ledger are duplicates.
@@ -22,6 +26,7 @@ from collections.abc import Iterator
 from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,6 +37,9 @@ from khata.session import cut_lineage
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 ROUNDS = 6
+#: Rows of one (inbox, amount) which one task walks.
+WALKED = 100_000
+GROUP = ["inbox_id", "amount"]
 ID = ["inbox_id", "sms_id"]
 
 
@@ -128,22 +136,84 @@ def _all(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def accepted_ids(txns: DataFrame, known: DataFrame | None = None, rounds: int = ROUNDS) -> DataFrame:
-    """(inbox_id, sms_id) of the rows a newest-first scan accepts.
+def _walk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Accepts rows of sorted partitions in order; stored rows come first in their group, and their keys are taken.
 
-    ``known`` is a stored ledger (fingerprint, soft_keys) whose identities are taken already.
+    The state are the keys taken in one (inbox, amount).
     """
-    nodes = (
-        txns.select("inbox_id", "amount", "fingerprint", _matchable_keys().alias("soft_keys"),
-                    _scan_order().alias("node"))
-        .groupBy("inbox_id", "amount", "fingerprint", "soft_keys").agg(F.min("node").alias("node"))
+    group, prints, softs = None, set(), set()
+    for batch in batches:
+        taken: tuple[list[str], list[int]] = ([], [])
+        for inbox, amount, stored, sms_id, fingerprint, soft in zip(*(column.to_pylist() for column in batch.columns)):
+            if group != (inbox, amount):
+                group, prints, softs = (inbox, amount), set(), set()
+            if not stored:
+                if fingerprint in prints or not softs.isdisjoint(soft):
+                    continue
+                taken[0].append(inbox)
+                taken[1].append(sms_id)
+            if fingerprint is not None:
+                prints.add(fingerprint)
+            softs.update(soft)
+        yield pa.record_batch([pa.array(taken[0], pa.string()), pa.array(taken[1], pa.int64())], names=ID)
+
+
+def _walked(rows: DataFrame) -> DataFrame:
+    """The (inbox_id, sms_id) of accepted rows: one shuffle and one sort of narrow rows."""
+    return (
+        rows.repartition(*GROUP).sortWithinPartitions(*GROUP, F.desc("stored"), "node")
+        .select("inbox_id", F.col("amount").cast("string"), "stored", "node.sms_id", "fingerprint", "soft_keys")
+        .mapInArrow(_walk_rows, "inbox_id string, sms_id bigint")
     )
+
+
+def _by_rounds(rows: DataFrame, known: DataFrame | None, rounds: int) -> DataFrame:
+    """The (inbox_id, sms_id) of accepted rows, however many have an inbox and amount in common."""
+    nodes = rows.groupBy(*GROUP, "fingerprint", "soft_keys").agg(F.min("node").alias("node"))
     if known is not None:
-        met = _keys_of(nodes).join(known_keys(known), ["inbox_id", "key"], "left_semi")
-        nodes = nodes.join(met.select("inbox_id", "node").distinct(), ["inbox_id", "node"], "left_anti")
+        nodes = _unmet(nodes, known)
     return _settle(nodes, rounds)
 
 
+def _unmet(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """Rows which have no key of a stored ledger."""
+    met = _keys_of(rows).join(known_keys(known), ["inbox_id", "key"], "left_semi")
+    return rows.join(met.select("inbox_id", "node").distinct(), ["inbox_id", "node"], "left_anti")
+
+
+def accepted_ids(txns: DataFrame, known: DataFrame | None = None, rounds: int = ROUNDS, same_amount: bool = False, walked: int = WALKED) -> DataFrame:
+    """(inbox_id, sms_id) of the rows a newest-first scan accepts.
+
+    ``known`` is a stored ledger (fingerprint, soft_keys) whose identities are taken already.  With ``same_amount`` its rows have the amounts
+    which their keys name (those of an index of identities have; a ledger's may have been changed), and they are walked with the others.
+    """
+    none = F.array().cast("array<string>")
+    rows = txns.select(*GROUP, "fingerprint", F.coalesce(_matchable_keys(), none).alias("soft_keys"), _scan_order().alias("node"))
+    taken = None
+    if known is not None and same_amount:
+        taken = known.select("inbox_id", F.col("amount").cast(txns.schema["amount"].dataType).alias("amount"), "fingerprint", F.coalesce("soft_keys", none).alias("soft_keys"))
+    every = rows.select(*GROUP) if taken is None else rows.select(*GROUP).unionByName(taken.select(*GROUP))
+    crowds = cut_lineage(every.groupBy(*GROUP).agg(F.count("*").alias("n")).where(F.col("n") > walked).select(*GROUP))
+
+    def part(df: DataFrame | None, how: str) -> DataFrame | None:
+        same = [df[c].eqNullSafe(crowds[c]) for c in GROUP] if df is not None else None
+        return None if df is None else df.join(crowds, same, how)
+
+    if crowds.isEmpty():
+        few, few_taken, settled = rows, taken, None
+    else:
+        few, few_taken = part(rows, "left_anti"), part(taken, "left_anti")
+        settled = _by_rounds(part(rows, "left_semi"), known if taken is None else part(taken, "left_semi"), rounds)
+    if known is not None and taken is None:
+        few = _unmet(few, known)
+    few = few.withColumn("stored", F.lit(False))
+    if few_taken is not None:
+        order = rows.schema["node"].dataType
+        few = few.unionByName(few_taken.select("*", F.lit(None).cast(order).alias("node"), F.lit(True).alias("stored")))
+    done = _walked(few)
+    return done if settled is None else done.unionByName(settled)
+
+
 def newest_versions(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """One row per key: the largest by ``order``, which parts all rows but equal ones.  Rows are reduced before the shuffle."""
     rest = [c for c in rows.columns if c not in keys]
@@ -156,12 +226,12 @@ def drop_repeated_messages(messages: DataFrame) -> DataFrame:
     return newest_versions(messages, ["inbox_id", "id"], ["date_ms", "body", "address"])
 
 
-def mark_duplicates(txns: DataFrame, known: DataFrame | None = None, rounds: int = ROUNDS) -> DataFrame:
-    """Adds ``duplicate`` to every row."""
-    kept = accepted_ids(txns, known, rounds).withColumn("_kept", F.lit(True))
+def mark_duplicates(txns: DataFrame, known: DataFrame | None = None, rounds: int = ROUNDS, **options) -> DataFrame:
+    """Adds ``duplicate`` to every row.  Options are those of ``accepted_ids``."""
+    kept = accepted_ids(txns, known, rounds, **options).withColumn("_kept", F.lit(True))
     return txns.join(kept, ID, "left").withColumn("duplicate", F.col("_kept").isNull()).drop("_kept")
 
 
-def dedup(txns: DataFrame, known: DataFrame | None = None, rounds: int = ROUNDS) -> DataFrame:
-    """The rows which are no duplicates."""
-    return txns.join(accepted_ids(txns, known, rounds), ID, "left_semi")
+def dedup(txns: DataFrame, known: DataFrame | None = None, rounds: int = ROUNDS, **options) -> DataFrame:
+    """The rows which are no duplicates.  Options are those of ``accepted_ids``."""
+    return txns.join(accepted_ids(txns, known, rounds, **options), ID, "left_semi")

@@ -70,7 +70,7 @@ def merge_batch(batch: DataFrame, batch_id: int, ledger_path: str, tz: str, rung
     extra = rungs(spark) if rungs is not None else {}
     txns = parsed_once(batch, tz)
     known = known_identities(spark, ledger_path, batch_id, txns, fan)
-    rows = resolve_categories(dedup(txns, known), **extra)
+    rows = resolve_categories(dedup(txns, known, same_amount=True), **extra)
     folder = f"{ledger_path}/batch={batch_id}"
     rows.write.mode("overwrite").parquet(folder)
     # from here on the batch's rows are read from what was written
@@ -148,7 +148,7 @@ def rescan_batch(batch: DataFrame, batch_id: int, ledger_path: str, tz: str, run
     extra = rungs(spark) if rungs is not None else {}
     txns = parsed_once(batch, tz)
     known = cut_lineage(known_identities(spark, ledger_path, None, txns))
-    new = cut_lineage(dedup(txns, known.unionByName(index.before(batch_id, txns))))
+    new = cut_lineage(dedup(txns, known.unionByName(index.before(batch_id, txns)), same_amount=True))
     rows = fresh_parse(txns, known).unionByName(new.select(*txns.columns))
     resolve_categories(rows, **extra).write.mode("overwrite").parquet(f"{base}/batch={batch_id}")
     index.add(batch_id, new)
