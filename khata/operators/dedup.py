@@ -144,7 +144,11 @@ def _walk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     group, prints, softs = None, set(), set()
     for batch in batches:
         taken: tuple[list[str], list[int]] = ([], [])
-        for inbox, amount, stored, sms_id, fingerprint, soft in zip(*(column.to_pylist() for column in batch.columns)):
+        # the keys of a batch as one list, cut by the arrays' ends
+        keys, ends = batch.column(5).values.to_pylist(), batch.column(5).offsets.to_pylist()
+        columns = [batch.column(i).to_pylist() for i in range(5)]
+        for inbox, amount, stored, sms_id, fingerprint, start, end in zip(*columns, ends, ends[1:]):
+            soft = keys[start:end]
             if group != (inbox, amount):
                 group, prints, softs = (inbox, amount), set(), set()
             if not stored:
